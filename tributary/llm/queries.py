@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm.packing import op5_packing
 from tributary.llm.quality import op10_quality_rules
+from tributary.llm.substring_dedup import op6_substring_dedup
 from tributary.llm.suffix_dedup import op1_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op5_packing": op5_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
