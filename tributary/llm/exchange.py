@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 
 SENT = "bucket long, chunk long, records binary, kept binary"
 _ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("records", pa.binary()), ("kept", pa.binary())])
-#: The least record: a name and the number its sender knows it by.
-NAMED = np.dtype([("name", "<u8"), ("id", "<u4")])
+NAME = np.dtype("<u8")
 
 
 def numbered() -> Iterator[int]:
@@ -64,25 +63,44 @@ def run_lengths(first: np.ndarray, n: int) -> np.ndarray:
 
 
 def exchange(sent: DataFrame, buckets: int, record: np.dtype, answer: Callable, finish: Callable, schema: str) -> DataFrame:
-    """answer(records, part) gives (indexes, 64-bit values) to send back, part telling the sending
-    rows apart; finish(kept, values) makes a chunk's rows."""
+    """answer(records, cuts) gives an answer (bytes, or None for nothing) to each sending row, whose
+    records lie between two cuts; finish(kept, answers by bucket) makes a chunk's rows."""
 
     def in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] >= buckets:
-            return pd.DataFrame({"chunk": pdf["chunk"], "back": None, "kept": pdf["kept"]})
+            return pd.DataFrame({"chunk": pdf["chunk"], "bucket": -1, "back": None, "kept": pdf["kept"]})
         parts = [np.frombuffer(x, record) for x in pdf["records"]]
-        part = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        hit, value = answer(np.concatenate(parts), part)
-        order = np.argsort(part[hit], kind="stable")
-        value, to = value[order].astype("<u8"), part[hit][order]
-        cut = np.searchsorted(to, np.arange(len(parts) + 1))
-        back = [(c, value[a:b].tobytes()) for c, a, b in zip(pdf["chunk"], cut[:-1], cut[1:]) if b > a]
-        return pd.DataFrame({"chunk": [c for c, _ in back], "back": [m for _, m in back], "kept": [None] * len(back)})
+        back = answer(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
+        told = [k for k, b in enumerate(back) if b is not None]
+        return pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[told], "bucket": pdf["bucket"].to_numpy()[told], "back": [back[k] for k in told], "kept": [None] * len(told)})
 
     def in_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        back = [np.frombuffer(x, "<u8") for x in pdf["back"] if x is not None]
-        kept = pickle.loads(next(x for x in pdf["kept"] if x is not None))
-        return finish(kept, np.concatenate(back) if back else np.zeros(0, np.uint64))
+        back = {b: x for b, x in zip(pdf["bucket"], pdf["back"]) if x is not None}
+        return finish(pickle.loads(next(x for x in pdf["kept"] if x is not None)), back)
 
-    back = sent.groupBy("bucket").applyInPandas(in_bucket, "chunk long, back binary, kept binary")
+    back = sent.groupBy("bucket").applyInPandas(in_bucket, "chunk long, bucket long, back binary, kept binary")
     return back.groupBy("chunk").applyInPandas(in_chunk, schema)
+
+
+def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct names, which of them each name is, and how often each occurs."""
+    order = np.argsort(names, kind="stable")
+    first = run_starts(names[order])
+    count = run_lengths(first, len(names))
+    which = np.empty(len(names), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), count)
+    return names[order[first]], which, count
+
+
+def bits_back(flag: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
+    """A bit for each record, in its row's order."""
+    return [np.packbits(flag[a:b]).tobytes() if flag[a:b].any() else None for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def bits_of(back: dict[int, bytes], bucket: np.ndarray) -> np.ndarray:
+    """The flags of a chunk's records, which are sorted by bucket."""
+    flag = np.zeros(len(bucket), bool)
+    for b, bits in back.items():
+        lo, hi = np.searchsorted(bucket, [b, b + 1])
+        flag[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo)
+    return flag

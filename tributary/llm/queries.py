@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tributary.llm.licenses import op7_license_scans
 from tributary.llm.packing import op5_packing
 from tributary.llm.quality import op10_quality_rules
 from tributary.llm.substring_dedup import op6_substring_dedup
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_license_scans": op7_license_scans,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -45,3 +45,12 @@ def spread(spark: SparkSession, df: DataFrame, times: int = 4) -> int:
 def text_key(text: Column) -> Column:
     """With doc_id, tells rows apart; rows equal in both are interchangeable for every operator."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+#: Most rows of two longs that are broadcast (some 32 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on (doc_id, key), where a null doc_id is a value like others."""
+    return left.join(right, left["doc_id"].eqNullSafe(right["doc_id"]) & (left["key"] == right["key"]), how)

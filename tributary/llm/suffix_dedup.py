@@ -24,16 +24,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.exchange import NAMED, SENT, by_name, exchange, kept_row, numbered, rows, run_lengths, run_starts, sent_rows
-from tributary.llm.names import Named, chunks, packed, synchronised
-from tributary.llm.shared import documents, spread, stage, text_key
+from tributary.llm.exchange import NAME, SENT, bits_back, bits_of, by_name, distinct, exchange, kept_row, numbered, rows, run_lengths, run_starts, sent_rows
+from tributary.llm.names import Named, chunks, mix, packed, synchronised
+from tributary.llm.shared import BROADCAST_ROWS, documents, matched, spread, stage, text_key
 
 GRAM = 64
 _FLAGS = "doc_id long, key long, runs binary, near binary"
-#: A sample suffix: names of its first bytes, of its window and of the bytes before it; id holds
-#: the sender's number and, in the highest bit, whether the chunk has several such.
-_SAMPLE = np.dtype([("name", "<u8"), ("window", "<u8"), ("before", "<u4"), ("id", "<u4")])
-_SEVERAL, _SETTLED, _SORT = 1 << 31, 1 << 32, 1 << 33
+#: A sample suffix: names of its first bytes and of all within reach, and the sender's number for
+#: it, with the highest bit set if the chunk holds several such.
+_SAMPLE = np.dtype([("name", "<u8"), ("context", "<u8"), ("id", "<u4")])
+_SEVERAL, _SETTLED, _SORT = 1 << 31, 1 << 29, 1 << 30
 
 
 def _samples(buckets: int, length: int, gram: int):
@@ -51,47 +51,52 @@ def _samples(buckets: int, length: int, gram: int):
             at, doc = at[inside], doc[inside]
             found = np.zeros(len(at), _SAMPLE)
             found["name"] = every[at]
-            found["window"] = named.of(at, np.minimum(at + length, ends[doc]))
-            found["before"] = named.of(np.maximum(at - reach, starts[doc]), at)
-            order = np.lexsort((found["before"], found["window"], found["name"]))
+            lo = np.maximum(at - reach, starts[doc])
+            found["context"] = mix(named.of(lo, np.minimum(at + length, ends[doc])) + (at - lo).astype(np.uint64))
+            order = np.lexsort((found["context"], found["name"]))
             found = found[order]
-            first = run_starts(found["name"], found["window"], found["before"])
+            first = run_starts(found["name"], found["context"])
             count = run_lengths(first, len(found))
             same = np.empty(len(at), np.uint32)
             same[order] = np.repeat(np.arange(len(first), dtype=np.uint32), count)
             found = found[first]
             found["id"] = np.arange(len(first)) | np.where(count > 1, _SEVERAL, 0)
             ids = batch.column("doc_id").to_pylist(), batch.column("key").to_numpy()
-            kept = kept_row(buckets, chunk, (ids, starts, ends, at.astype(np.uint32), doc.astype(np.uint32), same))
+            kept = kept_row(buckets, chunk, (ids, ends, at.astype(np.uint32), same))
             yield rows([*sent_rows(chunk, found, by_name(found["name"], buckets)), kept])
 
     return map_chunks
 
 
-def _rank_samples(found: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _rank_samples(found: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
     """Of sample suffixes that are tied: are they settled, and must their suffixes be sorted?"""
-    order = np.lexsort((part, found["before"], found["window"], found["name"]))
+    part = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    order = np.lexsort((part, found["context"], found["name"]))
     f = found[order]
-    first = run_starts(f["name"], f["window"], f["before"])
+    first = run_starts(f["name"], f["context"])
     count = run_lengths(first, len(f))
     node = run_starts(f["name"][first])
     branches = np.repeat(np.repeat(run_lengths(node, len(first)), run_lengths(node, len(first))), count) > 1
     settled = np.repeat(count > 1, count) | (f["id"] >= _SEVERAL)
     lead = np.zeros(len(f), bool)
     lead[first] = True
-    value = (f["id"] & (_SEVERAL - 1)).astype(np.uint64) | (settled * np.uint64(_SETTLED)) | ((branches & lead) * np.uint64(_SORT))
-    tell = settled | branches & lead
-    return order[tell], value[tell]
+    value = np.zeros(len(f), "<u4")
+    value[order] = settled * np.uint32(_SETTLED) | (branches & lead) * np.uint32(_SORT)
+    tell, value = np.flatnonzero(value), value | found["id"] & np.uint32(_SETTLED - 1)
+    at = np.searchsorted(tell, cuts)
+    return [value[tell[a:b]].tobytes() if b > a else None for a, b in zip(at[:-1], at[1:])]
 
 
 def _flags(length: int, gram: int):
     reach = length - gram
 
     def finish(kept, back) -> pd.DataFrame:
-        (ids, keys), starts, ends, at, doc, same = kept
-        at, doc = at.astype(np.int64), doc.astype(np.int64)
+        (ids, keys), ends, at, same = kept
+        at, starts = at.astype(np.int64), np.concatenate([[0], ends[:-1]])
+        doc = np.searchsorted(ends, at, "right")
+        told = np.frombuffer(b"".join(back.values()), "<u4")
         state = np.zeros(len(at) + 1, np.uint8)
-        state[(back & np.uint64(_SEVERAL - 1)).astype(np.int64)] = (back >> np.uint64(32)).astype(np.uint8)
+        state[told & np.uint32(_SETTLED - 1)] = told // _SETTLED
         state = state[same]
         lo, hi = np.maximum(at - reach, starts[doc]) - starts[doc], np.minimum(at + length, ends[doc]) - starts[doc]
         whole = hi - lo >= length
@@ -122,36 +127,33 @@ def _suffixes(buckets: int, length: int):
         for batch, x, ends in chunks(batches):
             chunk, starts, n = next(number), np.concatenate([[0], ends[:-1]]), len(x)
             runs, near = spans(batch.column("runs"), starts), spans(batch.column("near"), starts)
-            at = np.flatnonzero(_covered(n, near[:, 0], near[:, 1] - length + 1))
-            found = np.zeros(len(at), NAMED)
-            found["name"] = Named(x).of(at, at + length)
-            order = np.argsort(found["name"], kind="stable")
-            found = found[order]
-            first = run_starts(found["name"])
-            count = run_lengths(first, len(found))
-            inner = order[np.repeat(count > 1, count)]
-            found["id"] = order
+            names = distinct(_window_names(x, near, length)[1])[0]
             ids = batch.column("doc_id").to_pylist(), batch.column("key").to_numpy()
-            kept = kept_row(buckets, chunk, (ids, x.tobytes(), ends, runs.astype(np.uint32), at.astype(np.uint32), inner.astype(np.uint32)))
-            yield rows([*sent_rows(chunk, found[first], by_name(found["name"][first], buckets)), kept])
+            kept = kept_row(buckets, chunk, (ids, x.tobytes(), ends, runs.astype(np.uint32), near.astype(np.uint32)))
+            yield rows([*sent_rows(chunk, names, by_name(names, buckets)), kept])
 
     return map_chunks
 
 
-def _equal_suffixes(found: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(found["name"], kind="stable")
-    first = run_starts(found["name"][order])
-    count = run_lengths(first, len(found))
-    hit = order[np.repeat(count > 1, count)]
-    return hit, found["id"][hit]
+def _window_names(x: np.ndarray, near: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and names of all windows inside the ranges `near`."""
+    at = np.flatnonzero(_covered(len(x), near[:, 0], near[:, 1] - length + 1))
+    return at, Named(x).of(at, at + length)
+
+
+def _equal_suffixes(names: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
+    _, which, count = distinct(names)
+    return bits_back(count[which] > 1, cuts)
 
 
-def _removals(length: int):
+def _removals(buckets: int, length: int):
     def finish(kept, back) -> pd.DataFrame:
-        (ids, keys), text, ends, runs, at, inner = kept
-        at = at[np.concatenate([inner.astype(np.int64), back.astype(np.int64)])].astype(np.int64)
-        gone = _covered(len(text), np.concatenate([runs[:, 0].astype(np.int64), at]), np.concatenate([runs[:, 1].astype(np.int64), at + length]))
-        x, found, start = np.frombuffer(text, np.uint8), [], 0
+        (ids, keys), text, ends, runs, near = kept
+        x, runs, found, start = np.frombuffer(text, np.uint8), runs.astype(np.int64), [], 0
+        at, names = _window_names(x, near.astype(np.int64), length)
+        names, which, count = distinct(names)
+        at = at[(bits_of(back, by_name(names, buckets)) | (count > 1))[which]]
+        gone = _covered(len(x), np.concatenate([runs[:, 0], at]), np.concatenate([runs[:, 1], at + length]))
         for k, end in enumerate(ends):
             g = gone[start:end]
             edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
@@ -178,10 +180,13 @@ def suffix_array_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM) ->
     sent = docs.mapInArrow(_samples(buckets, length, gram), SENT)
     flags = exchange(sent, buckets, _SAMPLE, _rank_samples, _flags(length, gram), _FLAGS)
     flags = stage(flags.dropDuplicates(["doc_id", "key"]), "ties")
-    same = [docs["doc_id"].eqNullSafe(flags["doc_id"]), docs["key"] == flags["key"]]
-    tied = docs.join(flags.hint("merge"), same, "inner").select(docs["doc_id"], docs["key"], "text", "runs", "near")
-    free = docs.join(flags.select("doc_id", "key").hint("merge"), same, "left_anti")
-    cut = exchange(tied.mapInArrow(_suffixes(buckets, length), SENT), buckets, NAMED, _equal_suffixes, _removals(length), "doc_id long, key long, starts array<int>, ends array<int>, kept binary")
+    flagged = flags.select("doc_id", "key")
+    if flagged.count() <= BROADCAST_ROWS:
+        flagged = F.broadcast(flagged)  # two longs a row; a larger set is joined by shuffle
+    tied = matched(docs, flagged, "left_semi")
+    free = matched(docs, flagged, "left_anti")
+    tied = matched(tied, flags.hint("merge"), "inner").select(tied["doc_id"], tied["key"], "text", "runs", "near")
+    cut = exchange(tied.mapInArrow(_suffixes(buckets, length), SENT), buckets, NAME, _equal_suffixes, _removals(buckets, length), "doc_id long, key long, starts array<int>, ends array<int>, kept binary")
     none = F.array().cast("array<int>")
     whole = free.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("span_starts"), none.alias("span_ends"), F.col("text").cast("binary").alias("kept"))
     lost = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
