@@ -34,7 +34,7 @@ def rows(found: list[tuple]) -> pa.RecordBatch:
 
 def kept_row(buckets: int, chunk: int, kept: object) -> tuple:
     """Dealt over as many other buckets, as it only passes through."""
-    return buckets + (chunk * 0x9E3779B1 >> 3) % buckets, chunk, None, pickle.dumps(kept, protocol=5)
+    return buckets + ((chunk * 0x9E3779B97F4A7C15 % 2**64) >> 32) % buckets, chunk, None, pickle.dumps(kept, protocol=5)
 
 
 def sent_rows(chunk: int, records: np.ndarray, bucket: np.ndarray) -> list[tuple]:
