@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm.licenses import op7_license_scans
+from tributary.llm.mixing import op4_mixing_sources
 from tributary.llm.packing import op5_packing
 from tributary.llm.quality import op10_quality_rules
 from tributary.llm.substring_dedup import op6_substring_dedup
@@ -14,6 +15,7 @@ from tributary.llm.suffix_dedup import op1_suffix_array_dedupfrom tributary.llm.
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op4_mixing_sources": op4_mixing_sources,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_license_scans": op7_license_scans,
