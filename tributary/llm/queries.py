@@ -11,7 +11,8 @@ from tributary.llm.mixing import op4_mixing_sources
 from tributary.llm.packing import op5_packing
 from tributary.llm.quality import op10_quality_rules
 from tributary.llm.substring_dedup import op6_substring_dedup
-from tributary.llm.suffix_dedup import op1_suffix_array_dedupfrom tributary.llm.toxicity import op8_toxicity
+from tributary.llm.suffix_dedup import op1_suffix_array_dedup
+from tributary.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
