@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tributary.llm.fingerprints import op2_document_fingerprints
 from tributary.llm.licenses import op7_license_scans
 from tributary.llm.mixing import op4_mixing_sources
+from tributary.llm.near_dedup import op9_minhash_near_dedup
 from tributary.llm.packing import op5_packing
 from tributary.llm.quality import op10_quality_rules
 from tributary.llm.substring_dedup import op6_substring_dedup
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_license_scans": op7_license_scans,
     "op8_toxicity": op8_toxicity,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
