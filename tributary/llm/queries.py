@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tributary.llm.chat import op3_chat_formatting
 from tributary.llm.fingerprints import op2_document_fingerprints
 from tributary.llm.licenses import op7_license_scans
 from tributary.llm.mixing import op4_mixing_sources
@@ -19,6 +20,7 @@ from tributary.llm.toxicity import op8_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing_sources": op4_mixing_sources,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,

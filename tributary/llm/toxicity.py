@@ -194,7 +194,7 @@ def emit(docs: DataFrame, grammar: Grammar, *keep: str) -> DataFrame:
             columns = [pa.array([f[0][k] for f in found], pa.float64()) for k in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, *range(2, batch.num_columns))), *columns, pa.array([f[1] for f in found], pa.float64()), pa.array([grammar.score(f[0]) for f in found], pa.float64())], names=["doc_id", *keep, *KINDS, "heaviest_clause", "score"])
 
-    docs = docs.select("doc_id", "text", *keep)
+    docs = docs.select("doc_id", F.col("text").alias("read_text"), *keep)
     types = dict(docs.dtypes)
     fields = [f"doc_id {types['doc_id']}", *(f"`{c}` {types[c]}" for c in keep), *(f"{k} double" for k in (*KINDS, "heaviest_clause", "score"))]
     return docs.mapInArrow(read, ", ".join(fields))
