@@ -195,7 +195,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM) ->
 
 def kept_text(kept: Column) -> Column:
     """The kept bytes as text; bytes that no longer form a character are left out."""
-    return F.regexp_replace(F.decode(kept, "UTF-8"), "�", "")
+    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
