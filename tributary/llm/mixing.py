@@ -24,14 +24,14 @@ def sainte_lague(shares: DataFrame, group: str, key: str, share: str, seats: str
     """
     whole = Window.partitionBy(group)
     ideal = F.col(seats) * F.col(share) / F.sum(share).over(whole)
-    at = shares.withColumn("x", F.when(F.sum(share).over(whole) > 0, ideal).otherwise(0.0)).withColumn("s", F.count("*").over(whole))
-    bound = lambda d: F.floor(F.col("x") * (F.col(seats) + d * F.col("s") / 2) / F.greatest(F.col(seats), F.lit(1)) + 0.5)
-    at = at.withColumn("low", F.greatest(bound(-1), F.lit(0))).withColumn("high", F.greatest(bound(1) + 1, F.col("low") + 1))
-    at = at.withColumn("left", F.col(seats) - F.sum("low").over(whole))
-    seat = at.where("x > 0").select(group, key, "left", "x", F.explode(F.sequence("low", F.col("high") - 1)).alias("k"))
-    best = Window.partitionBy(group).orderBy(F.desc(F.col("x") / (2 * F.col("k") + 1)), key)
-    more = seat.withColumn("place", F.row_number().over(best)).where("place <= left").groupBy(group, key).agg(F.count("*").alias("more"))
-    return at.join(more, [group, key], "left").withColumn("quota", F.col("low") + F.coalesce("more", F.lit(0))).drop("x", "s", "low", "high", "left", "more")
+    at = shares.withColumn("_ideal", F.when(F.sum(share).over(whole) > 0, ideal).otherwise(0.0)).withColumn("_keys", F.count("*").over(whole))
+    bound = lambda d: F.floor(F.col("_ideal") * (F.col(seats) + d * F.col("_keys") / 2) / F.greatest(F.col(seats), F.lit(1)) + 0.5)
+    at = at.withColumn("_low", F.greatest(bound(-1), F.lit(0))).withColumn("_high", F.greatest(bound(1) + 1, F.col("_low") + 1))
+    at = at.withColumn("_left", F.col(seats) - F.sum("_low").over(whole))
+    seat = at.where("_ideal > 0").select(group, key, "_left", "_ideal", F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_seat"))
+    best = Window.partitionBy(group).orderBy(F.desc(F.col("_ideal") / (2 * F.col("_seat") + 1)), key)
+    more = seat.withColumn("_place", F.row_number().over(best)).where("_place <= _left").groupBy(group, key).agg(F.count("*").alias("_more"))
+    return at.join(more, [group, key], "left").withColumn("quota", F.col("_low") + F.coalesce("_more", F.lit(0))).drop("_ideal", "_keys", "_low", "_high", "_left", "_more")
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -95,12 +95,12 @@ def materialise(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """The mixed documents with the columns of `docs`: as many copies as were taken, the last one
     its first `rest` words joined by one space; documents of which nothing is taken are left out."""
     columns = docs.columns
-    m = mix.where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("key").alias("mix_key"), "copies", "rest", F.col("size").alias("mix_size")).dropDuplicates(["mix_id", "mix_key"])
+    m = mix.where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("key").alias("mix_key"), F.col("copies").alias("mix_copies"), F.col("rest").alias("mix_rest")).dropDuplicates(["mix_id", "mix_key"])
     keyed = docs.withColumn("mix_row", F.xxhash64(F.coalesce("text", F.lit(""))))
     met = keyed.join(m, keyed["doc_id"].eqNullSafe(m["mix_id"]) & (keyed["mix_row"] == m["mix_key"]))
-    met = met.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), (F.col("copies") + (F.col("rest") > 0).cast("long")).cast("int"))))
+    met = met.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), (F.col("mix_copies") + (F.col("mix_rest") > 0).cast("long")).cast("int"))))
     plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    text = F.when(F.col("mix_copy") > F.col("copies"), F.call_function("substring_index", plain, F.lit(" "), F.col("rest").cast("int"))).otherwise(F.col("text"))
+    text = F.when(F.col("mix_copy") > F.col("mix_copies"), F.call_function("substring_index", plain, F.lit(" "), F.col("mix_rest").cast("int"))).otherwise(F.col("text"))
     met = met.withColumn("text", text)
     if "n_chars" in columns:
         met = met.withColumn("n_chars", F.char_length("text").cast("long"))
