@@ -818,6 +818,35 @@ def offline_recall(fx):
     return per.join(chosen, ["yr", "type_id"], "left_semi").agg(F.avg("recall_5").alias("recall_5"), F.avg("recall_10").alias("recall_10"), F.count("*").alias("n"))
 
 
+# Batch scoring with a fixed formula.
+
+_SCORE = "round(coalesce(p.population_total_ratio, 0) + 0.5 * coalesce(p.gdp_per_capita_ratio, 0) + coalesce(p.migrant_stock_from_to, 0) - coalesce(p.geo_distance, 0) / 1000, 9)"
+_SCORED = f"select b.yr, b.type_id, b.from_city, b.to_city, {_SCORE} as score from fx_base b left join x_pairs p on p.yr = b.yr and p.from_city = b.from_city and p.to_city = b.to_city"
+
+
+@query("yr:i type_id:s pos:i to_city:i score:d", f"select * from (select *, row_number() over (partition by yr, type_id order by score desc, to_city) as pos from ({_SCORED}) s) r where pos <= 10")
+def batch_recall(fx):
+    queries = fx.base.select("yr", "type_id", "from_city").distinct()
+    return pipelines.batch_recall(queries, fx.city, pairs(fx), WAGES, VACANCIES, pipelines.fixed_scorer, 10)
+
+
+@query("yr:i value:s", f"select yr, concat('{{\"', type_id, '\":[', string_agg(cast(to_city as string), ',' order by pos), ']}}') as value from (select s.*, row_number() over (partition by s.yr, s.type_id order by s.score desc, s.to_city) as pos from ({_SCORED}) s join x_ranked r on r.yr = s.yr and r.type_id = s.type_id and r.to_city = s.to_city where r.pos <= 10) k where pos <= 6 group by yr, type_id")
+def rescored_lines(fx):
+    queries = fx.base.select("yr", "type_id", "from_city").distinct()
+    best = pipelines.rescore(queries, src.candidate_lists(list_lines(fx)), pairs(fx), WAGES, VACANCIES, pipelines.fixed_scorer, 6)
+    return src.json_lines(rk.as_lists(best), 6)
+
+
+@query("idx:i pos:i to_city:i city_name:s score:d", f"select idx, pos, to_city, city_name, score from (select q.idx, s.to_city, c.city_name, s.score, row_number() over (partition by q.idx order by s.score desc, s.to_city) as pos from (select row_number() over (order by yr, type_id) as idx, yr, type_id from (select distinct yr, type_id from fx_base where yr = 1999) d) q join ({_SCORED}) s on s.yr = q.yr and s.type_id = q.type_id join fx_city c on c.city_id = s.to_city) r where pos <= 5")
+def predict_batch(fx):
+    from pyspark.sql import Window
+
+    asked = fx.base.where("yr = 1999").select("yr", "type_id").distinct()
+    asked = asked.withColumn("idx", F.row_number().over(Window.orderBy("yr", "type_id"))).withColumn("origin", F.lit(None).cast("string"))  # the test's numbering
+    bad = asked.limit(1).select("yr", F.lit("M_20").alias("type_id"), F.lit(0).alias("idx"), "origin")
+    return pipelines.predict(asked.unionByName(bad), fx.city, pairs(fx), WAGES, VACANCIES, pipelines.fixed_scorer, 5)
+
+
 # Learning: rows only.
 
 _LEARN = ["tier_diff", "gdp_per_capita_ratio", "population_total_ratio", "geo_distance", "migrant_stock_from_to", "hist_log_flow", "hist_share"]

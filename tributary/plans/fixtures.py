@@ -51,18 +51,21 @@ WITH = "with " + ",\n".join(f"{name} as ({sql})" for name, sql in FIXTURES.items
 
 
 class Fixtures:
-    """The fixtures over one folder of tables, each built when asked for."""
+    """The fixtures over one folder of tables; their views are made once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        for table in TABLES:
-            self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-        for key, sql in FIXTURES.items():
-            self.spark.sql(sql).createOrReplaceTempView(key)
-            if key == f"fx_{name}":
-                return self.spark.table(key)
-        raise AttributeError(name)
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if not self._made:
+            for table in TABLES:
+                self._made[table] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+                self._made[table].createOrReplaceTempView(table)
+            for key, sql in FIXTURES.items():
+                self.spark.sql(sql).createOrReplaceTempView(key)
+                self._made[key.removeprefix("fx_")] = self.spark.table(key)
+        if name not in self._made:
+            raise AttributeError(name)
+        return self._made[name]

@@ -70,3 +70,11 @@ def fit_ranking(df: DataFrame, features: list[str], rounds: int = 50) -> Pipelin
 
 def validation_recall(scored: DataFrame, truth: DataFrame, k_list: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     return judged(ranked(scored), truth, k_list, "least").agg(*[F.avg(f"recall_{k}").alias(f"recall_{k}") for k in k_list])
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tributary.functions import labels as lab
 from tributary.functions.typeid import parse_lenient
 from tributary.operators import candidates as cand
 from tributary.operators import pairs as pr
+from tributary.operators import ranking as rk
 from tributary.operators import sampling as smp
 
 
@@ -81,3 +84,36 @@ def transform(df: DataFrame, pairs: DataFrame, history: DataFrame | None, wages:
         if mode == "train":
             df = smp.drop_history(df, ["hist_log_flow", "hist_share"], p)
     return df
+
+
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def fixed_scorer(df: DataFrame) -> DataFrame:
+    """A fixed linear formula over pair features, for results that any engine repeats."""
+    formula = F.col("population_total_ratio") + 0.5 * F.col("gdp_per_capita_ratio") + F.col("migrant_stock_from_to") - F.col("geo_distance") / 1000
+    return df.withColumn("score", F.round(formula, 9))
+
+
+def batch_recall(queries: DataFrame, cities: DataFrame, pairs: DataFrame, wages: list[str], vacancies: list[str], scorer: Scorer, k: int = 100) -> DataFrame:
+    """Every query's best k of all known cities; the pair features are joined once for all queries."""
+    base = cand.keep_known(cand.expand(queries, cities), pairs)
+    return rk.top_k(scorer(with_features(base, pairs, wages, vacancies)), k)
+
+
+def rescore(queries: DataFrame, lists: DataFrame, pairs: DataFrame, wages: list[str], vacancies: list[str], scorer: Scorer, k: int = 40) -> DataFrame:
+    """Given lists in the order of another score, cut to k."""
+    return rk.top_k(scorer(with_features(cand.from_lists(queries, lists), pairs, wages, vacancies)), k)
+
+
+def predict(requests: DataFrame, cities: DataFrame, pairs: DataFrame, wages: list[str], vacancies: list[str], scorer: Scorer, k: int = 10) -> DataFrame:
+    """Answers to requests (idx, yr, type_id, origin or null), one row a place; a bad type id has none.
+
+    The origin itself stays out; a six-part id takes it from `origin`.
+    """
+    from tributary.functions.cities import with_names
+    from tributary.functions.typeid import parse
+
+    good = parse(requests, origin="origin").where("parse_ok").select("idx", "yr", "type_id", "from_city")
+    scored = scorer(with_features(cand.expand(good, cities), pairs, wages, vacancies))
+    return with_names(rk.top_k(scored, k, keys=("idx",)), cities).select("idx", "pos", "to_city", "city_name", "score")
