@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (2 << 20) - 1  # so that a table of powers of 2^21 entries will do
 _U = np.uint64
 _BASE, _C1, _C2 = 0x9E3779B97F4A7C15, _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _power = [np.ones(1, _U), np.ones(1, _U)]
@@ -98,6 +98,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first), data[at[first] : at[last]], at[first + 1 : last + 1] - at[first]
             first = last
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

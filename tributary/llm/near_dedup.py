@@ -30,6 +30,8 @@ from tributary.llm.shared import BROADCAST_ROWS, documents, spread, stage
 
 TREES, DEPTH, VALUES = 16, 3, 128
 REGION, LOOSE, BLOCK = 1024, 0.7, 1 << 20
+#: Signatures handled at a time.
+PART = 1024
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _A = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -92,8 +94,8 @@ def _prefixes(buckets: int):
     def map_chunks(batches):
         number = numbered()
         for batch in batches:
-            for low in range(0, batch.num_rows, 8192):
-                part = batch.slice(low, 8192)
+            for low in range(0, batch.num_rows, PART):
+                part = batch.slice(low, PART)
                 signature = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, VALUES)
                 names = _prefix_names(signature)
                 chunk, found = next(number), distinct(names)[0]

@@ -29,6 +29,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,7 +42,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, df: DataFrame, times: int = 4) -> int:
-    """How many buckets to deal packed records into: follows the number of input partitions."""
+    """How many buckets to deal packed records into: follows the number of input partitions. Also
+    sees to it that Arrow batches of whole texts stay small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return max(16, times * df.rdd.getNumPartitions())
 
 
@@ -51,6 +58,9 @@ def text_key(text: Column) -> Column:
 BROADCAST_ROWS = 1_000_000
 
 
-def matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on (doc_id, key), where a null doc_id is a value like others."""
-    return left.join(right, left["doc_id"].eqNullSafe(right["doc_id"]) & (left["key"] == right["key"]), how)
+def matched(left: DataFrame, right: DataFrame, how: str, hint: str | None = None) -> DataFrame:
+    """Join on (doc_id, key), where a null doc_id is a value like others; keeps left's two."""
+    names = {"doc_id": "_doc_id", "key": "_key"}
+    right = right.withColumnsRenamed(names)
+    joined = left.join(right.hint(hint) if hint else right, left["doc_id"].eqNullSafe(right["_doc_id"]) & (left["key"] == right["_key"]), how)
+    return joined.drop(*names.values())

@@ -185,7 +185,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM) ->
         flagged = F.broadcast(flagged)  # two longs a row; a larger set is joined by shuffle
     tied = matched(docs, flagged, "left_semi")
     free = matched(docs, flagged, "left_anti")
-    tied = matched(tied, flags.hint("merge"), "inner").select(tied["doc_id"], tied["key"], "text", "runs", "near")
+    tied = matched(tied, flags, "inner", "merge").select("doc_id", "key", "text", "runs", "near")
     cut = exchange(tied.mapInArrow(_suffixes(buckets, length), SENT), buckets, NAME, _equal_suffixes, _removals(buckets, length), "doc_id long, key long, starts array<int>, ends array<int>, kept binary")
     none = F.array().cast("array<int>")
     whole = free.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("span_starts"), none.alias("span_ends"), F.col("text").cast("binary").alias("kept"))
