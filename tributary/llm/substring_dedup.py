@@ -3,7 +3,7 @@
 1. Sampling. Synchronised word positions (least name of `gram` words among the starts that fit a
    window) lie at equal offsets in equal windows. Samples that two documents share mark the
    stretches in which suffixes can be repeated; suffixes elsewhere are in no tree.
-2. Prefix partition. Counts of the suffixes by first word set the groups: rare first words share
+2. Prefix partition. Counts of shared samples by first word set the groups: rare first words share
    one, frequent ones are split by prefixes of two, three or more words until a group holds about
    `target` suffixes. A group's suffixes go to one task; equal windows have equal prefixes.
 3. Subtrees. A node at depth `window` is a set of suffixes with equal first `window` words (equal
@@ -22,7 +22,7 @@ from tributary.llm.exchange import NAME, SENT, bits_back, bits_of, by_name, dist
 from tributary.llm.names import Named, chunks, mix, packed, synchronised, words_of
 from tributary.llm.shared import BROADCAST_ROWS, documents, matched, spread, stage, text_key
 
-GRAM = 5
+GRAM = 4
 BINS = 4096
 
 
@@ -43,7 +43,15 @@ class _Words:
         return at, names[at]
 
 
+def _least(values: np.ndarray) -> np.ndarray:
+    """As bytes if they fit."""
+    return values.astype(np.uint8 if not len(values) or values.max() < 256 else np.uint32)
+
+
 def _samples(buckets: int, window: int, gram: int):
+    """Sends a sample's name once if several documents of the chunk hold it (which settles it
+    there), else at each place; a bucket's names stand in the order of places."""
+
     def map_chunks(batches):
         number = numbered()
         for batch, x, ends in chunks(batches):
@@ -51,13 +59,20 @@ def _samples(buckets: int, window: int, gram: int):
             every = words.named.every(gram)
             at = synchronised((every >> np.uint64(32)).astype(np.uint32), window - gram + 1)
             at = at[words.doc[at] == words.doc[at + gram - 1]]
-            names, which, _ = distinct(every[at])
-            one = np.full(len(names), -1, np.int64)  # a document of each, and whether it has others
-            one[which] = words.doc[at]
-            several = np.zeros(len(names), bool)
-            several[which[one[which] != words.doc[at]]] = True
-            kept = kept_row(buckets, chunk, (_ids(batch), words.first, several, by_name(names, buckets).astype(np.uint32), np.diff(at, prepend=0).astype(np.uint32 if len(at) and np.diff(at, prepend=0).max() > 65535 else np.uint16), which.astype(np.uint32)))
-            yield rows([*sent_rows(chunk, names, by_name(names, buckets)), kept])
+            name, doc = every[at], words.doc[at]
+            order = np.argsort(name, kind="stable")
+            first = run_starts(name[order])
+            several = np.zeros(len(at), bool)
+            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
+            several[order] = (doc[order][np.append(first[1:], len(at)) - 1] != doc[order][first])[run] if len(at) else False
+            sends = ~several
+            sends[order[first]] = True
+            bucket = by_name(name, buckets)
+            sent = np.flatnonzero(sends)
+            sent = sent[np.argsort(bucket[sent], kind="stable")]
+            bins = (words.word[at] % np.uint64(BINS)).astype(np.uint16)
+            kept = kept_row(buckets, chunk, (_ids(batch), words.first, np.packbits(several), np.packbits(sends), _least(bucket), _least(np.diff(at, prepend=0)), bins))
+            yield rows([*sent_rows(chunk, name[sent], bucket[sent]), kept])
 
     return map_chunks
 
@@ -67,39 +82,48 @@ def _ids(batch: pa.RecordBatch) -> tuple[list, np.ndarray]:
 
 
 def _shared(names: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
-    _, which, count = distinct(names)
-    return bits_back(count[which] > 1, cuts)
+    """Names that more than one chunk sent."""
+    part = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    order = np.lexsort((part, names))
+    first = run_starts(names[order])
+    last = np.append(first[1:], len(names)) - 1
+    flag = np.zeros(len(names), bool)
+    flag[order] = np.repeat(part[order][last] != part[order][first], last - first + 1)
+    return bits_back(flag, cuts)
 
 
 def _stretches(window: int, gram: int):
     def finish(kept, back) -> pd.DataFrame:
-        (ids, keys), first, several, bucket, steps, which = kept
-        at = np.cumsum(steps.astype(np.int64))
-        at = at[(bits_of(back, bucket) | several)[which]]
+        (ids, keys), first, several, sends, bucket, steps, bins = kept
+        n = len(steps)
+        tied, sends = np.unpackbits(several, count=n).astype(bool), np.unpackbits(sends, count=n).astype(bool)
+        sent = np.flatnonzero(sends)
+        sent = sent[np.argsort(bucket[sent], kind="stable")]
+        tied[sent] |= bits_of(back, bucket[sent])
+        at = np.cumsum(steps.astype(np.int64))[tied]
+        bins = bins[tied]
         doc = np.searchsorted(first, at, "right") - 1
         lo, hi = np.maximum(at - (window - gram), first[doc]), np.minimum(at + window, first[doc + 1])
         whole = hi - lo >= window
-        lo, hi, doc = lo[whole], hi[whole], doc[whole]
+        lo, hi, doc, bins = lo[whole], hi[whole], doc[whole], bins[whole]
         cut = run_starts(doc) if len(doc) else []
         found = []
         for a, b in zip(cut, [*cut[1:], len(doc)]):
             d = doc[a]
-            found.append((ids[d], keys[d], packed(np.stack([lo[a:b], hi[a:b]], 1) - first[d], "<u4")))
-        return pd.DataFrame(found, columns=["doc_id", "key", "near"]).astype({"doc_id": "Int64"})
+            found.append((ids[d], keys[d], packed(np.stack([lo[a:b], hi[a:b]], 1) - first[d], "<u4"), packed(bins[a:b], "<u2")))
+        return pd.DataFrame(found, columns=["doc_id", "key", "near", "bins"]).astype({"doc_id": "Int64"})
 
     return finish
 
 
-def _candidates(words: _Words, ids: list, near: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, path labels and document ids of the suffixes inside the stretches; a null id has none."""
-    edge = np.zeros(len(words.doc) + 2, np.int64)
+def _inside(first: np.ndarray, ids: list, near: list[np.ndarray], window: int) -> np.ndarray:
+    """Starts of the suffixes inside the stretches; a document with a null id has none."""
+    edge = np.zeros(first[-1] + 2, np.int64)
     for k, spans in enumerate(near):
         if ids[k] is not None:
-            np.add.at(edge, spans[:, 0] + words.first[k], 1)
-            np.add.at(edge, spans[:, 1] + words.first[k] - window + 1, -1)
-    at = np.flatnonzero(np.cumsum(edge)[:-2] > 0)
-    own = np.array([0 if i is None else i for i in ids], np.int64)
-    return at, words.named.of(at, at + window), own[words.doc[at]]
+            np.add.at(edge, spans[:, 0] + first[k], 1)
+            np.add.at(edge, spans[:, 1] + first[k] - window + 1, -1)
+    return np.flatnonzero(np.cumsum(edge)[:-2] > 0)
 
 
 class _Groups:
@@ -125,48 +149,41 @@ def _near(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(v.as_py(), "<u4").astype(np.int64).reshape(-1, 2) for v in batch.column("near")]
 
 
-def _prefix_counts(window: int):
-    def count(batches):
-        total = np.zeros(BINS, np.int64)
-        for batch, x, ends in chunks(batches):
-            words = _Words(x, ends)
-            at, _, _ = _candidates(words, _ids(batch)[0], _near(batch), window)
-            total += np.bincount((words.word[at] % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bin": used, "n": total[used]})
-
-    return count
+def _prefix_counts(batches):
+    total = np.zeros(BINS, np.int64)
+    for batch in batches:
+        total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=BINS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"bin": used, "n": total[used]})
 
 
 def _leaves(record: np.dtype, lowest: int, groups: _Groups, window: int):
+    """Sends the leaves of a chunk's least document at each node; those of later ones are repeats
+    already. A group's leaves stand in the order of places."""
+
     def map_chunks(batches):
         number = numbered()
         for batch, x, ends in chunks(batches):
-            chunk, near, ids = next(number), _near(batch), _ids(batch)
-            found, bucket, _, _ = _chunk_leaves(_Words(x, ends), ids[0], near, window, groups, record, lowest)
-            yield rows([*sent_rows(chunk, found, bucket), kept_row(groups.buckets, chunk, (ids, x.tobytes(), ends, near))])
+            words, near, ids = _Words(x, ends), _near(batch), _ids(batch)
+            at = _inside(words.first, ids[0], near, window)
+            own = np.array([0 if i is None else i for i in ids[0]], np.int64)[words.doc[at]]
+            label = words.named.of(at, at + window)
+            names, which, _ = distinct(label)
+            least = np.full(len(names), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, own)
+            later = own > least[which]
+            bucket = groups.of(words, at)
+            sent = np.flatnonzero(~later)
+            sent = sent[np.argsort(bucket[sent], kind="stable")]
+            found = np.zeros(len(sent), record)
+            found["name"], found["doc"] = label[sent], own[sent] - lowest
+            chunk = next(number)
+            kept = kept_row(groups.buckets, chunk, (ids, words.first, near, np.packbits(later), _least(bucket)))
+            yield rows([*sent_rows(chunk, found, bucket[sent]), kept])
 
     return map_chunks
 
 
-def _chunk_leaves(words: _Words, ids: list, near: list, window: int, groups: _Groups, record: np.dtype, lowest: int):
-    """A leaf for each node and chunk, of the chunk's smallest document; then which leaf each
-    suffix belongs to and whether it is of a later document."""
-    at, label, doc = _candidates(words, ids, near, window)
-    names, which, _ = distinct(label)
-    least = np.full(len(names), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, doc)
-    some = np.zeros(len(names), np.int64)
-    some[which] = at
-    bucket = groups.of(words, some)
-    order = np.argsort(bucket, kind="stable")
-    found = np.zeros(len(names), record)
-    found["name"], found["doc"] = names[order], (least - lowest)[order]
-    place = np.empty(len(names), np.int64)
-    place[order] = np.arange(len(names))
-    return found, bucket[order], (at, place[which]), doc > least[which]
-
-
 def _later(found: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
     """Leaves of nodes that a smaller document is in as well."""
     _, which, count = distinct(found["name"])
@@ -175,27 +192,45 @@ def _later(found: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
     return bits_back(found["doc"] > least[which], cuts)
 
 
-def _removals(record: np.dtype, lowest: int, groups: _Groups, window: int):
+def _spans(window: int):
     def finish(kept, back) -> pd.DataFrame:
-        (ids, keys), text, ends, near = kept
-        words = _Words(np.frombuffer(text, np.uint8), ends)
-        found, bucket, (at, leaf), later = _chunk_leaves(words, ids, near, window, groups, record, lowest)
-        at = at[later | bits_of(back, bucket)[leaf]]
-        edge = np.zeros(len(words.doc) + 1, np.int64)
-        edge[at] += 1
-        edge -= np.bincount(at + window, minlength=len(edge))[: len(edge)]
-        gone, out = np.cumsum(edge)[:-1] > 0, []
-        for k in range(len(ends)):
-            a, b = words.first[k], words.first[k + 1]
-            g = gone[a:b]
-            turn = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-            left = b" ".join(text[s:e] for s, e in zip(words.start[a:b][~g], words.end[a:b][~g]))
-            out.append((ids[k], keys[k], int(b - a), turn[::2].tolist(), turn[1::2].tolist(), left.decode("utf-8", "replace")))
-        return pd.DataFrame(out, columns=["doc_id", "key", "n_words", "starts", "ends", "kept"]).astype({"doc_id": "Int64"})
+        (ids, keys), first, near, later, bucket = kept
+        at = _inside(first, ids, near, window)
+        repeat = np.unpackbits(later, count=len(at)).astype(bool)
+        sent = np.flatnonzero(~repeat)
+        sent = sent[np.argsort(bucket[sent], kind="stable")]
+        repeat[sent] = bits_of(back, bucket[sent])
+        at, out = at[repeat], []
+        edge = np.bincount(at, minlength=first[-1] + 1) - np.bincount(at + window, minlength=first[-1] + 1)
+        gone = np.cumsum(edge)[:-1] > 0
+        for k in range(len(ids)):
+            g = gone[first[k] : first[k + 1]]
+            if g.any():
+                turn = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
+                out.append((ids[k], keys[k], turn[::2].tolist(), turn[1::2].tolist()))
+        return pd.DataFrame(out, columns=["doc_id", "key", "span_starts", "span_ends"]).astype({"doc_id": "Int64"})
 
     return finish
 
 
+def _without_spans(batches):
+    for batch, x, ends in chunks(batches):
+        words, text = _Words(x, ends), x.tobytes()
+        n_words, kept = np.diff(words.first), []
+        for k, (starts, stops) in enumerate(zip(batch.column("span_starts").to_pylist(), batch.column("span_ends").to_pylist())):
+            at = [0, *(t for span in zip(starts, stops) for t in span), int(n_words[k])]
+            left = [i + words.first[k] for a, b in zip(at[::2], at[1::2]) for i in range(a, b)]
+            kept.append(b" ".join(text[words.start[i] : words.end[i]] for i in left).decode())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("key"), pa.array(n_words, pa.int64()), batch.column("span_starts"), batch.column("span_ends"), pa.array(kept, pa.string())], names=["doc_id", "key", "n_words", "span_starts", "span_ends", "kept"])
+
+
+def _among(docs: DataFrame, keyed: DataFrame, n: int, how: str) -> DataFrame:
+    """Rows of docs that are (not) among n keyed ones; the keys, two longs each, are broadcast only
+    if they are few."""
+    keys = keyed.select("doc_id", "key")
+    return matched(docs, F.broadcast(keys) if n <= BROADCAST_ROWS else keys, how)
+
+
 def substring_dedup(docs: DataFrame, window: int = 13, gram: int = GRAM) -> DataFrame:
     """Remove from every text the words of each `window`-word sequence that also starts in a
     document with a smaller doc_id; windows are judged on the input.
@@ -210,27 +245,28 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = GRAM) -> Data
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     buckets = spread(docs.sparkSession, docs)
     sent = docs.mapInArrow(_samples(buckets, window, gram), SENT)
-    flags = exchange(sent, buckets, NAME, _shared, _stretches(window, gram), "doc_id long, key long, near binary")
+    flags = exchange(sent, buckets, NAME, _shared, _stretches(window, gram), "doc_id long, key long, near binary, bins binary")
     flags = stage(flags.dropDuplicates(["doc_id", "key"]), "stretches")
     bounds = flags.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    flagged = flags.select("doc_id", "key")
-    if bounds[0] <= BROADCAST_ROWS:
-        flagged = F.broadcast(flagged)  # two longs a row; a larger set is joined by shuffle
-    tied, free = matched(docs, flagged, "left_semi"), matched(docs, flagged, "left_anti")
-    tied = matched(tied, flags.hint("merge"), "inner").select(tied["doc_id"], tied["key"], "text", "near")
+    tied = matched(_among(docs, flags, bounds[0], "left_semi"), flags.select("doc_id", "key", "near"), "inner", "merge").select("doc_id", "key", "text", "near")
     lowest, highest = bounds[1] or 0, bounds[2] or 0
     record = np.dtype([("name", "<u8"), ("doc", "<u4" if highest - lowest < 1 << 32 else "<u8")])
     counts = np.zeros(BINS, np.int64)
-    for r in tied.mapInArrow(_prefix_counts(window), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most BINS rows
+    for r in flags.select("bins").mapInArrow(_prefix_counts, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most BINS rows
         counts[r["bin"]] = r["n"]
     groups = _Groups(counts, buckets)
-    cut = exchange(tied.mapInArrow(_leaves(record, lowest, groups, window), SENT), groups.buckets, record, _later, _removals(record, lowest, groups, window), "doc_id long, key long, n_words long, starts array<int>, ends array<int>, kept string")
+    spans = exchange(tied.mapInArrow(_leaves(record, lowest, groups, window), SENT), groups.buckets, record, _later, _spans(window), "doc_id long, key long, span_starts array<int>, span_ends array<int>")
+    spans = stage(spans, "repeats")
+    n = spans.count()
+    cut = matched(_among(docs, spans, n, "left_semi"), spans, "inner", "merge").select("doc_id", "key", "text", "span_starts", "span_ends")
+    cut = cut.mapInArrow(_without_spans, "doc_id long, key long, n_words long, span_starts array<int>, span_ends array<int>, kept string")
+    free = _among(docs, spans, n, "left_anti")
     none = F.array().cast("array<int>")
     plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
     free = free.select("doc_id", "key", plain.alias("kept"))
     n_words = F.when(F.col("kept") == "", 0).otherwise(F.octet_length("kept") - F.octet_length(F.replace("kept", F.lit(" "), F.lit(""))) + 1)
     whole = free.select("doc_id", "key", n_words.cast("long").alias("n_words"), none.alias("span_starts"), none.alias("span_ends"), "kept")
-    return whole.unionByName(cut.withColumnsRenamed({"starts": "span_starts", "ends": "span_ends"}))
+    return whole.unionByName(cut)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
