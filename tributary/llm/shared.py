@@ -54,8 +54,8 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-#: Most rows of two longs that are broadcast (some 32 MB).
-BROADCAST_ROWS = 1_000_000
+#: Most rows of two longs that are broadcast (some 60 MB as a hash table).
+BROADCAST_ROWS = 300_000
 
 
 def matched(left: DataFrame, right: DataFrame, how: str, hint: str | None = None) -> DataFrame:
