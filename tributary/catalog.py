@@ -94,6 +94,8 @@ x_judged as (select t.yr, t.type_id, t.rnk, t.to_city, p.pos, row_number() over
   from fx_truth t left join x_ranked p on p.yr = t.yr and p.type_id = t.type_id and p.to_city = t.to_city),
 x_queries as (select yr, type_id, from_city, row_number() over (partition by yr order by {_QMD5}, type_id) as k, count(*) over (partition by yr) as n
   from (select distinct yr, type_id, from_city from fx_base) q),
+x_positive as (select yr, type_id, row_number() over (partition by yr order by {_QMD5}, type_id) as k, count(*) over (partition by yr) as n
+  from (select distinct yr, type_id from fx_truth) q),
 x_label as (select *, case when rnk between 1 and 20 then 1 else 0 end as label from fx_base),
 x_hard as (select *, to_city in ({', '.join(map(str, HARD))}) or floor(from_city / 100) = floor(to_city / 100) as hard from x_label),
 x_kept as (select * from (select *, sum(case when rnk = 0 and not hard then 1 else 0 end) over (partition by yr, type_id) as rest,
@@ -759,12 +761,12 @@ _LABELLED = f"{_KEYS} label:i weight:d {_FEATURES}"
 _ROW = "b.yr, b.type_id, b.from_city, b.to_city, b.label, b.weight"
 
 
-@query(_LABELLED, _feature_sql("select k.yr, k.type_id, k.from_city, k.to_city, k.label, case when rnk between 1 and 5 then 40 when rnk between 6 and 20 then 30 else 1 end as weight from x_kept k join x_queries q on q.yr = k.yr and q.type_id = k.type_id where q.k <= floor(q.n * 0.6)", _ROW))
+@query(_LABELLED, _feature_sql("select k.yr, k.type_id, k.from_city, k.to_city, k.label, case when rnk between 1 and 5 then 40 when rnk between 6 and 20 then 30 else 1 end as weight from x_kept k join x_positive q on q.yr = k.yr and q.type_id = k.type_id where q.k <= floor(q.n * 0.6)", _ROW))
 def recall_training_set(fx):
     return pipelines.recall_training(fx.base, pairs(fx), WAGES, VACANCIES, HARD)
 
 
-@query(_LABELLED, _feature_sql("select k.yr, k.type_id, k.from_city, k.to_city, case when rnk between 1 and 10 then 12 - rnk when rnk between 11 and 20 then 1 else 0 end as label, 1 as weight from x_kept k join x_queries q on q.yr = k.yr and q.type_id = k.type_id where q.k <= floor(q.n * 0.6)", _ROW))
+@query(_LABELLED, _feature_sql("select k.yr, k.type_id, k.from_city, k.to_city, case when rnk between 1 and 10 then 12 - rnk when rnk between 11 and 20 then 1 else 0 end as label, 1 as weight from x_kept k join x_positive q on q.yr = k.yr and q.type_id = k.type_id where q.k <= floor(q.n * 0.6)", _ROW))
 def ranking_training_set(fx):
     return pipelines.ranking_training(fx.base, pairs(fx), WAGES, VACANCIES, HARD)
 
