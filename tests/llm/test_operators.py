@@ -120,6 +120,16 @@ def test_near_duplicates(docs, rows, size, percent):
     assert _sorted(tuple(r) for r in got) == _sorted(want)
 
 
+def test_isolated_pairs_at_the_threshold_are_found(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(3000):  # 80 words of 100 are common
+        w = [f"{rng.getrandbits(40):x}" for _ in range(100)]
+        rows += [(2 * k, " ".join(w[:90])), (2 * k + 1, " ".join(w[:80] + w[90:]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 1, 80)
+    assert got.where("component_id <> doc_id - doc_id % 2").count() == 0
+
+
 def test_large_bundles_are_followed_in_blocks(docs, rows, monkeypatch):
     want = _sorted(tuple(r) for r in near_dedup.near_duplicates(docs).collect())
     monkeypatch.setattr(near_dedup, "BLOCK", 100)

@@ -2,13 +2,15 @@
 
 1. Sets and signatures: each text's distinct shingles give two fingerprints of the set and VALUES
    minima. Texts with equal sets are one from here on (their least doc_id stands for them).
-2. Forest. TREES orders of the signature, each starting elsewhere in it, sort the texts. A text
-   takes part in an order if another shares its first DEPTH values there; orders are dealt by
-   ranges of the whole key, so a region of any size is spread over tasks. A region of neighbours
-   with that common prefix is deepened, value by value, until its parts hold REGION texts at most;
-   within a part, and between neighbours in the order, texts whose signatures agree in LOOSE of
-   their values are candidates. With similarity 0.85, 16 orders of depth 3 miss a pair with
-   probability 3e-7, and fewer than 0.7 of 128 values agree with probability 1e-6.
+2. Forest. Orders of the signature, each starting elsewhere in it, sort the texts. A text takes
+   part in an order if another shares its first values there; orders are dealt by ranges of the
+   whole key, so a region of any size is spread over tasks. A region of neighbours with that common
+   prefix is deepened, value by value, until its parts hold REGION texts at most; within a part,
+   and between neighbours in the order, texts whose signatures agree in enough values are
+   candidates. `forest` takes the number of orders, their depth and the values that must agree
+   from `percent`: a pair at that similarity shares no prefix with probability MISS at most (20
+   orders of depth 3 for 80 percent, 15 for 85), and agrees in too few values (79 and 87 of 128
+   are enough) with probability MISS at most.
 3. Confirmation. Candidates join into bundles; each bundle's whole texts go to one task, which
    follows the links from text to text on full sets, so connectivity is exact whatever the number
    of links. Bundles of over BLOCK shingles are dealt in blocks, and every pair of blocks is one
@@ -17,6 +19,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,8 +32,8 @@ from tributary.llm.exchange import NAME, SENT, bits_back, bits_of, by_name, dist
 from tributary.llm.names import Named, chunks, mix, words_of
 from tributary.llm.shared import BROADCAST_ROWS, documents, spread, stage
 
-TREES, DEPTH, VALUES = 16, 3, 128
-REGION, LOOSE, BLOCK = 1024, 0.7, 1 << 20
+DEPTH, VALUES, MISS = 3, 128, 1e-6
+REGION, BLOCK = 1024, 1 << 20
 #: Signatures handled at a time.
 PART = 1024
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -84,20 +88,32 @@ def _measured(size: int):
     return map_chunks
 
 
-def _orders(signature: np.ndarray) -> np.ndarray:
+def forest(percent: int) -> tuple[int, int, int]:
+    """Orders, their depth (DEPTH, or less if so many orders would overlap) and the number of equal
+    values that makes a candidate, such that either lets a pair at `percent` through but for MISS."""
+    p = min(max(percent, 1), 99) / 100
+    for depth in range(DEPTH, 0, -1):
+        trees = math.ceil(math.log(MISS) / math.log1p(-(p**depth)))
+        if trees * depth <= VALUES:
+            break
+    below = np.cumsum([math.comb(VALUES, k) * p**k * (1 - p) ** (VALUES - k) for k in range(VALUES + 1)])
+    return min(trees, VALUES), depth, int((below <= MISS).sum())
+
+
+def _orders(signature: np.ndarray, trees: int) -> np.ndarray:
     """A document's key in every order: VALUES values from the order's own place on."""
-    turn = (np.arange(TREES)[:, None] * (VALUES // TREES) + np.arange(VALUES)[None, :]) % VALUES
+    turn = (np.arange(trees)[:, None] * (VALUES // trees) + np.arange(VALUES)[None, :]) % VALUES
     return signature[:, turn]
 
 
-def _prefixes(buckets: int):
+def _prefixes(buckets: int, trees: int, depth: int):
     def map_chunks(batches):
         number = numbered()
         for batch in batches:
             for low in range(0, batch.num_rows, PART):
                 part = batch.slice(low, PART)
                 signature = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, VALUES)
-                names = _prefix_names(signature)
+                names = _prefix_names(signature, trees, depth)
                 chunk, found = next(number), distinct(names)[0]
                 kept = kept_row(buckets, chunk, (part.column(0).to_numpy(), signature.tobytes()))
                 yield rows([*sent_rows(chunk, found, by_name(found, buckets)), kept])
@@ -105,10 +121,10 @@ def _prefixes(buckets: int):
     return map_chunks
 
 
-def _prefix_names(signature: np.ndarray) -> np.ndarray:
-    key = _orders(signature)[:, :, :DEPTH].astype(np.uint64)
-    name = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), key.shape[:2])
-    for d in range(DEPTH):
+def _prefix_names(signature: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    key = _orders(signature, trees)[:, :, :depth].astype(np.uint64)
+    name = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), key.shape[:2])
+    for d in range(depth):
         name = mix(name * np.uint64(65599) + key[:, :, d])
     return name.reshape(-1)
 
@@ -118,13 +134,13 @@ def _shared(names: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
     return bits_back(count[which] > 1, cuts)
 
 
-def _in_orders(buckets: int):
+def _in_orders(buckets: int, trees: int, depth: int):
     def finish(kept, back) -> pd.DataFrame:
         ids, raw = kept
         signature = np.frombuffer(raw, np.uint16).reshape(-1, VALUES)
-        names, which, count = distinct(_prefix_names(signature))
-        doc, tree = np.divmod(np.flatnonzero((bits_of(back, by_name(names, buckets)) | (count > 1))[which]), TREES)
-        keys = _orders(signature).astype(">u2")[doc, tree] if len(doc) else []
+        names, which, count = distinct(_prefix_names(signature, trees, depth))
+        doc, tree = np.divmod(np.flatnonzero((bits_of(back, by_name(names, buckets)) | (count > 1))[which]), trees)
+        keys = _orders(signature, trees).astype(">u2")[doc, tree] if len(doc) else []
         return pd.DataFrame({"tree": tree.astype(np.int32), "place": [k.tobytes() for k in keys], "id": ids[doc]})
 
     return finish
@@ -144,34 +160,38 @@ def _linked(similar, n: int) -> list[tuple[int, int]]:
     return links
 
 
-def _neighbours(batches):
+def _neighbours(trunk: int, agree: int):
     """Candidate links of texts sorted by tree and key; regions are runs with a common prefix."""
-    tree, key, ids = [], [], []
-    for batch in batches:
-        tree.append(batch.column(0).to_numpy())
-        key.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, VALUES))
-        ids.append(batch.column(2).to_numpy())
-    if not ids:
-        return
-    tree, key, ids = np.concatenate(tree), np.concatenate(key).astype(np.uint16), np.concatenate(ids)
-    depth = np.where(tree[1:] == tree[:-1], np.argmax(np.column_stack([key[1:] != key[:-1], np.ones(len(ids) - 1, bool)]), 1), 0)
-    links = []
-    for i in np.flatnonzero(depth >= DEPTH):
-        if (key[i] == key[i + 1]).mean() >= LOOSE:
-            links.append((i, i + 1))
-    todo = [(0, len(ids), DEPTH)]
-    while todo:
-        lo, hi, d = todo.pop()
-        cuts = [lo, *(lo + 1 + np.flatnonzero(depth[lo : hi - 1] < d)), hi]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a > REGION and d < VALUES:
-                todo.append((a, b, d + 1))
-            elif b - a > 1:
-                own = key[a:b]
-                links += [(a + i, a + j) for i, j in _linked(lambda i, rest, own=own: (own[rest] == own[i]).mean(1) >= LOOSE, b - a)]
-    if links:
-        at = np.unique(ids[np.array(links)], axis=0)
-        yield pa.RecordBatch.from_pydict({"a": at[:, 0], "b": at[:, 1]})
+
+    def map_chunks(batches):
+        tree, key, ids = [], [], []
+        for batch in batches:
+            tree.append(batch.column(0).to_numpy())
+            key.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, VALUES))
+            ids.append(batch.column(2).to_numpy())
+        if not ids:
+            return
+        tree, key, ids = np.concatenate(tree), np.concatenate(key).astype(np.uint16), np.concatenate(ids)
+        depth = np.where(tree[1:] == tree[:-1], np.argmax(np.column_stack([key[1:] != key[:-1], np.ones(len(ids) - 1, bool)]), 1), 0)
+        links = []
+        for i in np.flatnonzero(depth >= trunk):
+            if (key[i] == key[i + 1]).sum() >= agree:
+                links.append((i, i + 1))
+        todo = [(0, len(ids), trunk)]
+        while todo:
+            lo, hi, d = todo.pop()
+            cuts = [lo, *(lo + 1 + np.flatnonzero(depth[lo : hi - 1] < d)), hi]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b - a > REGION and d < VALUES:
+                    todo.append((a, b, d + 1))
+                elif b - a > 1:
+                    own = key[a:b]
+                    links += [(a + i, a + j) for i, j in _linked(lambda i, rest, own=own: (own[rest] == own[i]).sum(1) >= agree, b - a)]
+        if links:
+            at = np.unique(ids[np.array(links)], axis=0)
+            yield pa.RecordBatch.from_pydict({"a": at[:, 0], "b": at[:, 1]})
+
+    return map_chunks
 
 
 def _confirmed(size: int, percent: int):
@@ -211,16 +231,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     columns are ignored; an empty table gives none. Links are confirmed on full sets.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets = spread(docs.sparkSession, docs)
+    buckets, (trees, depth, agree) = spread(docs.sparkSession, docs), forest(percent)
     sets = stage(docs.mapInArrow(_measured(shingle), "doc_id long, n_shingles long, set_a long, set_b long, signature binary"), "sets")
     known = sets.where("n_shingles > 0 and doc_id is not null")
     same = stage(known.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep")), "same")
     members = known.select("doc_id", "n_shingles", "set_a", "set_b").join(same, ["n_shingles", "set_a", "set_b"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     reps = known.join(same.withColumnRenamed("rep", "doc_id"), ["doc_id", "n_shingles", "set_a", "set_b"]).select("doc_id", "signature", "n_shingles").dropDuplicates(["doc_id"])
-    flagged = exchange(reps.select("doc_id", "signature").mapInArrow(_prefixes(buckets), SENT), buckets, NAME, _shared, _in_orders(buckets), "tree int, place binary, id long")
+    flagged = exchange(reps.select("doc_id", "signature").mapInArrow(_prefixes(buckets, trees, depth), SENT), buckets, NAME, _shared, _in_orders(buckets, trees, depth), "tree int, place binary, id long")
     flagged = stage(flagged, "orders")
     sorted_ = flagged.repartitionByRange("tree", "place", "id").sortWithinPartitions("tree", "place", "id")
-    bundles = connected_components(sorted_.mapInArrow(_neighbours, "a long, b long"))
+    bundles = connected_components(sorted_.mapInArrow(_neighbours(depth, agree), "a long, b long"))
     sized = bundles.join(known.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).withColumnRenamed("doc_id", "id"), "id")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     task = stage(sized.join(blocks, "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block")), "bundles")
