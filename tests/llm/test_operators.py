@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,21 @@ def test_isolated_pairs_at_the_threshold_are_found(spark):
     assert got.where("component_id <> doc_id - doc_id % 2").count() == 0
 
 
+def test_pairs_of_large_regions_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 7)
+    rng = np.random.default_rng(6)
+    signature = rng.integers(0, 1 << 16, (200, near_dedup.VALUES)).astype(np.uint16)
+    signature[:, 3::8] = 5  # a template: one region that only its first value tells
+    for k in range(0, 200, 2):
+        signature[k + 1] = np.where(rng.random(near_dedup.VALUES) < 0.85, signature[k], signature[k + 1])
+    rows = [(1, k, s.tobytes()) for k, s in enumerate(signature)] + [(2, k, signature[k].tobytes()) for k in (0, 150)]
+    dealt = near_dedup._in_blocks(spark.createDataFrame(rows, "region long, id long, signature binary"))
+    assert dealt.groupBy("region", "x", "y").count().where("count > 30").count() == 0
+    got = dealt.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "block").mapInArrow(near_dedup._candidates(87), "a long, b long").collect()
+    want = {(i, j) for i in range(200) for j in range(i) if (signature[i] == signature[j]).sum() >= 87}
+    assert len(want) > 90 and {(max(r), min(r)) for r in got} == want
+
+
 def test_large_bundles_are_followed_in_blocks(docs, rows, monkeypatch):
     want = _sorted(tuple(r) for r in near_dedup.near_duplicates(docs).collect())
     monkeypatch.setattr(near_dedup, "BLOCK", 100)

@@ -2,15 +2,15 @@
 
 1. Sets and signatures: each text's distinct shingles give two fingerprints of the set and VALUES
    minima. Texts with equal sets are one from here on (their least doc_id stands for them).
-2. Forest. Orders of the signature, each starting elsewhere in it, sort the texts. A text takes
-   part in an order if another shares its first values there; orders are dealt by ranges of the
-   whole key, so a region of any size is spread over tasks. A region of neighbours with that common
-   prefix is deepened, value by value, until its parts hold REGION texts at most; within a part,
-   and between neighbours in the order, texts whose signatures agree in enough values are
-   candidates. `forest` takes the number of orders, their depth and the values that must agree
-   from `percent`: a pair at that similarity shares no prefix with probability MISS at most (20
-   orders of depth 3 for 80 percent, 15 for 85), and agrees in too few values (79 and 87 of 128
-   are enough) with probability MISS at most.
+2. Forest. Orders of the signature, each starting elsewhere in it. Texts that share the first
+   values there are a region of that order, and all pairs of a region are compared: texts whose
+   signatures agree in enough values are candidates. A region of over REGION texts is dealt in
+   blocks, and every pair of blocks is one group of rows, so a region of any size is spread over
+   tasks and no pair is left out; the work for n texts in a region is n^2 / 2 comparisons. `forest`
+   takes the number of orders, their depth and the values that must agree from `percent`: a pair at
+   that similarity shares no region with probability MISS at most (20 orders of depth 3 for 80
+   percent, 15 for 85), and agrees in too few values (79 and 87 of 128 are enough) with
+   probability MISS at most, however large the regions are.
 3. Confirmation. Candidates join into bundles; each bundle's whole texts go to one task, which
    follows the links from text to text on full sets, so connectivity is exact whatever the number
    of links. Bundles of over BLOCK shingles are dealt in blocks, and every pair of blocks is one
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.components import connected_components
-from tributary.llm.exchange import NAME, SENT, bits_back, bits_of, by_name, distinct, exchange, kept_row, numbered, rows, run_starts, sent_rows
+from tributary.llm.exchange import NAME, SENT, bits_back, bits_of, by_name, distinct, exchange, kept_row, numbered, rows, run_lengths, run_starts, sent_rows
 from tributary.llm.names import Named, chunks, mix, words_of
 from tributary.llm.shared import BROADCAST_ROWS, documents, spread, stage
 
 DEPTH, VALUES, MISS = 3, 128, 1e-6
-REGION, BLOCK = 1024, 1 << 20
+REGION, BLOCK = 4096, 1 << 20
 #: Signatures handled at a time.
 PART = 1024
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -100,12 +100,6 @@ def forest(percent: int) -> tuple[int, int, int]:
     return min(trees, VALUES), depth, int((below <= MISS).sum())
 
 
-def _orders(signature: np.ndarray, trees: int) -> np.ndarray:
-    """A document's key in every order: VALUES values from the order's own place on."""
-    turn = (np.arange(trees)[:, None] * (VALUES // trees) + np.arange(VALUES)[None, :]) % VALUES
-    return signature[:, turn]
-
-
 def _prefixes(buckets: int, trees: int, depth: int):
     def map_chunks(batches):
         number = numbered()
@@ -122,7 +116,8 @@ def _prefixes(buckets: int, trees: int, depth: int):
 
 
 def _prefix_names(signature: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    key = _orders(signature, trees)[:, :, :depth].astype(np.uint64)
+    turn = np.arange(trees)[:, None] * (VALUES // trees) + np.arange(depth)[None, :]
+    key = signature[:, turn].astype(np.uint64)
     name = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), key.shape[:2])
     for d in range(depth):
         name = mix(name * np.uint64(65599) + key[:, :, d])
@@ -139,9 +134,9 @@ def _in_orders(buckets: int, trees: int, depth: int):
         ids, raw = kept
         signature = np.frombuffer(raw, np.uint16).reshape(-1, VALUES)
         names, which, count = distinct(_prefix_names(signature, trees, depth))
-        doc, tree = np.divmod(np.flatnonzero((bits_of(back, by_name(names, buckets)) | (count > 1))[which]), trees)
-        keys = _orders(signature, trees).astype(">u2")[doc, tree] if len(doc) else []
-        return pd.DataFrame({"tree": tree.astype(np.int32), "place": [k.tobytes() for k in keys], "id": ids[doc]})
+        at = np.flatnonzero((bits_of(back, by_name(names, buckets)) | (count > 1))[which])
+        doc = at // trees
+        return pd.DataFrame({"region": names[which[at]].view(np.int64), "id": ids[doc], "signature": [s.tobytes() for s in signature[doc]]})
 
     return finish
 
@@ -160,36 +155,65 @@ def _linked(similar, n: int) -> list[tuple[int, int]]:
     return links
 
 
-def _neighbours(trunk: int, agree: int):
-    """Candidate links of texts sorted by tree and key; regions are runs with a common prefix."""
+def _in_blocks(flagged: DataFrame) -> DataFrame:
+    """Rows (region, x, y, block, id, signature): each text once for every pair of blocks it is in."""
+    size = stage(flagged.groupBy("region").count().where(F.col("count") > REGION).select("region", F.ceil(F.col("count") / REGION).alias("blocks")), "regions")
+    if size.count() <= BROADCAST_ROWS:
+        size = F.broadcast(size)  # two longs for each large region; more are joined by shuffle
+    dealt = flagged.join(size, "region", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "signature")
+
+
+def _agreeing(key: np.ndarray, block: np.ndarray, agree: int) -> list[tuple[int, int]]:
+    """Spanning links of texts of one block, or between the texts of two blocks."""
+    two = block[0] != block[-1]
+
+    def similar(i: int, rest: np.ndarray) -> np.ndarray:
+        equal = np.packbits(key[rest] == key[i], axis=1).view(np.uint64)
+        hit = np.bitwise_count(equal).sum(1) >= agree
+        return hit & (block[rest] != block[i]) if two else hit
+
+    return _linked(similar, len(key))
+
+
+def _candidates(agree: int):
+    """Candidate links of rows of `_in_blocks`, sorted by region, x, y and block."""
+
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        table = pa.Table.from_batches(held)
+        region, x, y, block, ids = (table.column(c).to_numpy() for c in ("region", "x", "y", "block", "id"))
+        key = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
+        first, found = run_starts(region, x, y), []
+        for a, n in zip(first, run_lengths(first, len(ids))):
+            if n > 1 and (x[a] == y[a] or block[a] != block[a + n - 1]):
+                found += [(a + i, a + j) for i, j in _agreeing(key[a : a + n], block[a : a + n], agree)]
+        if not found:
+            return None
+        at = np.unique(ids[np.array(found)], axis=0)
+        return pa.RecordBatch.from_pydict({"a": at[:, 0], "b": at[:, 1]})
 
     def map_chunks(batches):
-        tree, key, ids = [], [], []
+        held, last = [], None  # the rows of the group that goes on
         for batch in batches:
-            tree.append(batch.column(0).to_numpy())
-            key.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, VALUES))
-            ids.append(batch.column(2).to_numpy())
-        if not ids:
-            return
-        tree, key, ids = np.concatenate(tree), np.concatenate(key).astype(np.uint16), np.concatenate(ids)
-        depth = np.where(tree[1:] == tree[:-1], np.argmax(np.column_stack([key[1:] != key[:-1], np.ones(len(ids) - 1, bool)]), 1), 0)
-        links = []
-        for i in np.flatnonzero(depth >= trunk):
-            if (key[i] == key[i + 1]).sum() >= agree:
-                links.append((i, i + 1))
-        todo = [(0, len(ids), trunk)]
-        while todo:
-            lo, hi, d = todo.pop()
-            cuts = [lo, *(lo + 1 + np.flatnonzero(depth[lo : hi - 1] < d)), hi]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b - a > REGION and d < VALUES:
-                    todo.append((a, b, d + 1))
-                elif b - a > 1:
-                    own = key[a:b]
-                    links += [(a + i, a + j) for i, j in _linked(lambda i, rest, own=own: (own[rest] == own[i]).sum(1) >= agree, b - a)]
-        if links:
-            at = np.unique(ids[np.array(links)], axis=0)
-            yield pa.RecordBatch.from_pydict({"a": at[:, 0], "b": at[:, 1]})
+            columns = [batch.column(c).to_numpy() for c in ("region", "x", "y")]
+            first = run_starts(*columns)
+            if not len(first):
+                continue
+            own = tuple(c[0] for c in columns)
+            if held and own != last:
+                if (out := links(held)) is not None:
+                    yield out
+                held = []
+            if cut := first[-1]:
+                held.append(batch.slice(0, cut))
+                if (out := links(held)) is not None:
+                    yield out
+                held = []
+            held.append(batch.slice(cut))
+            last = tuple(c[-1] for c in columns)
+        if held and (out := links(held)) is not None:
+            yield out
 
     return map_chunks
 
@@ -237,10 +261,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     same = stage(known.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep")), "same")
     members = known.select("doc_id", "n_shingles", "set_a", "set_b").join(same, ["n_shingles", "set_a", "set_b"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     reps = known.join(same.withColumnRenamed("rep", "doc_id"), ["doc_id", "n_shingles", "set_a", "set_b"]).select("doc_id", "signature", "n_shingles").dropDuplicates(["doc_id"])
-    flagged = exchange(reps.select("doc_id", "signature").mapInArrow(_prefixes(buckets, trees, depth), SENT), buckets, NAME, _shared, _in_orders(buckets, trees, depth), "tree int, place binary, id long")
+    flagged = exchange(reps.select("doc_id", "signature").mapInArrow(_prefixes(buckets, trees, depth), SENT), buckets, NAME, _shared, _in_orders(buckets, trees, depth), "region long, id long, signature binary")
     flagged = stage(flagged, "orders")
-    sorted_ = flagged.repartitionByRange("tree", "place", "id").sortWithinPartitions("tree", "place", "id")
-    bundles = connected_components(sorted_.mapInArrow(_neighbours(depth, agree), "a long, b long"))
+    sorted_ = _in_blocks(flagged).repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "block")
+    bundles = connected_components(sorted_.mapInArrow(_candidates(agree), "a long, b long"))
     sized = bundles.join(known.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).withColumnRenamed("doc_id", "id"), "id")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     task = stage(sized.join(blocks, "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block")), "bundles")
