@@ -1,7 +1,7 @@
 """A corpus pipeline of five of the training-data operators.
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame;
-all but the last return the columns of `documents`.
+all but the last return the columns of `documents`. A null doc_id is a value like others.
 """
 
 from __future__ import annotations
@@ -14,6 +14,21 @@ from tributary.llm import mixing, near_dedup, packing, shared, suffix_dedup, tox
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("key", shared.text_key(F.col("text")))
+
+
+def unique(docs: DataFrame) -> DataFrame:
+    """One row of each equal (doc_id, text); only the rows that repeat are moved."""
+    docs = _keyed(docs)
+    again = docs.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key")
+    again = shared.stage(again, "again")
+    if again.count() <= shared.BROADCAST_ROWS:
+        again = F.broadcast(again)  # two longs a row; a larger set is joined by shuffle
+    repeated = shared.matched(docs, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return shared.matched(docs, again, "left_anti").unionByName(repeated).select(*COLUMNS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar, learned from the labels, predicts to be toxic go."""
     grammar = toxicity.learn(docs, shared.table(spark, sf_dir, "labels"))
@@ -21,17 +36,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the least doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the least doc_id.
+    Of rows equal in doc_id and text one stays; documents without a doc_id have no near copies."""
+    docs = unique(docs)
     found = near_dedup.near_duplicates(docs, shingle=5, percent=80)
     kept = found.where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(kept.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 200 that stand anywhere else go; documents left without a word go too."""
+    """Bytes in strings of 200 that stand anywhere else go; documents left without a word go too.
+    Rows equal in doc_id and text count as one."""
+    docs = unique(docs)
     done = suffix_dedup.suffix_array_dedup(docs)
     text = suffix_dedup.kept_text(F.col("kept"))
-    left = docs.select("doc_id", "lang", "source").withColumnRenamed("doc_id", "id").join(done.select("doc_id", text.alias("text")), F.col("id") == F.col("doc_id"))
+    left = shared.matched(_keyed(docs).select("doc_id", "key", "lang", "source"), done.select("doc_id", "key", text.alias("text")), "inner")
     return left.where(mixing.word_count(F.col("text")) > 0).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

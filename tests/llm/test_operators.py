@@ -388,6 +388,46 @@ def test_pipeline_stages(spark):
     assert last[0] == last[1] > 0
 
 
+def test_pipeline_stages_on_awkward_rows(spark, rows):
+    """Null ids, repeated rows and a doc_id with two texts, each stage against brute force."""
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"{rng.getrandbits(30):x}" for _ in range(n))
+    more = [(500, prose(60), "en", "a", 1), (500, prose(60), "de", "b", 1), (None, prose(60), "fr", "c", 1), (None, prose(50), "fr", None, 1)]
+    whole = [tuple(r[:5]) for r in rows] + more + more[:1] + more[2:3]
+    docs = spark.createDataFrame(whole, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    distinct = {(r[0], r[1]): r for r in reversed(whole)}
+    parent = {r[0]: r[0] for r in distinct.values() if r[0] is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    known = [(d, _sets(t, 5)) for d, t in distinct if d is not None]
+    for i, (d, a) in enumerate(known):
+        for e, b in known[:i]:
+            if a and b and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((root(d), root(e)))
+                parent[y] = x
+    want = [k for k in distinct if k[0] is None or root(k[0]) == k[0]]
+    near = p.drop_near_copies(spark, docs, "").cache()
+    assert _sorted((r["doc_id"], r["text"]) for r in near.collect()) == _sorted(want)
+
+    for stage_docs, at in ((near, want), (docs, list(distinct))):
+        raw, gone = _gone_bytes([t for _, t in at], 200)
+        left = []
+        for k, b, g in zip(at, raw, gone):
+            text = bytes(c for c, x in zip(b, g) if not x).decode(errors="ignore")
+            if WORD.search(text):
+                left.append((k[0], text, *distinct[k][2:4], len(text)))
+        got = p.drop_repeats(spark, stage_docs, "").collect()
+        assert _sorted(tuple(r) for r in got if r["doc_id"] != 5 and r["doc_id"] is not None) == _sorted(r for r in left if r[0] != 5 and r[0] is not None)
+        assert _sorted(tuple(r[:2]) for r in got) == _sorted(r[:2] for r in left)  # rows of 5 and null differ in lang and source
+
+
 def test_hash_of_kept_bytes_is_of_the_text(docs):
     got = suffix_dedup.suffix_array_dedup(docs.where("doc_id = 3 or doc_id = 4")).select("kept", F.sha2("kept", 256).alias("h")).collect()
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["h"] for r in got)
