@@ -96,6 +96,50 @@ def test_substring_dedup(docs, rows):
     assert _sorted((r["doc_id"], r["n_words"], sum(b - a for a, b in zip(r["span_starts"], r["span_ends"])), r["kept"]) for r in got) == _sorted(want)
 
 
+@pytest.fixture(scope="module")
+def overlapping(spark):
+    """Repeated rows, each copy in another partition and so in another chunk, that share passages with a
+    smaller and a larger doc_id."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"{rng.getrandbits(30):x}" for _ in range(n))
+    rows = []
+    for k in range(0, 60, 3):
+        left, right = prose(45), prose(45)
+        again = (k + 1, f"{prose(30)} {left} {prose(30)} {right} {prose(30)}")
+        rows += [(k, f"{prose(20)} {left} {prose(20)}"), again, again, again, (k + 2, f"{prose(20)} {right} {prose(20)}")]
+    parts = [[] for _ in range(8)]
+    for k in range(0, len(rows), 5):
+        for row, part in zip(rows[k : k + 5], rng.sample(parts, 5)):
+            part.append(row)
+    df = spark.createDataFrame([], "doc_id long, text string")
+    for part in parts:
+        df = df.union(spark.createDataFrame(part, "doc_id long, text string").coalesce(1))
+    return df.cache(), rows
+
+
+def test_suffix_dedup_of_repeated_rows(spark, overlapping, request):
+    docs, rows = overlapping
+    for name, value in (("spark.sql.shuffle.partitions", "16"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        request.addfinalizer(lambda name=name, old=spark.conf.get(name): spark.conf.set(name, old))
+        spark.conf.set(name, value)  # chunks come back in another order than they were sent in
+    raw, gone = _gone_bytes([r[1] for r in rows], 200)
+    want = _sorted((r[0], bytes(c for c, x in zip(b, g) if not x)) for r, b, g in zip(rows, raw, gone))
+    assert _sorted((r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.suffix_array_dedup(docs).collect()) == want
+
+
+def test_substring_dedup_of_repeated_rows(overlapping):
+    docs, rows = overlapping
+    words = {k: t.split(" ") for k, t in rows}
+    want = []
+    for k, t in rows:
+        w, gone = words[k], set()
+        before = {tuple(v[i : i + 13]) for d, v in words.items() if d < k for i in range(len(v) - 12)}
+        for i in range(len(w) - 12):
+            gone |= set(range(i, i + 13)) if tuple(w[i : i + 13]) in before else set()
+        want.append((k, " ".join(x for i, x in enumerate(w) if i not in gone)))
+    assert _sorted((r["doc_id"], r["kept"]) for r in substring_dedup.substring_dedup(docs).collect()) == _sorted(want)
+
+
 def _sets(text, size):
     w = WORD.findall((text or "").translate(LOWER))
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())

@@ -256,7 +256,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = GRAM) -> Data
         counts[r["bin"]] = r["n"]
     groups = _Groups(counts, buckets)
     spans = exchange(tied.mapInArrow(_leaves(record, lowest, groups, window), SENT), groups.buckets, record, _later, _spans(window), "doc_id long, key long, span_starts array<int>, span_ends array<int>")
-    spans = stage(spans, "repeats")
+    spans = stage(spans.dropDuplicates(["doc_id", "key"]), "repeats")  # repeated rows lose the same words
     n = spans.count()
     cut = matched(_among(docs, spans, n, "left_semi"), spans, "inner", "merge").select("doc_id", "key", "text", "span_starts", "span_ends")
     cut = cut.mapInArrow(_without_spans, "doc_id long, key long, n_words long, span_starts array<int>, span_ends array<int>, kept string")

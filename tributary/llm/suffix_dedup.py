@@ -179,7 +179,9 @@ def suffix_array_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM) ->
     buckets = spread(docs.sparkSession, docs)
     sent = docs.mapInArrow(_samples(buckets, length, gram), SENT)
     flags = exchange(sent, buckets, _SAMPLE, _rank_samples, _flags(length, gram), _FLAGS)
-    flags = stage(flags.dropDuplicates(["doc_id", "key"]), "ties")
+    # Repeated rows differ in what they were told (one of several leads): each has all that any has.
+    every = lambda c: F.aggregate(F.collect_set(c), F.lit(b""), lambda a, x: F.concat(a, x)).alias(c)
+    flags = stage(flags.groupBy("doc_id", "key").agg(every("runs"), every("near")), "ties")
     flagged = flags.select("doc_id", "key")
     if flagged.count() <= BROADCAST_ROWS:
         flagged = F.broadcast(flagged)  # two longs a row; a larger set is joined by shuffle
