@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,7 +285,7 @@ def test_materialised_mix(docs):
     assert doubled and abs(words - mixed.agg(F.sum("taken")).first()[0]) < 3 * 400
 
 
-def test_packing(docs, rows):
+def test_packing(docs, rows, monkeypatch):
     from tokenizers import Tokenizer
 
     path = packing.tokenizer_file()
@@ -309,6 +310,27 @@ def test_packing(docs, rows):
             found[run] += 1
             run, at = b"", 0
     assert found == want
+    # Any word alone, and words that are encoded anew after the memory was full.
+    words = sorted({w for t in [r[1] for r in rows] + odd for w in (t or "").replace("\n", " ").split(" ")})
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    known = packing._Ids(path, 2)
+    for part in (words[:80], words, words[40:]):
+        ids, n = known.of(pa.array(part, pa.large_string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*whole.encode(w, add_special_tokens=False).ids, 2] for w in part]
+
+
+def test_tokenizers_that_look_over_blanks_are_refused(docs):
+    with pytest.raises(ValueError, match="byte_bpe_50k"):
+        packing.pack_powers_of_two(docs, packing.tokenizer_file("byte_bpe_50k.json"))
+
+
+def test_buckets_hold_one_length_each(spark, docs, tmp_path):
+    packed = packing.pack_powers_of_two(docs, packing.tokenizer_file(), 256)
+    packing.write_buckets(packed, f"{tmp_path}/packed")
+    held = packed.groupBy("bucket").count().collect()
+    for r in held:
+        own = packing.read_bucket(spark, f"{tmp_path}/packed", r["bucket"])
+        assert own.count() == r["count"] and {x["n"] for x in own.select(F.octet_length("ids").alias("n")).distinct().collect()} == {4 << r["bucket"]}
 
 
 def test_licenses(docs, rows):
