@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tributary.llm.names import give_back
+
 SENT = "bucket long, chunk long, records binary, kept binary"
 _ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("records", pa.binary()), ("kept", pa.binary())])
 NAME = np.dtype("<u8")
@@ -72,6 +74,8 @@ def exchange(sent: DataFrame, buckets: int, record: np.dtype, answer: Callable,
         parts = [np.frombuffer(x, record) for x in pdf["records"]]
         back = answer(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
         told = [k for k, b in enumerate(back) if b is not None]
+        del parts
+        give_back()
         return pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[told], "bucket": pdf["bucket"].to_numpy()[told], "back": [back[k] for k in told], "kept": [None] * len(told)})
 
     def in_chunk(pdf: pd.DataFrame) -> pd.DataFrame:

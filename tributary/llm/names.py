@@ -9,15 +9,18 @@ one record per chunk, not one per document.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = (2 << 20) - 1  # so that a table of powers of 2^21 entries will do
+_libc = ctypes.CDLL(None) if sys.platform == "linux" else None
+CHUNK_BYTES = (1 << 20) - 1  # so that a table of powers of 2^20 entries will do
 _U = np.uint64
 _BASE, _C1, _C2 = 0x9E3779B97F4A7C15, _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_power = [np.ones(1, _U), np.ones(1, _U)]
+_power: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,13 +36,23 @@ _BYTE = mix(np.arange(1, 257, dtype=_U)) | _U(1)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_power[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            _power[k] = np.multiply.accumulate(p)
-    return _power[0][:n], _power[1][:n]
+    """Powers of the base and of its inverse. Those for a chunk stay; a longer text's are made anew."""
+    if _power and n <= len(_power[0]):
+        return _power[0][:n], _power[1][:n]
+    made = [np.full(max(n, CHUNK_BYTES + 1), base, _U) for base in (_BASE, pow(_BASE, -1, 2**64))]
+    for p in made:
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+    if n <= CHUNK_BYTES + 1:
+        _power[:] = made
+    return made[0][:n], made[1][:n]
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the system: a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_libc, "malloc_trim", None):
+        trim(0)
 
 
 class Named:
@@ -98,7 +111,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first), data[at[first] : at[last]], at[first + 1 : last + 1] - at[first]
             first = last
-    pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def words_of(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
