@@ -1,10 +1,17 @@
-"""Quality rules in a short-circuit cascade (operator 10)."""
+"""Quality rules in a short-circuit cascade (operator 10).
+
+A rule needs measures (its own counts and what they are made of: the words, the lines, names of
+substrings), each computed when a rule first asks for it, and only for documents that no earlier
+rule has rejected. A sample tells what each measure costs and which rules reject which documents
+together; the order then takes, again and again, the rule with most rejections of documents still
+there per second that it still adds.
+"""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -18,6 +25,8 @@ from tributary.llm.shared import documents
 
 #: Fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
+#: The texts at hand are copied together anew when they have become so many times fewer.
+SHRINK = 1.25
 
 
 def _flags(chars: bytes) -> np.ndarray:
@@ -35,7 +44,6 @@ class Texts:
 
     x: np.ndarray
     ends: np.ndarray
-    own: dict = field(default_factory=dict)
 
     def per_document(self, hit: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(hit)])
@@ -114,98 +122,160 @@ class Texts:
         return Texts(self.x[mask], np.cumsum(size))
 
 
-#: A rule says which documents it rejects.
-Rule = Callable[[Texts], np.ndarray]
+@dataclass(frozen=True)
+class Rule:
+    """Which documents are rejected, and the measures that this needs, each after those it is made of."""
+
+    rejects: Callable[[Texts], np.ndarray]
+    needs: tuple[str, ...] = ()
+
 
+_WORDS, _LINES = ("words", "n_words"), ("words", "lines", "n_lines")
 BASE_RULES: dict[str, Rule] = {
-    "few_words": lambda t: t.n_words < 10,
-    "repeated_windows": lambda t: 100 * t.n_repeat_words > 20 * t.n_words,
+    "few_words": Rule(lambda t: t.n_words < 10, _WORDS),
+    "repeated_windows": Rule(lambda t: 100 * t.n_repeat_words > 20 * t.n_words, (*_WORDS, "named", "n_repeat_words")),
 }
 #: Bounds wide enough that prose, tables and lists of any language pass.
 RULES: dict[str, Rule] = BASE_RULES | {
-    "symbols": lambda t: t.n_symbols > 2 * t.n_words,
-    "repeated_lines": lambda t: (t.n_lines >= 5) & (2 * t.n_dup_lines > t.n_lines),
-    "word_length": lambda t: (t.word_chars > 25 * t.n_words) | (2 * t.word_chars < 3 * t.n_words),
-    "shouting": lambda t: 10 * t.per_document(_UPPER[t.x]) > 9 * (t.per_document(_UPPER[t.x] | _LOWER[t.x]) + 1),
-    "endless_word": lambda t: t.longest_word > 1000,
+    "symbols": Rule(lambda t: t.n_symbols > 2 * t.n_words, (*_WORDS, "n_symbols")),
+    "repeated_lines": Rule(lambda t: (t.n_lines >= 5) & (2 * t.n_dup_lines > t.n_lines), (*_LINES, "named", "n_dup_lines")),
+    "word_length": Rule(lambda t: (t.word_chars > 25 * t.n_words) | (2 * t.word_chars < 3 * t.n_words), (*_WORDS, "word_chars")),
+    "shouting": Rule(lambda t: 10 * t.per_document(_UPPER[t.x]) > 9 * (t.per_document(_UPPER[t.x] | _LOWER[t.x]) + 1)),
+    "endless_word": Rule(lambda t: t.longest_word > 1000, ("words", "longest_word")),
 }
 
 
-def measure(docs: DataFrame, rules: dict[str, Rule], sample_rows: int) -> list[str]:
-    """Rules by rejections per second, most first, as measured on at most `sample_rows` documents."""
+def measure(docs: DataFrame, rules: dict[str, Rule], sample_rows: int) -> list[tuple]:
+    """(what, key, value) summed over a random sample of about `sample_rows` documents: seconds of each
+    measure, seconds of each rule once its measures are there, and how many documents each set of
+    rules (as bits) rejects. The sample is drawn where the rows are; it is all that moves."""
+    names = list(rules)
 
     def tried(batches):
         for _, x, ends in chunks(batches):
-            for name, rule in rules.items():
+            texts, found, masks = Texts(x, ends), [], np.zeros(len(ends), np.int64)
+            for k, name in enumerate(names):
+                for need in rules[name].needs:
+                    if need not in texts.__dict__:
+                        began = time.perf_counter()
+                        getattr(texts, need)
+                        found.append(("measure", need, time.perf_counter() - began))
                 began = time.perf_counter()
-                rejected = int(rule(Texts(x, ends)).sum())
-                yield pa.RecordBatch.from_pydict({"rule": [name], "rejected": [rejected], "seconds": [time.perf_counter() - began]})
+                masks |= rules[name].rejects(texts).astype(np.int64) << k
+                found.append(("rule", name, time.perf_counter() - began))
+            found += [("together", str(m), float(n)) for m, n in zip(*np.unique(masks, return_counts=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["what", "key", "value"])
+
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = docs.where(F.rand(10) < share).repartition(4)  # whole texts, but a bounded number of them
+    seen = sample.mapInArrow(tried, "what string, key string, value double").groupBy("what", "key").agg(F.sum("value").alias("value"))
+    return [tuple(r) for r in seen.collect()]  # a row for each measure, rule and set of rules that occurs
+
 
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).limit(sample_rows)
-    seen = sample.mapInArrow(tried, "rule string, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
-    rate = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in seen.collect()}  # a row per rule
-    return sorted(rules, key=lambda name: -rate.get(name, 0.0))
+def ordered(rules: dict[str, Rule], seen: list[tuple]) -> list[str]:
+    """Rules by rejections per added second: a measure that an earlier rule has asked for is free."""
+    cost = {(what, key): value for what, key, value in seen}
+    together = {int(key): value for what, key, value in seen if what == "together"}
+    names, left, there = list(rules), list(rules), set()
+    order: list[str] = []
+    while left:
+
+        def gain(name: str) -> float:
+            seconds = cost.get(("rule", name), 0.0) + sum(cost.get(("measure", m), 0.0) for m in rules[name].needs if m not in there)
+            gone = sum(1 << names.index(o) for o in order)
+            return sum(n for mask, n in together.items() if mask >> names.index(name) & 1 and not mask & gone) / max(seconds, 1e-9)
+
+        best = max(left, key=gain)
+        order.append(best)
+        left.remove(best)
+        there |= set(rules[best].needs)
+    return order
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def cascade(texts: Texts, rules: dict[str, Rule], order: list[str], counts: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Kept or not, the rejecting rule, and the wanted counts of each document.
+
+    The documents that rules still look at shrink with every rejection of note; what is measured on
+    them is kept for the counts, which the rejected ones get after the verdict.
+    """
+    n = len(texts.ends)
+    alive, by = np.ones(n, bool), np.full(n, None, object)
+    at, held = np.arange(n), texts  # the documents that rules look at
+    measured = [np.zeros(n, np.int64) for _ in counts]
+
+    def count(where: np.ndarray, own: Texts) -> None:
+        for into, c in zip(measured, counts):
+            into[where] = getattr(own, c)
+
+    for name in order:
+        bad = at[rules[name].rejects(held) & alive[at]]
+        by[bad] = name
+        alive[bad] = False
+        stay = alive[at]
+        if not stay.any():
+            break
+        if SHRINK * stay.sum() < len(at):
+            lost = held.subset(~stay)
+            count(at[~stay], lost)
+            at, held = at[stay], held.subset(stay)
+    count(at, held)
+    return alive, by, measured
+
+
 def quality_cascade(docs: DataFrame, rules: dict[str, Rule] | None = None, counts: bool = True, sample_rows: int = 2000) -> DataFrame:
     """Judge every whole text by rules, stopping at the first that rejects it.
 
-    The order of the rules is that of rejections per second on a sample of at most `sample_rows`
-    texts; it changes the work done, never the verdict (a document is kept if no rule rejects it).
-    A rule runs on the documents of a chunk that no earlier rule has rejected.
+    The order of the rules is that of rejections per second on a random sample of about
+    `sample_rows` texts; it changes the work done, never the verdict (a document is kept if no rule
+    rejects it). A rule runs on the documents of a chunk that no earlier rule has rejected.
 
     Gives the columns of `docs`' doc_id, then kept and rejected_by (of the order used; null if
     kept) and, with `counts`, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of
     every document. Null text counts as empty (0 words: rejected by few_words); repeated rows are
     judged each; null doc_id stays; other columns are ignored; an empty table gives none. A task
-    holds a chunk of 2 MB of text or one longer document.
+    holds a chunk of 1 MB of text or one longer document.
     """
     rules = rules or RULES
     docs = docs.select("doc_id", "text")
-    order = measure(docs, rules, sample_rows)
-    fields = [("doc_id", pa.int64()), ("kept", pa.bool_()), ("rejected_by", pa.string())] + [(c, pa.int64()) for c in (_COUNTS if counts else ())]
+    order = ordered(rules, measure(docs, rules, sample_rows))
+    wanted = _COUNTS if counts else ()
+    fields = [("doc_id", pa.int64()), ("kept", pa.bool_()), ("rejected_by", pa.string())] + [(c, pa.int64()) for c in wanted]
     schema = pa.schema(fields)
 
     def judged(batches):
         for batch, x, ends in chunks(batches):
-            texts = Texts(x, ends)
-            measured = [np.asarray(getattr(texts, c), np.int64) for c in _COUNTS] if counts else []
-            alive, by = np.ones(len(ends), bool), np.full(len(ends), None, object)
-            left = texts
-            for name in order:
-                if not alive.any():
-                    break
-                bad = np.flatnonzero(alive)[rules[name](left)]
-                if len(bad):
-                    by[bad] = name
-                    alive[bad] = False
-                    if not counts:
-                        left = texts.subset(alive)
-                    else:
-                        left = _Kept(texts, alive)
+            alive, by, measured = cascade(Texts(x, ends), rules, order, wanted)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(alive), pa.array(by, pa.string()), *map(pa.array, measured)], schema=schema)
 
-    return docs.mapInArrow(judged, ", ".join(f"{n} {'long' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'string'}" for n, t in fields))
-
-
-class _Kept:
-    """The rest of some texts whose counts are there already."""
-
-    def __init__(self, texts: Texts, alive: np.ndarray):
-        self.texts, self.alive = texts, alive
-
-    def per_document(self, hit: np.ndarray) -> np.ndarray:
-        return self.texts.per_document(hit)[self.alive]
-
-    def __getattr__(self, name: str):
-        value = getattr(self.texts, name)
-        return value if name == "x" else value[self.alive]
+    types = {pa.int64(): "long", pa.bool_(): "boolean", pa.string(): "string"}
+    return docs.mapInArrow(judged, ", ".join(f"{n} {types[t]}" for n, t in fields))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_cascade(documents(spark, sf_dir))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select("doc_id", *_COUNTS, failed.alias("base_failed"), "kept")
+
+
+_W = r"[^\x20\x09-\x0D]+"
+#: The rules in SQL: RULES, base rules included.
+OP10_SQL = rf"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+words as (select r, unnest(regexp_extract_all(text, '{_W}')) as w, generate_subscripts(regexp_extract_all(text, '{_W}'), 1) as i from d),
+windows as (select r, i, string_agg(w, ' ') over (partition by r order by i rows between current row and 4 following) as five,
+  count(*) over (partition by r order by i rows between current row and 4 following) as n from words),
+again as (select r, i from (select r, i, count(*) over (partition by r, five) as k from windows where n = 5) x where k > 1),
+covered as (select r, count(distinct j) as n_repeat_words from (select r, i + unnest(range(5)) as j from again) x group by r),
+counted as (select r, count(*) as n_words, cast(sum(length(w)) as bigint) as word_chars, max(octet_length(encode(w))) as longest from words group by r),
+lines as (select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+  from (select r, unnest(string_split(text, chr(10))) as line from d) x where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+joined as (select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(longest, 0) as longest,
+  len(regexp_extract_all(text, '[A-Z]')) as upper, len(regexp_extract_all(text, '[A-Za-z]')) as letters
+  from d left join counted using (r) left join covered using (r) left join lines using (r)),
+judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from joined)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or n_symbols > 2 * n_words or (n_lines >= 5 and 2 * n_dup_lines > n_lines) or word_chars > 25 * n_words or 2 * word_chars < 3 * n_words
+    or 10 * upper > 9 * (letters + 1) or longest > 1000) as kept from judged"""
