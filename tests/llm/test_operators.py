@@ -278,11 +278,25 @@ def test_apportionment_is_by_highest_quotients(spark):
         assert {r["k"]: r["quota"] for r in mixing.sainte_lague(df, "g", "k", "w", "seats").collect()} == {k: won[k] for k in range(6)}
 
 
-def test_materialised_mix(docs):
-    mixed = mixing.mix_sources(docs)
-    words = mixing.materialise(docs, mixed).select(mixing.word_count(F.col("text")).alias("n")).agg(F.sum("n")).first()[0]
-    doubled = docs.groupBy("doc_id", "text").count().where("count > 1").count()
-    assert doubled and abs(words - mixed.agg(F.sum("taken")).first()[0]) < 3 * 400
+def test_materialised_mix(spark, docs, rows):
+    twins = [(rows[9][0], rows[9][1], "de", s, *rows[9][4:]) for s in ("s1", "s1", "s2")]  # alike but for the source
+    docs = docs.union(spark.createDataFrame(twins, SCHEMA))
+    mixed = mixing.mix_sources(docs).collect()
+    written = mixing.materialise(docs)
+    assert written.columns == docs.columns
+    got: Counter = Counter()
+    for r in written.collect():
+        got[r["doc_id"], r["source"]] += len(WORD.findall(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    want: Counter = Counter()
+    for r in mixed:
+        want[r["doc_id"], r["source"]] += r["taken"]
+    assert got == +want
+    text = {r[0]: WORD.findall(r[1] or "") for r in rows}
+    for r in mixed:  # what is picked lies in the document, in order
+        spans = [(p["start"], p["end"]) for p in r["picked"]]
+        assert all(0 <= a < b <= r["size"] for a, b in spans) and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+    assert all(set(WORD.findall(r["text"])) <= set(text[r["doc_id"]]) for r in written.collect() if r["doc_id"] is not None)
 
 
 def test_packing(docs, rows, monkeypatch):
@@ -374,10 +388,39 @@ def test_quality(docs, rows):
     for r in got:
         assert not (r["kept"] and (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]))
         assert r["kept"] == (r["rejected_by"] is None)
+    rules = {n: {r[0] for r, rejected in zip(rows, rule.rejects(quality.Texts(*_joined(rows)))) if rejected} for n, rule in quality.RULES.items()}
+    for r in got:  # kept if and only if no rule alone rejects it, and rejected by one that does
+        by = {n for n, ids in rules.items() if r["doc_id"] in ids}
+        assert r["doc_id"] is None or r["kept"] == (not by) and (r["kept"] or r["rejected_by"] in by)
     plain = quality.quality_cascade(docs, counts=False).collect()
     assert _sorted((r["doc_id"], r["kept"]) for r in plain) == _sorted((r["doc_id"], r["kept"]) for r in got)
 
 
+def _joined(rows):
+    text = [(r[1] or "").encode() for r in rows]
+    return np.frombuffer(b"".join(text), np.uint8), np.cumsum([len(t) for t in text])
+
+
+def test_rules_that_nobody_needs_are_not_run(rows):
+    """Documents that a rule has rejected are out of the next rules' sight, and counts come after."""
+    seen = []
+    rules = {n: quality.Rule(lambda t, f=f: (seen.append(len(t.ends)), f(t))[1]) for n, f in (("all_short", lambda t: t.n_words < 100), ("none", lambda t: t.n_words < 0))}
+    alive, by, (n_words,) = quality.cascade(quality.Texts(*_joined(rows)), rules, list(rules), ("n_words",))
+    want = [len(WORD.findall(r[1] or "")) for r in rows]
+    assert seen == [len(rows), sum(n >= 100 for n in want)]
+    assert n_words.tolist() == want and alive.tolist() == [n >= 100 for n in want] and {b for b in by if b} == {"all_short"}
+
+
+def test_order_of_rules():
+    rules = {"a": quality.Rule(None, ("words", "x")), "b": quality.Rule(None, ("words",)), "c": quality.Rule(None)}
+    seen = [("measure", "words", 4.0), ("measure", "x", 1.0), ("rule", "a", 0.1), ("rule", "b", 1.0), ("rule", "c", 1.0)]
+    # a alone rejects 100, b 60 of which 50 are a's, c 5: a first (100 / 5.1), then b and c by what is left.
+    together = [("together", "1", 50.0), ("together", "3", 50.0), ("together", "2", 10.0), ("together", "4", 5.0)]
+    assert quality.ordered(rules, seen + together) == ["a", "b", "c"]
+    # Where words are there already, a rule that needs them costs little.
+    assert quality.ordered(rules, [*seen, ("together", "1", 10.0), ("together", "2", 12.0), ("together", "4", 1.0)]) == ["b", "a", "c"]
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     clean = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "the", "not", "you", "said", "amet"]) for _ in range(n))
