@@ -20,6 +20,8 @@ MOST_COPIES = 3
 SOURCES_SENT = 100_000
 #: Words of a block.
 BLOCK = 32
+#: Places of a shard's blocks in seeded order are below it.
+PRIME = 2**31 - 1
 
 
 def sainte_lague(shares: DataFrame, group: str, key: str, share: str, seats: str) -> DataFrame:
@@ -72,11 +74,16 @@ def _turn(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _place(b: Column) -> Column:
+    """A block's place in its shard's seeded order: a congruence, so no two blocks share one."""
+    return (b * F.col("factor") + F.col("offset")) % PRIME
+
+
 def _picked(block: int) -> Column:
     """A document's words in the picked blocks of its shard, as ranges in the document."""
     span = lambda b: F.struct((F.greatest(b * block, F.col("before")) - F.col("before")).alias("start"), (F.least((b + 1) * block, F.col("before") + F.col("size")) - F.col("before")).alias("end"))
     every = F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("size") - 1) / block))
-    hit = F.filter(every, lambda b: (b < F.col("full")) & (_turn(F.col("seed"), F.col("place"), F.col("shard"), b) <= F.col("last")))
+    hit = F.filter(every, lambda b: (b < F.col("full")) & (_place(b) <= F.col("last")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return F.when((F.col("size") > 0) & F.col("last").isNotNull(), F.transform(hit, span)).otherwise(none)
 
@@ -116,11 +123,11 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, seed: int = 1, carry: bool
     shard = shard.select("place", "shard", "words", F.least(F.col("quota") * block, MOST_COPIES * F.col("words")).alias("take"))
     shard = shard.withColumn("copies", F.floor(F.col("take") / F.col("words"))).withColumn("full", F.floor(F.col("words") / block))
     shard = shard.withColumn("picks", F.least("full", F.floor((F.col("take") - F.col("copies") * F.col("words")) / block + 0.5)))
-    shard = stage(shard.withColumn("seed", F.lit(seed)), "shards")
-    blocks = shard.where("picks > 0").select("place", "shard", "picks", "seed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("b"))
-    blocks = blocks.withColumn("turn", _turn(F.col("seed"), F.col("place"), F.col("shard"), F.col("b")))
-    order = F.row_number().over(Window.partitionBy("place", "shard").orderBy("turn"))
-    last = blocks.withColumn("k", order).where("k = picks").select("place", "shard", F.col("turn").alias("last"))
+    number = lambda what: _turn(F.lit(seed), F.col("place"), F.col("shard"), F.lit(what))
+    shard = stage(shard.withColumn("factor", number("factor") % (PRIME - 1) + 1).withColumn("offset", number("offset") % PRIME), "shards")
+    blocks = shard.where("picks > 0").select("place", "shard", "picks", "factor", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("b"))
+    order = F.row_number().over(Window.partitionBy("place", "shard").orderBy("at"))
+    last = blocks.withColumn("at", _place(F.col("b"))).withColumn("k", order).where("k = picks").select("place", "shard", F.col("at").alias("last"))
     shard = shard.join(last, ["place", "shard"], "left").drop("take", "picks", "words")
 
     before = F.sum("size").over(Window.partitionBy("place", "shard").orderBy("turn", "doc_id", "key").rowsBetween(Window.unboundedPreceding, -1))
@@ -136,11 +143,12 @@ def materialise(docs: DataFrame, **how) -> DataFrame:
     of the words of the picked blocks, joined by one space; documents of which nothing is taken are
     left out. Each row's words are those taken of it, also where rows repeat. Only null texts and
     empty ones are never taken."""
-    mixed = mix_sources(docs, carry=True, **how).where("taken > 0")
-    copies = F.col("copies") + F.when(F.size("picked") > 0, 1).otherwise(0)
-    mixed = mixed.select("row", "copies", "picked", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
+    mixed = mix_sources(docs, carry=True, **how)
+    every = F.filter(F.sequence(F.lit(1).cast("long"), F.col("copies") + 1), lambda c: (c <= F.col("copies")) | (F.size("picked") > 0))
+    mixed = mixed.select("row", "copies", "picked", F.explode(every).alias("copy"))
     words = F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    some = F.array_join(F.flatten(F.transform("picked", lambda p: F.slice(words, p["start"].cast("int") + 1, (p["end"] - p["start"]).cast("int")))), " ")
+    parts = lambda own: F.flatten(F.transform("picked", lambda p: F.slice(own, p["start"].cast("int") + 1, (p["end"] - p["start"]).cast("int"))))
+    some = F.array_join(F.transform(F.array(words), parts)[0], " ")  # words are told once a text
     mixed = mixed.withColumn("text", F.when(F.col("copy") > F.col("copies"), some).otherwise(F.col("row.text")))
     own = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return mixed.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
@@ -175,8 +183,9 @@ shards as (select place, shard, cast(sum(size) as bigint) as words, max(quota) a
 won as ({_quota("shards", "place", "shard", "words", "seats")}),
 plan as (select s.place, s.shard, words, least(coalesce(quota, 0) * {BLOCK}, {MOST_COPIES} * words) as take from shards s left join won w on w.place = s.place and w.shard = s.shard where words > 0),
 picks as (select *, take // words as copies, words // {BLOCK} as full_, least(words // {BLOCK}, cast(floor((take - take // words * words) / {BLOCK} + 0.5) as bigint)) as n_picks from plan),
-picked as (select place, shard, b from (select *, row_number() over (partition by place, shard order by {_HASH.format("concat('1:', place, ':', shard, ':', b)")}) as k
-  from (select *, unnest(range(full_)) as b from picks) x) y where k <= n_picks),
+seeds as (select *, {_HASH.format("concat('1:', place, ':', shard, ':factor')")} % {PRIME - 1} + 1 as factor, {_HASH.format("concat('1:', place, ':', shard, ':offset')")} % {PRIME} as offset_ from picks),
+picked as (select place, shard, b from (select *, row_number() over (partition by place, shard order by (b * factor + offset_) % {PRIME}) as k
+  from (select *, unnest(range(full_)) as b from seeds) x) y where k <= n_picks),
 placed as (select *, coalesce(sum(size) over (partition by place, shard order by turn, doc_id rows between unbounded preceding and 1 preceding), 0) as before_ from dealt),
 got as (select d.doc_id, sum(least(d.before_ + d.size, (p.b + 1) * {BLOCK}) - greatest(d.before_, p.b * {BLOCK})) as n
   from placed d join picked p on p.place = d.place and p.shard = d.shard and p.b * {BLOCK} < d.before_ + d.size and (p.b + 1) * {BLOCK} > d.before_ group by 1)
