@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.shared import documents
+from tributary.llm.shared import BROADCAST_ROWS, documents
 
 BINS = 128
 BITS = 4
@@ -114,9 +114,15 @@ def with_next(docs: DataFrame, rows: int = 2000) -> tuple[DataFrame, Window]:
     dealt = docs.withColumn("o", F.coalesce("doc_id", F.lit(-(1 << 62)))).withColumn("key", F.xxhash64("text"))
     dealt = dealt.withColumn("range", segment * parts + F.greatest(F.least(within, F.lit(parts - 1)), F.lit(0)).cast("long"))
     first = dealt.groupBy("range").agg(F.min(F.struct("o", "key")).alias("first"))  # a row a range
-    order = Window.partitionBy(F.lit(0)).orderBy("range")
-    ends = first.withColumn("host", F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy(F.lit(0))))).select("host", F.col("first.o").alias("o"), F.col("first.key").alias("key"))
-    guests = dealt.drop("range").join(F.broadcast(ends), ["o", "key"]).dropDuplicates(["o", "key"]).withColumn("range", F.col("host")).drop("host")
+    first = first.withColumn("segment", F.floor(F.col("range") / parts))
+    every = Window.partitionBy(F.lit(0))  # over segments, of which there are few
+    before = first.groupBy("segment").agg(F.max("range").alias("last"))
+    before = before.select("segment", F.coalesce(F.lag("last").over(every.orderBy("segment")), F.max("last").over(every)).alias("before"))
+    host = F.coalesce(F.lag("range").over(Window.partitionBy("segment").orderBy("range")), F.col("before"))
+    ends = first.join(F.broadcast(before), "segment").select(host.alias("host"), F.col("first.o").alias("o"), F.col("first.key").alias("key"))  # 257 rows at most
+    if segments * parts <= BROADCAST_ROWS:
+        ends = F.broadcast(ends)  # a row a range; more are joined by shuffle
+    guests = dealt.drop("range").join(ends, ["o", "key"]).dropDuplicates(["o", "key"]).withColumn("range", F.col("host")).drop("host")
     both = dealt.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)))
     return both, Window.partitionBy("range").orderBy("guest", "o", "key")
 
