@@ -1,10 +1,11 @@
 """Chat formatting: a hidden Markov model recovers the roles of a transcript's lines (operator 3).
 
 States are (role, is the turn's first line). A line is observed through its speaker marker, its
-length and its closing mark. Counts over labelled transcripts give the probabilities; Viterbi
-gives the likeliest roles; runs of lines are then rendered as canonical turns.
+length and its closing mark. Counts over labelled transcripts give the probabilities and the names
+that markers carry; Viterbi gives the likeliest roles; runs of lines are then rendered as canonical
+turns. Of what is parsed only the lines and their order are known: no turns, no roles.
 
-Long conversations are cut into segments of turns. Each segment gives the max-plus product of its
+Long conversations are cut into segments of lines. Each segment gives the max-plus product of its
 lines (a square of the number of states), the segments' products of a conversation give the states
 at their seams, and each segment is then decoded between its two seams: exactly Viterbi's path, with
 no conversation in one task as a whole.
@@ -17,61 +18,78 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.shared import spread, stage, table
 
 ROLES = ("system", "user", "assistant")
 STATES = [(role, begins) for role in ROLES for begins in (True, False)]
-SEGMENT = 256
-#: Markers that transcripts put before a turn, by role; the k-th of each is one style.
-MARKERS = {"system": ("System: ", "System prompt: ", "Note: ", "<system> "), "user": ("User: ", "Human: ", "Q: ", "<user> "), "assistant": ("Assistant: ", "AI: ", "A: ", "<assistant> ")}
-_ROLE_OF = {m.strip().lower(): role for role, ms in MARKERS.items() for m in ms}
-_MARKER = re.compile("(?:" + "|".join(re.escape(m) for m in sorted(_ROLE_OF, key=len, reverse=True)) + r")\s*", re.IGNORECASE)
-_KINDS = ("none", *ROLES)
+#: Lines of a segment.
+SEGMENT = 512
+#: A speaker marker of any name: a few words, marks around them that close, then a blank or the line's end.
+_MARKER = re.compile(r"\s*[<\[(*#>|-]{0,4}\s*([A-Za-z][A-Za-z ]{0,18}?)\s*(?::[*\])|]{0,3}|[>\])|]{1,3}:?)(?:\s+|$)")
 _LENGTHS = (0, 40, 120, 300, 700)
+#: Share of all markers that an unknown name is taken to be.
+UNKNOWN = 0.05
 
 
-def split_marker(line: str) -> tuple[str, str]:
-    """The role a line's marker names ("none" without one) and the rest of the line."""
+def split_marker(line: str) -> tuple[str | None, str]:
+    """The name that a line's marker gives (None without one) and the rest of the line."""
     m = _MARKER.match(line)
-    return (_ROLE_OF[m.group().strip().lower()], line[m.end() :]) if m else ("none", line)
+    return (m.group(1).lower(), line[m.end() :]) if m else (None, line)
 
 
-def observed(line: str) -> tuple[int, int, int]:
-    """Marker, length class and whether the line closes like a sentence."""
-    kind, rest = split_marker(line)
-    return _KINDS.index(kind), sum(len(rest) > n for n in _LENGTHS), int(rest.rstrip()[-1:] in ".!?")
+def observed(line: str) -> tuple[str | None, int, int]:
+    """Marker's name, length class and whether the line closes like a sentence."""
+    name, rest = split_marker(line)
+    return name, sum(len(rest) > n for n in _LENGTHS), int(rest.rstrip()[-1:] in ".!?")
 
 
 @dataclass
 class Model:
-    """Natural logarithms of the probabilities."""
+    """Natural logarithms of the probabilities; names: of the markers that are told apart. A marker is
+    0 (none), 1 (of an unknown name) or 2 + its name's place."""
 
     start: np.ndarray
     move: np.ndarray
+    names: dict[str, int]
     emit: tuple[np.ndarray, ...]
 
     def emissions(self, lines: list[str]) -> np.ndarray:
-        seen = np.array([observed(line) for line in lines]).reshape(-1, len(self.emit))
+        seen = [observed(line) for line in lines]
+        seen = np.array([(0 if name is None else self.names.get(name, 1), size, closed) for name, size, closed in seen]).reshape(-1, len(self.emit))
         return sum(table[:, seen[:, k]].T for k, table in enumerate(self.emit))
 
 
-def learn(lines: DataFrame) -> Model:
-    """From counts of labelled lines (conv_id, turn, line_no, line, role), one added to each."""
-    sizes = (len(_KINDS), len(_LENGTHS) + 1, 2)
+def learn(lines: DataFrame, least: int = 5) -> Model:
+    """From counts of labelled lines (conv_id, turn, turn_line, line, role), one added to each.
+
+    A marker's name is told apart if it stands on a thousandth of the lines, `least` at least, so
+    their number is bounded; all other names are one, which is taken to begin turns as often as
+    known names do and to belong to any role.
+    """
 
     def count(batches):
         for pdf in batches:
-            seen = [(*observed(line or ""), role, no == 0) for line, role, no in zip(pdf["line"], pdf["role"], pdf["line_no"]) if role in ROLES]
+            seen = [(*observed(line or ""), role, no == 0) for line, role, no in zip(pdf["line"], pdf["role"], pdf["turn_line"]) if role in ROLES]
             yield pd.DataFrame(seen, columns=["marker", "size", "closed", "role", "begins"])
 
-    seen = lines.select("line", "role", "line_no").mapInPandas(count, "marker int, size int, closed int, role string, begins boolean")
-    emit = tuple(np.ones((len(STATES), n)) for n in sizes)
-    for r in seen.groupBy("role", "begins", "marker", "size", "closed").count().collect():  # at most 6 x 48 rows
-        for k, v in enumerate((r["marker"], r["size"], r["closed"])):
+    seen = lines.select("line", "role", "turn_line").mapInPandas(count, "marker string, size int, closed int, role string, begins boolean")
+    seen = stage(seen.groupBy("role", "begins", "marker", "size", "closed").count(), "observed")
+    often = F.col("count") >= F.greatest(F.lit(least), F.col("all") / 1000)
+    total = seen.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("all"))
+    found = seen.where("marker is not null").groupBy("marker").agg(F.sum("count").alias("count")).crossJoin(total).where(often)  # a row: the total
+    names = {r["marker"]: k for k, r in enumerate(found.orderBy("marker").collect(), 2)}  # at most a thousand
+    emit = tuple(np.ones((len(STATES), n)) for n in (len(names) + 2, len(_LENGTHS) + 1, 2))
+    known = F.when(F.col("marker").isNull(), "").when(F.col("marker").isin(*names), F.col("marker")).otherwise("\n")
+    for r in seen.groupBy("role", "begins", known.alias("marker"), "size", "closed").agg(F.sum("count").alias("count")).collect():
+        at = {"": 0, "\n": 1}.get(r["marker"]) if r["marker"] in ("", "\n") else names[r["marker"]]
+        for k, v in enumerate((at, r["size"], r["closed"])):
             emit[k][STATES.index((r["role"], r["begins"])), v] += r["count"]
+    for begins in (True, False):
+        own = [k for k, s in enumerate(STATES) if s[1] == begins]
+        emit[0][own, 1] += UNKNOWN * emit[0][own, 2:].sum() / len(own)
     turns = lines.where(F.col("role").isin(*ROLES)).groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"))
     inner = {r["role"]: (r["turns"], r["lines"]) for r in turns.groupBy("role").agg(F.count("*").alias("turns"), F.sum("n").alias("lines")).collect()}
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
@@ -92,7 +110,7 @@ def learn(lines: DataFrame) -> Model:
                 move[i, j] = 1 - ends
     for role in ROLES:
         start[STATES.index((role, True))] = first.get(role, 0) + 1
-    return Model(np.log(start / start.sum()), np.log(move), tuple(np.log(e / e.sum(1, keepdims=True)) for e in emit))
+    return Model(np.log(start / start.sum()), np.log(move), names, tuple(np.log(e / e.sum(1, keepdims=True)) for e in emit))
 
 
 def product(model: Model, emissions: np.ndarray, first: bool) -> np.ndarray:
@@ -121,22 +139,21 @@ def decode(model: Model, emissions: np.ndarray, before: int, last: int) -> list[
 def parse_transcripts(lines: DataFrame, model: Model) -> DataFrame:
     """Recover roles and render turns.
 
-    lines: conv_id (long), turn, line_no (long, giving the lines' order) and line. Gives per
-    recovered turn conv_id, at_turn and at_line (where it begins), role, continues (it goes on
-    from the segment before), n_lines, text (markers stripped) and rendered, the canonical form
-    `<|role|>`, text, `<|end|>`, a line each. A null line is empty; null turns form a segment that
-    comes first; a null conv_id is a conversation; lines that repeat stay, in any order among
-    them; other columns are ignored; an empty table gives none. A task holds some segments of
-    SEGMENT turns.
+    lines: conv_id (long), line_no (long, from 0 on in each conversation) and line. Gives per
+    recovered turn conv_id, at_line (where it begins), role, continues (it goes on from the segment
+    before), n_lines, text (markers stripped) and rendered, the canonical form `<|role|>`, text,
+    `<|end|>`, a line each. A null line is empty; a null line_no counts as 0; a null conv_id is a
+    conversation; lines that repeat stay, in any order among them; other columns are ignored; an
+    empty table gives none. A task holds some segments of SEGMENT lines.
     """
-    lines = lines.select("conv_id", F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("line_no", F.lit(0)).alias("line_no"), F.coalesce("line", F.lit("")).alias("line"))
-    lines = lines.withColumn("segment", F.floor(F.col("turn") / SEGMENT)).withColumn("bucket", F.pmod(F.xxhash64("conv_id", "segment"), F.lit(spread(lines.sparkSession, lines, 16))))
+    lines = lines.select("conv_id", F.coalesce("line_no", F.lit(0)).alias("line_no"), F.coalesce("line", F.lit("")).alias("line"))
+    lines = lines.withColumn("segment", F.floor(F.col("line_no") / SEGMENT)).withColumn("bucket", F.pmod(F.xxhash64("conv_id", "segment"), F.lit(spread(lines.sparkSession, lines, 16))))
     first = lines.groupBy("conv_id").agg(F.min("segment").alias("first"))
     lines = lines.join(first.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id"))).drop("id")
     lines = stage(lines, "lines")
 
     def segments(pdf: pd.DataFrame):
-        pdf = pdf.sort_values(["conv_id", "segment", "turn", "line_no"], kind="stable")
+        pdf = pdf.sort_values(["conv_id", "segment", "line_no"], kind="stable")
         return pdf.groupby(["conv_id", "segment"], dropna=False, sort=False)
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -168,30 +185,53 @@ def parse_transcripts(lines: DataFrame, model: Model) -> DataFrame:
             for a, b in zip(begins, [*begins[1:], len(path)]):
                 role = STATES[path[a]][0]
                 body = "\n".join([split_marker(text[a])[1], *text[a + 1 : b]])
-                out.append((conv, g["turn"].iloc[a], g["line_no"].iloc[a], role, not STATES[path[a]][1], b - a, body, f"<|{role}|>\n{body}\n<|end|>\n"))
-        return pd.DataFrame(out, columns=["conv_id", "at_turn", "at_line", "role", "continues", "n_lines", "text", "rendered"]).astype({"conv_id": "Int64"})
+                out.append((conv, g["line_no"].iloc[a], role, not STATES[path[a]][1], b - a, body, f"<|{role}|>\n{body}\n<|end|>\n"))
+        return pd.DataFrame(out, columns=["conv_id", "at_line", "role", "continues", "n_lines", "text", "rendered"]).astype({"conv_id": "Int64"})
 
     scores = lines.groupBy("bucket").applyInPandas(measure, "conv_id long, segment long, score array<double>")
     n = spread(lines.sparkSession, lines, 16)
     ends = scores.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(n))).applyInPandas(seams, "conv_id long, segment long, before int, last int")
     ends = ends.withColumnsRenamed({"conv_id": "id", "segment": "part"})
     known = lines.join(ends, F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("segment") == F.col("part"))).drop("id", "part")
-    return known.groupBy("bucket").applyInPandas(turns, "conv_id long, at_turn long, at_line long, role string, continues boolean, n_lines long, text string, rendered string")
+    return known.groupBy("bucket").applyInPandas(turns, "conv_id long, at_line long, role string, continues boolean, n_lines long, text string, rendered string")
+
 
+#: Markers that transcripts put before a turn, by role; the k-th of each is one style, the
+#: last one is for transcripts that nothing is learned from.
+STYLES = {
+    "system": ("System: ", "System prompt: ", "Note: ", "<system> ", "### Context: "),
+    "user": ("User: ", "Human: ", "Q: ", "<user> ", "### Instruction: "),
+    "assistant": ("Assistant: ", "AI: ", "A: ", "<assistant> ", "### Response: "),
+}
+_UNMARKED = len(STYLES["user"])
 
-def transcript_lines(conversations: DataFrame) -> DataFrame:
-    """Raw transcripts of the conversations: each writes its turns in a style of its own, one turn
-    in four lacks its marker. Keeps the true role beside each line."""
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int")
+
+def transcript_lines(conversations: DataFrame, learned: Column, part: int = 1024) -> DataFrame:
+    """Raw transcripts of the conversations, numbered line by line, with the truth beside each line.
+
+    Each conversation writes its turns in a style of its own, one turn in four lacks its marker.
+    Those that are not `learned` from also come in a style that those never have, or without any
+    marker. Line numbers are sums of the turns' lines, first over `part` turns, then over parts.
+    """
+    styles = F.when(learned, _UNMARKED - 1).otherwise(_UNMARKED + 1)
+    style = F.pmod(F.xxhash64("conv_id"), styles).cast("int")
     marked = F.coalesce(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) != 0, F.lit(True))
     marker = F.lit("")
     for role in ROLES:
-        marker = F.when(F.col("role") == role, F.get(F.array(*map(F.lit, MARKERS[role])), style)).otherwise(marker)
+        marker = F.when(F.col("role") == role, F.get(F.array(*map(F.lit, (*STYLES[role], ""))), style)).otherwise(marker)
     text = F.concat(F.when(marked, marker).otherwise(""), F.coalesce("text", F.lit("")))
-    return conversations.select("conv_id", "turn", "role", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    turns = conversations.select("conv_id", "turn", "role", learned.alias("learned"), style.alias("style"), F.split(text, "\n").alias("lines"), F.floor(F.coalesce("turn", F.lit(-1)) / part).alias("part"))
+    inner = Window.partitionBy("conv_id", "part")
+    turns = turns.withColumn("before", F.sum(F.size("lines")).over(inner.orderBy("turn", "role", "lines").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.size("lines"))
+    sums = turns.groupBy("conv_id", "part").agg(F.sum(F.size("lines")).alias("n"))
+    sums = sums.select(F.col("conv_id").alias("id"), F.col("part").alias("p"), (F.sum("n").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("n")).alias("parts"))
+    turns = turns.join(sums, F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("part") == F.col("p")))
+    lines = turns.select("conv_id", "turn", "role", "learned", "style", (F.col("parts") + F.col("before")).alias("at"), F.posexplode("lines").alias("turn_line", "line"))
+    return lines.withColumn("line_no", F.col("at") + F.col("turn_line")).drop("at")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = transcript_lines(table(spark, sf_dir, "conversations"))
-    known = lines.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 != 2)
-    return parse_transcripts(lines, learn(known)).drop("text").withColumn("rendered_sha256", F.sha2(F.col("rendered").cast("binary"), 256)).drop("rendered")
+    learned = F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 != 2, F.lit(True))
+    lines = stage(transcript_lines(table(spark, sf_dir, "conversations"), learned), "transcripts")
+    parsed = parse_transcripts(lines, learn(lines.where("learned")))
+    return parsed.drop("text").withColumn("rendered_sha256", F.sha2(F.col("rendered").cast("binary"), 256)).drop("rendered")
