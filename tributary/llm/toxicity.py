@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 8).
 
-Small transducers read a clause word by word: negation (its scope is a few words), reported speech
-(to the clause's end), target (a person addressed or named) and threat. Their product reads each
-word once; where the insult lexicon matches, it emits the entry's weight under the state reached:
-plain, aimed at a target, negated or reported. A document's emitted weights, by kind, go through a
-logistic function. Lexicon weights and the function are learned from labelled rows.
+Small transducers read a clause word by word: insult (an entry of the lexicon, stronger after an
+intensifier), threat (a harm with an intent before it or a target after it), target (a person
+addressed or named), negation (its scope is a few words) and reported speech (to the clause's end).
+Their composition reads each word once and says which of them speak at it; an insult then counts
+under the context reached: plain, strong, aimed, negated or reported. Clauses are what is scored: a
+clause's weight by kind is bounded, so a word said ten times in one clause is one matched clause. A
+document's clauses, by kind, and its heaviest one go through a logistic function. The lexicon's
+weights and the function's, so the contexts' too, are learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -19,93 +22,125 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.shared import documents, table
-
-#: Function words of English, French, German and Spanish that steer the grammar.
-TARGETS = {"you", "your", "he", "she", "they", "them", "tu", "toi", "vous", "ils", "elles", "du", "dich", "ihr", "sie", "ustedes", "ellos", "usted"}
-NEGATIONS = {"not", "never", "no", "isn", "aren", "pas", "jamais", "nicht", "kein", "keine", "nunca", "jamás"}
-REPORTS = {"said", "says", "called", "quoted", "dit", "disait", "sagte", "nannte", "dijo", "llamó"}
-THREATS = {"kill", "hurt", "murder", "tuer", "frapper", "töten", "schlagen", "matar", "golpear"}
+from tributary.llm.shared import documents, stage, table
+
+#: Function words of English, French, German and Spanish that steer the grammar, and verbs of harm.
+WORDS = {
+    "target": "you your yours yourself he she him her they them their tu toi te vous votre ils elles lui du dich dir dein deine ihr euch sie ihn usted ustedes vosotros ti ellos ellas él ella",
+    "negation": "not never no nor neither without isn aren wasn don doesn didn ain pas jamais ni sans aucun nicht kein keine keinen nie niemals ohne nunca jamás tampoco sin ningún",
+    "report": "said says say saying called calls quoted quote wrote claimed told dit disait disent appelé écrit sagte sagt nannte schrieb meinte dijo dice decía llamó escribió",
+    "intensifier": "so such very really total totally complete utter absolute fucking damn très vraiment tellement sehr so total völlig wirklich muy tan realmente totalmente",
+    "intent": "will shall gonna going must should i ll vais allons va werde werden wirst muss voy vamos va a debe",
+    "harm": "kill hurt murder beat destroy stab shoot tuer frapper détruire poignarder töten schlagen umbringen zerstören matar golpear destruir",
+}
+CLASSES = {w: c for c, words in reversed(WORDS.items()) for w in words.split()}
 #: Words after a negation that it still governs.
 SCOPE = 3
-#: Weight of a kind beyond which more of it tells nothing.
-MOST = 40.0
-KINDS = ("plain", "aimed", "negated", "reported", "threat")
+#: Occurrences in one text that count when the lexicon is learned.
+TELLS = 5
+#: Most weight of a kind in one clause.
+CLAUSE = 8.0
+KINDS = ("plain", "strong", "aimed", "negated", "reported", "threat")
+FEATURES = (*KINDS, "heaviest_clause", "clauses")
 _CLAUSE, _TOKEN = re.compile(r"[.!?;\n]+"), re.compile(r"[^\W_]+")
 
-#: Transducers as state -> word class -> state; "other" stands for every class not given.
-NEGATION = {0: {"negation": SCOPE}, **{k: {"negation": SCOPE, "other": k - 1} for k in range(1, SCOPE + 1)}}
-REPORTED = {0: {"report": 1}, 1: {}}
-AIMED = {0: {"target": 1}, 1: {}}
-
-
-def compose(*machines: dict[int, dict[str, int]]) -> dict[tuple[tuple[int, ...], str], tuple[int, ...]]:
-    """The product machine over the word classes, for the states that can be reached."""
-    classes = ("negation", "report", "target", "threat", "insult", "other")
+#: Transducers: state -> word class -> (state, what it says); "other" stands for every class not given,
+#: and a state without it stays and says nothing.
+Transducer = dict[int, dict[str, tuple[int, str]]]
+INSULT: Transducer = {0: {"insult": (0, "insult"), "intensifier": (1, "")}, 1: {"insult": (0, "strong"), "intensifier": (1, ""), "other": (0, "")}}
+THREAT: Transducer = {0: {"intent": (1, ""), "harm": (2, "")}, 1: {"harm": (2, "threat")}, 2: {"target": (1, "threat"), "harm": (2, ""), "intent": (1, ""), "other": (0, "")}}
+TARGET: Transducer = {0: {"target": (1, "")}, 1: {"other": (1, "aimed")}}
+NEGATION: Transducer = {0: {"negation": (SCOPE, "")}, **{k: {"negation": (SCOPE, "negated"), "other": (k - 1, "negated")} for k in range(1, SCOPE + 1)}}
+REPORTED: Transducer = {0: {"report": (1, "")}, 1: {"other": (1, "reported")}}
+MACHINES = (INSULT, THREAT, TARGET, NEGATION, REPORTED)
+
+
+def compose(*machines: Transducer) -> dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], frozenset[str]]]:
+    """The product over the word classes, for the states that can be reached: the next state and all
+    that the machines say."""
+    classes = ("insult", "other", *WORDS)
     moves, todo = {}, [(0,) * len(machines)]
     while todo:
         at = todo.pop()
         for c in classes:
             if (at, c) not in moves:
-                moves[at, c] = tuple(m[s].get(c, m[s].get("other", s)) for m, s in zip(machines, at))
-                todo.append(moves[at, c])
+                steps = [m[s].get(c) or m[s].get("other") or (s, "") for m, s in zip(machines, at)]
+                moves[at, c] = tuple(s for s, _ in steps), frozenset(w for _, w in steps if w)
+                todo.append(moves[at, c][0])
     return moves
 
 
+def kind_of(said: frozenset[str]) -> str | None:
+    """Under which kind a word counts: negation is stronger than report, report than aim."""
+    if not said & {"insult", "strong", "threat"}:
+        return None
+    for context in ("negated", "reported", "threat", "aimed", "strong"):
+        if context in said:
+            return context
+    return "plain"
+
+
 @dataclass
 class Grammar:
-    """insults: weight of a word, or of a beginning of words if it ends in `*`."""
+    """insults: weight of a word, or of a beginning of words if it ends in `*`. slopes: of FEATURES."""
 
     insults: dict[str, float]
     bias: float = 0.0
-    slopes: tuple[float, ...] = (1.0,) * len(KINDS)
+    slopes: tuple[float, ...] = (1.0,) * len(FEATURES)
 
     def __post_init__(self):
-        self.moves = compose(NEGATION, REPORTED, AIMED)
+        composed = compose(*MACHINES)
+        number = {at: k for k, at in enumerate(dict.fromkeys(at for at, _ in composed))}
+        self.moves = {(number[at], c): (number[to], KINDS.index(kind) if (kind := kind_of(said)) else -1) for (at, c), (to, said) in composed.items()}
         self.words = {w: v for w, v in self.insults.items() if not w.endswith("*")}
         self.stems = {w[:-1]: v for w, v in self.insults.items() if w.endswith("*")}
         self.lengths = sorted({len(s) for s in self.stems})
-        self.literals = [*self.words, *self.stems, *THREATS]
-        self.classes = {w: c for c, group in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS)) for w in group}
+        self.literals = [*self.words, *self.stems, *WORDS["harm"].split()]
 
     def weight(self, word: str) -> float:
         return max([self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in self.lengths)])
 
-    def emitted(self, text: str) -> tuple[list[float], float]:
-        """Weights by kind over all clauses, and the heaviest clause's."""
-        total, heaviest, low = [0.0] * len(KINDS), 0.0, text.lower()
+    def clause(self, words: list[str]) -> list[float]:
+        """Weight by kind of one clause; a threat weighs 1."""
+        found, at = [0.0] * len(KINDS), 0
+        for word in words:
+            weight = self.weight(word)
+            at, kind = self.moves[at, "insult" if weight else CLASSES.get(word, "other")]
+            if kind >= 0:
+                found[kind] += weight or 1.0
+        return found
+
+    def emitted(self, text: str) -> list[float]:
+        """FEATURES of a text: its matched clauses by kind, the heaviest one, and how many match."""
+        total, low = [0.0] * len(FEATURES), text.lower()
         if not any(w in low for w in self.literals):
-            return total, heaviest
+            return total
         for clause in _CLAUSE.split(low):
-            at, own = (0,) * 3, 0.0
-            for word in _TOKEN.findall(clause):
-                weight = self.weight(word)
-                kind = "insult" if weight else self.classes.get(word, "other")
-                at = self.moves[at, kind]
-                negated, reported, aimed = at
-                if weight:
-                    total[2 if negated else 3 if reported else 1 if aimed else 0] += weight
-                    own += weight
-                elif kind == "threat" and aimed:
-                    total[4] += 1.0
-            heaviest = max(heaviest, own)
-        return total, heaviest
+            found = self.clause(_TOKEN.findall(clause))
+            for k, v in enumerate(found):
+                total[k] += min(v, CLAUSE)
+            total[-2] = max(total[-2], min(sum(found), CLAUSE))
+            total[-1] += any(found)
+        return total
 
     def score(self, total: list[float]) -> float:
-        z = self.bias + sum(b * min(v, MOST) for b, v in zip(self.slopes, total))
+        z = self.bias + sum(b * v for b, v in zip(self.slopes, total))
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def _features(text: str) -> Counter[str]:
-    """Occurrences, at most five each, of words and of beginnings of 3 to 12 letters of longer ones."""
+    """Occurrences of words and of beginnings of 3 to 12 letters of longer ones; of each TELLS at most
+    count, so that no text makes an entry of the lexicon alone."""
     seen: Counter[str] = Counter()
     for word, n in Counter(_TOKEN.findall(text.lower())).items():
         for feature in (word, *(f"{word[:k]}*" for k in range(3, min(13, len(word))))):
             seen[feature] += n
-    return Counter({f: min(n, 5) for f, n in seen.items()})
+    return Counter({f: min(n, TELLS) for f, n in seen.items()})
 
 
 def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+    """How often each feature stands in the texts."""
+
     def count(batches):
         seen: Counter[str] = Counter()
         for batch in batches:
@@ -117,29 +152,32 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, most_features: int = 20_000, precision: float = 0.6) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, precision: float = 0.6) -> Grammar:
     """Fit the lexicon and the logistic function to labelled documents.
 
-    labels: doc_id, toxic (0 or 1; null rows are left out). About `max_rows` of them, by a hash of
-    doc_id, take part (all if there are fewer): the bound on what the driver gets. Words and
-    beginnings of words that occur in the different toxic texts as often as 1 % of their number
-    (ten times at least) make the lexicon, by `chosen`. Without both kinds of labels the grammar scores every text 0.
+    labels: doc_id, toxic (0 or 1; null rows are left out). About `max_rows` different texts, by
+    hashes of doc_id and text, take part (all if there are fewer): the bound on what the driver
+    gets. Words and beginnings of words that occur in the different toxic texts as often as 1 % of
+    their number (ten times at least) make the lexicon, by `chosen`. Without both kinds of labels
+    the grammar scores every text 0.
     """
-    labels = labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    n = labels.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(n, 1)))
-    known = docs.select("doc_id", "text").join(F.broadcast(labels.where(share)), "doc_id").select("text", "toxic").distinct()
+    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    part = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(n, 1)))
+    labels = labels.where(part(labels.count(), "doc_id"))
+    few = F.broadcast(labels) if labels.count() <= 2 * max_rows else labels  # two numbers a row; doc_ids may repeat
+    known = stage(docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic").distinct(), "known")
+    known = known.where(part(known.count(), "text"))
     toxic, clean = known.where("toxic = 1"), known.where("toxic = 0")
     size = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(1) or not size.get(0):
         return Grammar({}, bias=-30.0)
     least = max(10, size[1] // 100)
-    often = {r["feature"]: r["n"] for r in _counted(toxic, None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(most_features).collect()}
+    often = {r["feature"]: r["n"] for r in _counted(toxic, None).where(F.col("n") >= least).collect()}
     also = {r["feature"]: r["n"] for r in _counted(clean, frozenset(often)).collect()}
     odds = lambda f: math.log((often[f] + 0.5) / (also.get(f, 0) + 0.5) * (size[0] + 1) / (size[1] + 1))
     grammar = Grammar({f: odds(f) for f in chosen(often, also, precision, least)})
-    rows = emit(known.select(F.lit(None).cast("long").alias("doc_id"), "text", "toxic"), grammar, "toxic").select("toxic", *KINDS).collect()  # at most max_rows
-    grammar.bias, *slopes = _logistic(np.minimum(np.array([r[1:] for r in rows]), MOST), np.array([r[0] for r in rows], float))
+    rows = emit(known.select(F.lit(None).cast("long").alias("doc_id"), "text", "toxic"), grammar, "toxic").select("toxic", *FEATURES).collect()  # about max_rows
+    grammar.bias, *slopes = _logistic(np.array([r[1:] for r in rows]), np.array([r[0] for r in rows], float))
     grammar.slopes = tuple(slopes)
     return grammar
 
@@ -186,24 +224,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int =
 
 
 def emit(docs: DataFrame, grammar: Grammar, *keep: str) -> DataFrame:
-    """doc_id, the `keep` columns, emitted weight by kind, heaviest clause and score of each text."""
+    """doc_id, the `keep` columns, FEATURES and the score of each text."""
+    measures = (*FEATURES, "score")
 
     def read(batches):
         for batch in batches:
             found = [grammar.emitted(t.as_py() or "") for t in batch.column(1)]
-            columns = [pa.array([f[0][k] for f in found], pa.float64()) for k in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, *range(2, batch.num_columns))), *columns, pa.array([f[1] for f in found], pa.float64()), pa.array([grammar.score(f[0]) for f in found], pa.float64())], names=["doc_id", *keep, *KINDS, "heaviest_clause", "score"])
+            columns = [pa.array(c, pa.float64()) for c in zip(*[(*f, grammar.score(f)) for f in found])] or [pa.array([], pa.float64())] * len(measures)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, *range(2, batch.num_columns))), *columns], names=["doc_id", *keep, *measures])
 
     docs = docs.select("doc_id", F.col("text").alias("read_text"), *keep)
     types = dict(docs.dtypes)
-    fields = [f"doc_id {types['doc_id']}", *(f"`{c}` {types[c]}" for c in keep), *(f"{k} double" for k in (*KINDS, "heaviest_clause", "score"))]
+    fields = [f"doc_id {types['doc_id']}", *(f"`{c}` {types[c]}" for c in keep), *(f"{m} double" for m in measures)]
     return docs.mapInArrow(read, ", ".join(fields))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **learning) -> DataFrame:
     """Score every whole text by the grammar learned from `labels`.
 
-    Gives per row doc_id, the weights by kind, heaviest_clause, score and predicted (1 from
+    Gives per row doc_id, the clauses' weights by kind, heaviest_clause, clauses (how many match), score and predicted (1 from
     `threshold` on). Null and empty texts get the score of a text without any match; repeated rows
     are scored each, alike; null doc_id stays; other columns are ignored; empty documents give
     none; without labels of both kinds all scores are near 0.
