@@ -5,6 +5,7 @@ columns whose names the operators use themselves."""
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -364,9 +365,48 @@ def test_licenses(docs, rows):
 
 
 def test_template_automaton():
-    a = licenses.compile_template("a [[b c]] <<x:1-2>> d")
-    ends = {t: a.accepted(t.split(), 0) for t in ("a q d", "a b c q d", "a b c q r d", "a d", "a q r s d", "z a q d", "a b c d")}
+    a = licenses.compile_template("a [[b c]] <<x:1-2>> D.")
+    ends = {t: a.accepted(t.encode().split(), 0) for t in ("a q d", "a b c q d", "a b c q r d", "a d", "a q r s d", "z a q d", "a b c d")}
     assert ends == {"a q d": 3, "a b c q d": 5, "a b c q r d": 6, "a d": None, "a q r s d": None, "z a q d": None, "a b c d": 4}
+    assert licenses.anchored("a [[b c]] <<x:1-2>> dd ee [[f]] g") == (b" dd ee ", 2, 5)
+
+
+def _written(markup, rng):
+    """A text of a template: optional regions at random, replaceable ones filled, odd case and marks."""
+    out, optional, skip = [], False, False
+    for part in licenses.markup_parts(markup):
+        if part in ("[[", "]]"):
+            optional, skip = part == "[[", part == "[[" and rng.random() < 0.5
+        elif part.startswith("<<"):
+            least, most = map(int, re.findall(r"\d+", part.split(":")[1]))
+            out += [rng.choice(["Acme", "é", "2020", "x"]) for _ in range(rng.randint(least, most))]
+        elif not (optional and skip):
+            out.append(rng.choice([part, part.upper(), part.capitalize()]))
+    return out
+
+
+def test_whole_licence_texts(spark):
+    """A verbatim copy of every template is found; with one mandatory word changed, left out or added it is not."""
+    rng, rows, want = random.Random(11), [], {}
+    for k, (label, markup) in enumerate(licenses.TEMPLATES):
+        for way in ("verbatim", "changed", "left out", "added"):
+            words, doc_id = _written(markup, rng), 10 * k + len(way)
+            fixed = {w for p in re.split(r"\[\[.*?\]\]|<<.*?>>", markup) for w in licenses.markup_parts(p)}
+            inner = [k for k in range(1, len(words)) if {words[k - 1].lower(), words[k].lower()} <= fixed]
+            at = inner[len(inner) // 2]
+            words = {"verbatim": words, "changed": [*words[:at], "zzz", *words[at + 1 :]], "left out": words[:at] + words[at + 1 :], "added": [*words[:at], *["zzz"] * 40, *words[at:]]}[way]
+            rows.append((doc_id, "zzz, " + rng.choice([" ", "\n * ", " -- "]).join(words) + " zzz."))
+            want[doc_id] = f"{label} {k}", way  # a label each, as some templates stand within others
+    own = [(f"{label} {k}", markup) for k, (label, markup) in enumerate(licenses.TEMPLATES)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=own).collect()}
+    for doc_id, (label, way) in want.items():
+        found = {s["label"] for s in got[doc_id]["spans"]}
+        assert (label in found) == (way == "verbatim"), (label, way, found, dict(rows)[doc_id])
+
+
+def test_places_of_phrases_overlap(spark):
+    got = licenses.scan_licenses(spark.createDataFrame([(1, "ha ha ha HA"), (2, "ha\x00ha"), (3, "ha"), (4, "ha")], "doc_id long, text string").coalesce(1), {"ha ha": "laugh"}).orderBy("doc_id").collect()
+    assert [(r["n_base"], r["first_word"], r["last_word"]) for r in got] == [(3, 0, 2), (1, 0, 0), (0, None, None), (0, None, None)]
 
 
 def _base(text):
@@ -437,40 +477,116 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def _naive_clause(grammar, words):
+    """The grammar's kinds told from the words before each match."""
+    found, c = dict.fromkeys(toxicity.KINDS, 0.0), [("insult" if grammar.weight(w) else toxicity.CLASSES.get(w, "other")) for w in words]
+    state = 0  # of the threat machine
+    for k, own in enumerate(c):
+        threat = (state == 1 and own == "harm") or (state == 2 and own == "target")
+        if own == "harm":
+            state = 2
+        elif own == "intent" or (state == 2 and own == "target"):
+            state = 1
+        elif state == 2:
+            state = 0
+        if own != "insult" and not threat:
+            continue
+        before = k
+        while before and c[before - 1] == "intensifier":
+            before -= 1
+        strong = own == "insult" and before < k
+        kind = "negated" if "negation" in c[max(0, k - toxicity.SCOPE) : k] else "reported" if "report" in c[:k] else "threat" if threat else "aimed" if "target" in c[:k] else "strong" if strong else "plain"
+        found[kind] += grammar.weight(words[k]) or 1.0
+    return [found[k] for k in toxicity.KINDS]
+
+
+def test_grammar_against_its_rules():
+    g, rng = toxicity.Grammar({"clod": 2.0, "oaf*": 3.0}), random.Random(7)
+    pool = ["clod", "oafish", "you", "not", "said", "very", "will", "kill", "x", "y"]
+    for _ in range(3000):
+        words = [rng.choice(pool) for _ in range(rng.randint(1, 9))]
+        assert g.clause(words) == _naive_clause(g, words), words
+
+
 def test_grammar_states():
     g = toxicity.Grammar({"clod": 2.0, "oaf*": 3.0})
-    assert g.emitted("What a clod.")[0] == [2.0, 0, 0, 0, 0]
-    assert g.emitted("You oafish clod")[0] == [0, 5.0, 0, 0, 0]
-    assert g.emitted("not a clod. clod")[0] == [2.0, 0, 2.0, 0, 0]
-    assert g.emitted("he said clod")[0] == [0, 0, 0, 2.0, 0]
-    assert g.emitted("not one two three four clod")[0] == [2.0, 0, 0, 0, 0]
-    assert g.emitted("they will kill")[0][4] == 1.0
+    kinds = lambda t: dict(zip(toxicity.FEATURES, g.emitted(t)))
+    only = lambda **k: dict.fromkeys(toxicity.FEATURES, 0) | k
+    assert kinds("What a clod.") == only(plain=2.0, heaviest_clause=2.0, clauses=1)
+    assert kinds("You oafish clod") == only(aimed=5.0, heaviest_clause=5.0, clauses=1)
+    assert kinds("not a clod. clod! x") == only(plain=2.0, negated=2.0, heaviest_clause=2.0, clauses=2)
+    assert kinds("he wrote clod") == only(reported=2.0, heaviest_clause=2.0, clauses=1)
+    assert kinds("such a clod, such clod") == only(plain=2.0, strong=2.0, heaviest_clause=4.0, clauses=1)
+    assert kinds("not one two three four clod") == only(plain=2.0, heaviest_clause=2.0, clauses=1)
+    assert kinds("they will kill") == only(threat=1.0, heaviest_clause=1.0, clauses=1)
+    assert kinds("to kill you") == only(threat=1.0, heaviest_clause=1.0, clauses=1) and kinds("to kill time") == only()
+    assert kinds("clod " * 9) == only(plain=toxicity.CLAUSE, heaviest_clause=toxicity.CLAUSE, clauses=1)
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.7), ("sf0.1", 0.9)])
+def test_held_out_toxicity(spark, sf, least):
+    """Toxic texts of rows that were not learned from. At sf0.01 four of the 14 hold no word that any
+    learned toxic text has in common with them."""
+    from tributary.llm.queries import QUERIES
+
+    scored = QUERIES["op8_toxicity"](spark, f"/root/testdata/{sf}").where("held_out")
+    rows = scored.join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id").where("toxic is not null").select("toxic", "predicted").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
+    clean = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert sum(toxic) >= least * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_speaker_markers():
+    names = {t: chat.split_marker(t) for t in ("Human: hi", "<user> hi", "### Response: x", "[AI]: x", "**Bot:** x", "no marker here", "Q:", "http://x y", "a b c d e f g h i j k l m n o p q: x")}
+    assert [n for n, _ in names.values()] == ["human", "user", "response", "ai", "bot", None, "q", None, None]
+    assert names["### Response: x"][1] == "x" and names["no marker here"][1] == "no marker here"
+
+
+def test_viterbi_against_all_paths():
+    """The likeliest of all state sequences, whole and cut into segments."""
+    rng = np.random.default_rng(3)
+    n = len(chat.STATES)
+    for length in (1, 2, 3, 5):
+        e = np.log(rng.dirichlet(np.ones(n), length))
+        model = chat.Model(np.log(rng.dirichlet(np.ones(n))), np.log(rng.dirichlet(np.ones(n), n)), {}, ())
+        score = lambda path: model.start[path[0]] + sum(e[k, s] for k, s in enumerate(path)) + sum(model.move[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        best = max(itertools.product(range(n), repeat=length), key=score)
+        whole = chat.product(model, e, True)[0]
+        assert whole.max() == pytest.approx(score(best)) and chat.decode(model, e, -1, int(whole.argmax())) == list(best)
+        if length == 5:
+            seam = (chat.product(model, e[:2], True)[0][:, None] + chat.product(model, e[2:], False)).max(1).argmax()
+            assert chat.decode(model, e[:2], -1, int(seam)) + chat.decode(model, e[2:], int(seam), best[-1]) == list(best)
 
 
 def test_chat(spark, monkeypatch):
     rng = random.Random(2)
     rows = []
-    for conv in range(60):
+    for conv in range(200):
         for turn in range(rng.choice([2, 4, 6])):
             role = "user" if turn % 2 == 0 else "assistant"
             n = rng.randint(3, 9) if role == "user" else rng.randint(60, 120)
             rows.append((conv, turn, role, " ".join(rng.choice(["ba", "ti", "no"]) for _ in range(n)) + "."))
-    lines = chat.transcript_lines(spark.createDataFrame([*rows, (None, None, None, None), (7, 99, "user", "")], "conv_id long, turn long, role string, text string"))
-    model = chat.learn(lines)
+    table = spark.createDataFrame([*rows, (None, None, None, None), (7, 99, "user", "")], "conv_id long, turn long, role string, text string")
+    lines = chat.transcript_lines(table, F.coalesce(F.col("conv_id") % 3 != 0, F.lit(True)), 2).cache()
+    numbers = lines.groupBy("conv_id").agg(F.sort_array(F.collect_list("line_no")).alias("n")).collect()
+    assert all(r["n"] == list(range(len(r["n"]))) for r in numbers)
+    model = chat.learn(lines.where("learned"))
+    assert {"human", "ai", "q", "user", "note"} - set(model.names) <= {"note"} and "instruction" not in model.names
     whole = chat.parse_transcripts(lines, model).collect()
-    truth = {(c, t): r for c, t, r, _ in rows}
-    right = sum(truth.get((r["conv_id"], r["at_turn"])) == r["role"] for r in whole)
-    assert right >= 0.95 * len(rows)
+    found = {(r["conv_id"], r["at_line"]): r["role"] for r in whole}
+    for style in range(6):  # 4: never learned from; 5: no marker at all
+        turns = lines.where("turn_line = 0 and conv_id is not null and turn < 99").where(F.col("style") == style).select("conv_id", "line_no", "role").collect()
+        assert len(turns) > 20 and sum(found.get((r["conv_id"], r["line_no"])) == r["role"] for r in turns) >= 0.95 * len(turns), style
     assert all(r["rendered"] == f"<|{r['role']}|>\n{r['text']}\n<|end|>\n" for r in whole)
     # Cutting conversations into segments gives the same path.
-    starts = lambda out: {(r["conv_id"], r["at_turn"], r["at_line"], r["role"]) for r in out if not r["continues"]}
+    starts = lambda out: {(r["conv_id"], r["at_line"], r["role"]) for r in out if not r["continues"]}
     monkeypatch.setattr(chat, "SEGMENT", 2)
     assert starts(chat.parse_transcripts(lines, model).collect()) == starts(whole)
 
 
 def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    lines = spark.createDataFrame([], "conv_id long, turn long, line_no long, line string, role string")
+    lines = spark.createDataFrame([], "conv_id long, turn long, turn_line long, line_no long, line string, role string")
     frames = [
         suffix_dedup.suffix_array_dedup(empty), substring_dedup.substring_dedup(empty), near_dedup.near_duplicates(empty), fingerprints.fingerprint_documents(empty), mixing.mix_sources(empty),
         packing.pack_powers_of_two(empty, packing.tokenizer_file()), licenses.scan_licenses(empty), quality.quality_cascade(empty), toxicity.score_toxicity(empty, none), chat.parse_transcripts(lines, chat.learn(lines)),

@@ -280,3 +280,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+_W = r"[^\x20\x09-\x0D]+"
+#: All pairs of documents that share a shingle, and every document that each can reach.
+OP9_SQL = f"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') as ws from documents),
+words as (select doc_id, len(ws) as n, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
+runs as (select doc_id, n, i, string_agg(w, ' ') over (partition by doc_id order by i rows between current row and 2 following) as shingle from words),
+sets as (select distinct doc_id, shingle from runs where i <= n - 2 or (n < 3 and i = 1)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as both_ from sets a join sets b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from met join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both_ >= 85 * (x.n + y.n - both_)),
+either_way as (select a, b from links union all select b, a from links),
+reach as (select doc_id as x, doc_id as y from documents union select r.x, e.b from reach r join either_way e on r.y = e.a),
+least_ as (select x, min(y) as component_id from reach group by x)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, l.component_id, l.component_id = d.doc_id as kept from d left join sizes s on s.doc_id = d.doc_id join least_ l on l.x = d.doc_id"""

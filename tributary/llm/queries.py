@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm.chat import op3_chat_formatting
 from tributary.llm.fingerprints import op2_document_fingerprints
-from tributary.llm.licenses import op7_license_scans
+from tributary.llm.licenses import OP7_SQL, op7_license_scans
 from tributary.llm.mixing import OP4_SQL, op4_mixing_sources
-from tributary.llm.near_dedup import op9_minhash_near_dedup
+from tributary.llm.near_dedup import OP9_SQL, op9_minhash_near_dedup
 from tributary.llm.packing import op5_packing
 from tributary.llm.quality import OP10_SQL, op10_quality_rules
-from tributary.llm.substring_dedup import op6_substring_dedup
-from tributary.llm.suffix_dedup import op1_suffix_array_dedup
+from tributary.llm.substring_dedup import OP6_SQL, op6_substring_dedup
+from tributary.llm.suffix_dedup import OP1_SQL, op1_suffix_array_dedup
 from tributary.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_array_dedup": OP1_SQL,
     "op4_mixing_sources": OP4_SQL,
+    "op6_substring_dedup": OP6_SQL,
+    "op7_license_scans": OP7_SQL,
+    "op9_minhash_near_dedup": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
 }

@@ -273,3 +273,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup(documents(spark, sf_dir))
     lost = F.aggregate(F.zip_with("span_starts", "span_ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
     return done.select("doc_id", "n_words", lost.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+_W = r"[^\x20\x09-\x0D]+"
+#: Every window is a row here.
+OP6_SQL = f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') as ws from documents),
+words as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
+windows as (select doc_id, i, string_agg(w, ' ') over around as words, count(*) over around as n from words window around as (partition by doc_id order by i rows between current row and 12 following)),
+again as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by words) as least_ from windows where n = 13) x where least_ < doc_id),
+gone as (select distinct doc_id, i + unnest(range(13)) as i from again),
+kept as (select doc_id, string_agg(w, ' ' order by i) as kept, count(*) as n from words anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join kept k on k.doc_id = d.doc_id"""

@@ -204,3 +204,18 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_array_dedup(documents(spark, sf_dir))
     n_kept = F.octet_length("kept")
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - n_kept).cast("long").alias("n_removed"), F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The digest of every 200-byte string is a row here; runs of removed bytes are islands of their starts.
+OP1_SQL = """with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+strings as (select r, i, md5(b[i:i + 199]) as h from (select r, b, unnest(range(1, octet_length(b) - 198)) as i from d where octet_length(b) >= 200) x),
+again as (select r, i from (select r, i, count(*) over (partition by h) as k from strings) x where k > 1),
+steps as (select r, i, case when i - lag(i) over (partition by r order by i) <= 200 then 0 else 1 end as new_ from again),
+islands as (select r, i, sum(new_) over (partition by r order by i) as island from steps),
+spans as (select r, island, min(i) as first_, max(i) + 200 as end_ from islands group by r, island),
+counts as (select r, cast(sum(end_ - first_) as bigint) as n_removed, count(*) as n_spans, max(end_) as last_ from spans group by r),
+gaps as (select r, coalesce(lag(end_) over (partition by r order by first_), 1) as start_, first_ as end_ from spans),
+pieces as (select g.r, string_agg(hex(b[g.start_:g.end_ - 1]), '' order by g.start_) as kept from gaps g join d on d.r = g.r where g.end_ > g.start_ group by g.r)
+select d.doc_id, octet_length(b) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(case when c.r is null then b else unhex(concat(coalesce(kept, ''), case when last_ <= octet_length(b) then hex(b[last_:octet_length(b)]) else '' end)) end) as kept_sha256
+from d left join counts c on c.r = d.r left join pieces p on p.r = d.r"""
