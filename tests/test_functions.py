@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tributary.functions import cities, features, typeid
 from tributary.operators import candidates, history, metrics, pairs, ranking, sampling
+from tributary.operators.numbering import numbered
+from tributary.plans import learn
 from tributary.sources import tables
 
 
@@ -95,3 +98,69 @@ def test_history_and_candidates_of_empty_frames(spark):
     flows = spark.createDataFrame([], "yr int, type_id string, from_city int, to_city int, n long, rnk int, label int")
     assert history.with_history(flows).count() == 0
     assert candidates.hard_pool(flows, flows).count() == 0
+
+
+def test_numbers_are_exact_with_one_heavy_bucket(spark):
+    rows = [(g, f"{'aaa' if k < 700 else 'b' + str(k % 7)}{k:04d}") for g in (1, 2) for k in range(1000)]
+    df = spark.createDataFrame(rows, "g int, id string").repartition(7)
+    got = numbered(df, ("g",), F.substring("id", 1, 3), "id", into="k", total="n").collect()
+    for g in (1, 2):
+        own = sorted((r["k"], r["id"]) for r in got if r["g"] == g)
+        assert [k for k, _ in own] == list(range(1, 1001)) and [i for _, i in own] == sorted(i for _, i in own)
+        assert {r["n"] for r in got} == {1000}
+    everything = sorted((r["k"], r["g"], r["id"]) for r in numbered(df, (), F.struct("g", F.substring("id", 1, 3)), "id", into="k").collect())
+    assert [x[1:] for x in everything] == sorted(x[1:] for x in everything)
+    plan = numbered(df, ("g",), F.substring("id", 1, 3), "id")._jdf.queryExecution().toString()
+    assert re.search(r"row_number\(\) windowspecdefinition\(g#\d+, _bucket#", plan)  # rows are sorted by bucket, not by group
+    assert numbered(spark.createDataFrame([], "g int, id string"), ("g",), F.substring("id", 1, 3), "id").count() == 0
+
+
+def test_dense_query_numbers(spark):
+    df = spark.createDataFrame([(y, f"M_20_EduLo_{a}_IncL_Unit_{c}") for y in (2001, 1999) for a in ("Mfg", "Agri") for c in (9, 1000, 30)] * 2, "yr int, type_id string")
+    got = sorted((r["qid"], r["yr"], r["type_id"]) for r in ranking.dense_query_numbers(df).distinct().collect())
+    assert [q for q, _, _ in got] == list(range(12)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+    other = ranking.query_numbers(df).select("yr", "type_id", "qid").distinct()
+    assert other.count() == other.select("qid").distinct().count() == 12
+
+
+def test_names_of_repeated_ids(spark):
+    nodes = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (None, "d")], "city_id int, city_name string")
+    df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "to_city int")
+    assert sorted((r["to_city"] or 0, r["city_name"]) for r in cities.with_names(df, nodes).collect()) == [(0, "Unknown"), (1, "a"), (2, "c"), (3, "Unknown")]
+
+
+def test_pairs_of_a_year_over_salts(spark):
+    have = spark.createDataFrame([(y, c, float(c)) for y in (1, 2) for c in range(40)], "yr int, city_id int, v double")
+    got = pairs.city_pairs(have)
+    assert got.count() == got.select("yr", "from_city", "to_city").distinct().count() == 2 * 40 * 39
+    assert set(got.columns) == {"yr", "from_city", "to_city", "from_v", "to_v"}
+
+
+def test_last_month(spark):
+    facts = spark.createDataFrame([(1, "a", 3, 1), (1, "a", 11, 2), (1, "b", 2, 3), (2, "a", 1, 4)], "yr int, type_id string, month int, v int")
+    assert sorted(r["v"] for r in tables.latest_month(facts).collect()) == [2, 3, 4]
+
+
+def test_lines_and_reset(spark, tmp_path):
+    lines = spark.createDataFrame([(1, '{"a":[1]}'), (2, '{"b":[2]}')], "yr int, value string")
+    tables.write_lines(lines, str(tmp_path / "lines"))
+    assert sorted(map(tuple, tables.read_lines(spark, str(tmp_path / "lines")).collect())) == [(1, '{"a":[1]}'), (2, '{"b":[2]}')]
+    df = spark.createDataFrame([(1, 2), (2, 3)], "yr int, v int")
+    tables.write_years(df, str(tmp_path / "t"))
+    tables.write_years(df.where("yr = 2"), str(tmp_path / "t"), reset=True)
+    assert [r["yr"] for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [2]
+
+
+def test_rounds_and_prefixes():
+    assert learn.best_round([5.0, 4.0, 3.0, 3.5, 3.2, 2.0], 2) == 3
+    assert learn.best_round([5.0, 4.0, 3.0, 3.5, 3.2, 2.0], 3) == 6
+    assert learn.best_round([1.0, 2.0, 3.0], 50) == 1 and learn.best_round([3.0], 5) == 1
+    assert learn.prefix_length(2000) == 500 and learn.prefix_length(200) == 150 and learn.prefix_length(90) == 90
+
+
+def test_saved_models_score_alike(spark, tmp_path):
+    df = spark.createDataFrame([(k % 7 / 7, k % 3 / 3, float(k % 7 > 3), 1.0) for k in range(200)], "a double, b double, label double, weight double")
+    model, best = learn.fit_patient(df, df, ["a", "b"], 4, 2)
+    again = learn.load(learn.save(model, str(tmp_path / "m")))
+    scores = lambda m: [r[0] for r in learn.score_prefix(m, df, best).select("score").collect()]
+    assert 1 <= best <= 4 and scores(model) == scores(again)

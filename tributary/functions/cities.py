@@ -34,12 +34,12 @@ def province_key(city: Column) -> Column:
 
 
 def with_names(df: DataFrame, nodes: DataFrame, column: str = "to_city", into: str = "city_name") -> DataFrame:
-    """City names by id, `Unknown` where there is none."""
-    known = nodes.select(F.col("city_id").alias("_id"), F.col("city_name").alias("_name"))
-    return df.join(F.broadcast(known), F.col(column) == F.col("_id"), "left").withColumn(into, F.coalesce("_name", F.lit("Unknown"))).drop("_id", "_name")
+    """City names by id, `Unknown` where there is none; of several names of an id the least."""
+    known = nodes.groupBy(F.col("city_id").alias("_id")).agg(F.min("city_name").alias("_name"))
+    return df.join(known, F.col(column) == F.col("_id"), "left").withColumn(into, F.coalesce("_name", F.lit("Unknown"))).drop("_id", "_name")
 
 
 def ids_of(df: DataFrame, nodes: DataFrame, column: str = "city_name", into: str = "city_id") -> DataFrame:
     """City ids by name, null where there is none."""
     known = nodes.groupBy(F.col("city_name").alias("_name")).agg(F.min("city_id").alias("_id"))
-    return df.join(F.broadcast(known), F.col(column) == F.col("_name"), "left").withColumn(into, F.col("_id")).drop("_id", "_name")
+    return df.join(known, F.col(column) == F.col("_name"), "left").withColumn(into, F.col("_id")).drop("_id", "_name")

@@ -74,10 +74,13 @@ def feature_columns(df: DataFrame, drop: tuple[str, ...] = ("yr", "type_id", "ty
     return [c for c in df.columns if c not in drop]
 
 
+def missing(df: DataFrame, *columns: str) -> list[str]:
+    return [c for c in columns if c not in df.columns]
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    if lacking := missing(df, *columns):
+        raise ValueError(f"columns are missing: {', '.join(lacking)}")
     return df
 
 

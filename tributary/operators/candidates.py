@@ -9,8 +9,9 @@ KEY = ("yr", "type_id", "to_city")
 
 
 def expand(queries: DataFrame, cities: DataFrame, include_self: bool = False) -> DataFrame:
-    """Each query with every city; the list of cities is small and broadcast by its use."""
-    both = queries.crossJoin(F.broadcast(cities.select(F.col("city_id").alias("to_city"))))
+    """Each query with every city: that product is what is asked for. No hint is given, so the list of
+    cities is broadcast only while its size is under Spark's own bound."""
+    both = queries.crossJoin(cities.select(F.col("city_id").alias("to_city")))
     return both if include_self else both.where("to_city <> from_city")
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tributary.functions.cities import province, province_key
 from tributary.functions.features import finite, safe_diff, safe_ratio, smoothed_ratio
 
+#: Parts of a year's origins.
+SALTS = 16
+
 
 def _ends(cities: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = lambda p: cities.select("yr", *[F.col(c).alias(f"{p}_{c}") for c in cities.columns if c != "yr"])
@@ -17,10 +20,13 @@ def _ends(cities: DataFrame) -> tuple[DataFrame, DataFrame]:
 def city_pairs(cities: DataFrame) -> DataFrame:
     """All ordered pairs of different cities of a year, with both ends' attributes (from_, to_).
 
-    The year is an equi key, so this is a hash join however many years there are.
+    The year is an equi key, so this is a hash join however many years there are. A year's origins
+    are dealt over SALTS parts, each of which meets all destinations, so a year is no one task.
     """
     a, b = _ends(cities)
-    return a.join(b, "yr").where("from_city <> to_city")
+    a = a.withColumn("_salt", F.pmod(F.xxhash64("from_city"), F.lit(SALTS)).cast("int"))
+    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return a.join(b, ["yr", "_salt"]).where("from_city <> to_city").drop("_salt")
 
 
 def with_ends(pairs: DataFrame, cities: DataFrame) -> DataFrame:
@@ -78,8 +84,9 @@ def join_pairs(base: DataFrame, pairs: DataFrame, fill: bool = True) -> DataFram
 
 
 def nearest_year(requests: DataFrame, cities: DataFrame) -> DataFrame:
-    """Attributes of the year next to each requested one (yr), the earlier of two as near."""
+    """Attributes of the year next to each requested one (yr), the earlier of two as near; requested
+    years and known ones, a row each, are crossed."""
     years = cities.select(F.col("yr").alias("own_yr")).distinct()
     best = Window.partitionBy("yr").orderBy(F.abs(F.col("own_yr") - F.col("yr")), "own_yr")
-    near = requests.select("yr").distinct().crossJoin(F.broadcast(years)).withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+    near = requests.select("yr").distinct().crossJoin(years).withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
     return near.join(cities.withColumnRenamed("yr", "own_yr"), "own_yr")

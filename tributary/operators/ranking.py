@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators.numbering import numbered
+
 QUERY = ("yr", "type_id")
 
 
@@ -45,15 +47,10 @@ def query_numbers(df: DataFrame) -> DataFrame:
 
 
 def dense_query_numbers(df: DataFrame) -> DataFrame:
-    """Numbers from 0 in (yr, type_id) order: queries are counted per year, years offset by the
-    queries before, so only a row per year is in one place."""
-    queries = df.select(*QUERY).distinct()
-    years = queries.groupBy("yr").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("yr").rowsBetween(Window.unboundedPreceding, -1))
-    years = years.withColumn("_before", F.coalesce(before, F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("yr").orderBy("type_id")) - 1
-    numbered = queries.withColumn("_k", within).join(F.broadcast(years), "yr").select(*QUERY, (F.col("_before") + F.col("_k")).alias("qid"))
-    return df.join(numbered, list(QUERY))
+    """Numbers from 0 in (yr, type_id) order, over all years; the years and the beginnings of the ids
+    (what comes before the city) are the buckets."""
+    queries = numbered(df.select(*QUERY).distinct(), (), F.struct("yr", F.substring("type_id", 1, 20)), "type_id")
+    return df.join(queries.select(*QUERY, (F.col("_k") - 1).alias("qid")), list(QUERY))
 
 
 def running_precision(ranks: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators.numbering import numbered
+
 QUERY = ("yr", "type_id")
 
 
@@ -23,9 +25,9 @@ def with_positive(df: DataFrame) -> DataFrame:
 
 
 def _ordered_queries(df: DataFrame, seed: int) -> DataFrame:
-    year = Window.partitionBy("yr")
+    """Each year's queries numbered (_k of _n) by hash; the first three of its digits are the buckets."""
     queries = df.select(*QUERY).distinct().withColumn("_turn", turn(seed, *QUERY))
-    return queries.withColumn("_k", F.row_number().over(year.orderBy("_turn", "type_id"))).withColumn("_n", F.count("*").over(year))
+    return numbered(queries, ("yr",), F.substring("_turn", 1, 3), "_turn", "type_id", total="_n")
 
 
 def _of(df: DataFrame, queries: DataFrame) -> DataFrame:

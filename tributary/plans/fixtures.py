@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 _WIDE = ",\n".join(f"max(case when rnk = {k} then concat(city_name, '(', cast(to_city as string), ')') end) as To_Top{k}, max(case when rnk = {k} then n end) as To_Top{k}_Count" for k in range(1, 21))
@@ -50,22 +54,52 @@ TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem")
 WITH = "with " + ",\n".join(f"{name} as ({sql})" for name, sql in FIXTURES.items())
 
 
+#: Fixtures that several queries start from: written once for a session and folder, then read.
+STAGED = ("fx_flows", "fx_truth", "fx_city_attr", "fx_sector", "fx_migrant", "fx_scores")
+_staged: dict[tuple[str, str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or on one machine a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _staged.setdefault((spark.sparkContext.applicationId, "", ""), tempfile.mkdtemp(prefix="tributary-"))
+
+
 class Fixtures:
-    """The fixtures over one folder of tables; their views are made once."""
+    """The fixtures over one folder of tables, each made when it is first asked for.
+
+    Those in STAGED are kept for the session; the tables of a folder are taken not to change in it.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
+    def _view(self, name: str) -> DataFrame:
+        if name in self._made:
+            return self._made[name]
+        if name in TABLES:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        else:
+            key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+            if key not in _staged:
+                for part in dict.fromkeys(re.findall(r"\bfx_\w+|\b(?:" + "|".join(TABLES) + r")\b", FIXTURES[name])):
+                    self._view(part)
+                df = self.spark.sql(FIXTURES[name])
+                if name in STAGED:
+                    path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+                    df.write.parquet(path)
+                    _staged[key] = path
+            if key in _staged:
+                df = self.spark.read.parquet(_staged[key])
+        df.createOrReplaceTempView(name)
+        self._made[name] = df
+        return df
+
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
-            raise AttributeError(name)
-        if not self._made:
-            for table in TABLES:
-                self._made[table] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
-                self._made[table].createOrReplaceTempView(table)
-            for key, sql in FIXTURES.items():
-                self.spark.sql(sql).createOrReplaceTempView(key)
-                self._made[key.removeprefix("fx_")] = self.spark.table(key)
-        if name not in self._made:
-            raise AttributeError(name)
-        return self._made[name]
+        if f"fx_{name}" in FIXTURES or name in TABLES:
+            return self._view(f"fx_{name}" if f"fx_{name}" in FIXTURES else name)
+        raise AttributeError(name)

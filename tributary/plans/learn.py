@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler, VectorIndexer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +41,49 @@ def score_prefix(model: PipelineModel, df: DataFrame, trees: int, into: str = "s
     return prepared.withColumn(into, total).drop(*_SCORES, *[c for c in prepared.columns if c.startswith("_tree")])
 
 
+def best_round(losses: list[float], patience: int) -> int:
+    """Rounds to keep: up to the least loss so far when `patience` rounds have not bettered it."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def fit_patient(train: DataFrame, validation: DataFrame, features: list[str], rounds: int, patience: int, seed: int = 42) -> tuple[PipelineModel, int]:
+    """Boosted trees and how many of them to use. A tree does not depend on later ones, so the rounds
+    that stopping would have spared are trained here and left out by score_prefix()."""
+    model = fit_recall(train, features, rounds, seed=seed)
+    prepared = PipelineModel(model.stages[:-1]).transform(validation)
+    return model, best_round(model.stages[-1].evaluateEachIteration(prepared), patience)
+
+
+def prefix_length(trees: int, share: float = 0.25, least: int = 150) -> int:
+    """How many of the first trees to score with: a share of them, `least` at least."""
+    return min(trees, max(int(trees * share), least))
+
+
+def score_stumps(df: DataFrame, stumps: list[tuple[str, float, float, float]], first: int | None = None, into: str = "score") -> DataFrame:
+    """The sum over the first trees of an exported model of one split each: (feature, threshold, value up
+    to it, value above it)."""
+    total = F.lit(0.0)
+    for feature, threshold, low, high in stumps[:first]:
+        total = total + F.when(F.col(feature) <= threshold, low).otherwise(high)
+    return df.withColumn(into, total)
+
+
+def top_features(values: DataFrame, n: int = 20) -> DataFrame:
+    """(feature, importance), the n greatest."""
+    return values.orderBy(F.desc("importance"), "feature").limit(n)
+
+
 def importance(model: PipelineModel, features: list[str], n: int = 20) -> DataFrame:
     from pyspark.sql import SparkSession
 
     values = model.stages[-1].featureImportances.toArray().tolist()
-    return SparkSession.active().createDataFrame(list(zip(features, values)), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
+    return top_features(SparkSession.active().createDataFrame(list(zip(features, values)), "feature string, importance double"), n)
 
 
 def preference_pairs(df: DataFrame, features: list[str], best: int = 20) -> DataFrame:
@@ -72,8 +110,19 @@ def validation_recall(scored: DataFrame, truth: DataFrame, k_list: tuple[int, ..
     return judged(ranked(scored), truth, k_list, "least").agg(*[F.avg(f"recall_{k}").alias(f"recall_{k}") for k in k_list])
 
 
-def save(model: PipelineModel, path: str) -> None:
+def fixed_model() -> PipelineModel:
+    """The fixed formula as a fitted pipeline."""
+    sql = "select *, round(population_total_ratio + 0.5D * gdp_per_capita_ratio + migrant_stock_from_to - geo_distance / 1000D, 9) as score from __THIS__"
+    return PipelineModel([SQLTransformer(statement=sql)])
+
+
+def transform(model: PipelineModel, df: DataFrame) -> DataFrame:
+    return model.transform(df)
+
+
+def save(model: PipelineModel, path: str) -> str:
     model.write().overwrite().save(path)
+    return path
 
 
 def load(path: str) -> PipelineModel:

@@ -66,6 +66,13 @@ def ranking_from_lists(lists: DataFrame, long: DataFrame, pairs: DataFrame, wage
     return with_features(df, pairs, wages, vacancies)
 
 
+def merged_training(base: DataFrame, pairs: DataFrame, wages: list[str], vacancies: list[str], n: int = 200, seed: int = 42) -> DataFrame:
+    """All years' queries in one set, each with its positives and at most n negatives."""
+    df = smp.exact_negatives(base, n, seed)
+    df = df.withColumns({"label": lab.binary(F.col("rnk")), "weight": lab.weight_recall(F.col("rnk"))})
+    return with_features(df, pairs, wages, vacancies)
+
+
 def evaluation_set(base: DataFrame, pairs: DataFrame, wages: list[str], vacancies: list[str], n: int, seed: int = 42) -> DataFrame:
     df = smp.sample_count(base, n, seed).withColumn("label", lab.binary(F.col("rnk")))
     return with_features(df, pairs, wages, vacancies)

@@ -67,9 +67,16 @@ def city_attributes(lines: DataFrame, ages: tuple[str, ...] = AGES) -> DataFrame
     return c.select("yr", *[v.alias(k) for k, v in flat.items()])
 
 
-def read_city_lines(spark: SparkSession, path: str) -> DataFrame:
-    """All years at once: JSON lines in folders yr=..."""
-    return spark.read.text(path).select(F.col("yr").cast("int").alias("yr"), "value")
+def city_attributes_earlier(lines: DataFrame) -> DataFrame:
+    """The earlier flavour: 21 columns, sectors without vacancies, no ages, no sex ratio."""
+    c = lines.select("yr", F.from_json("value", CITY_SCHEMA).alias("c"))
+    flat = {"city_id": F.col("c.city_id").try_cast("int"), "city_name": F.col("c.city_name"), "tier": F.col("c.basic_info.tier"), "area_sqkm": F.col("c.basic_info.area_sqkm")}
+    flat |= {k: F.col(f"c.economy.{k}") for k in ("gdp_per_capita", "cpi_index", "unemployment_rate")}
+    flat |= {f"{s}_{k}": F.coalesce(f"c.economy.industry_sectors.{s}.{v}", F.lit(0.0)) for s in SECTORS for k, v in (("share", "share"), ("wage", "avg_wage"))}
+    flat |= {k: F.col(f"c.living_cost.{k}") for k in ("housing_price_avg", "rent_avg", "daily_cost_index")}
+    flat |= {k: F.col(f"c.public_services.{k}") for k in ("medical_score", "education_score", "transport_convenience", "avg_commute_mins")}
+    flat |= {"population_total": F.col("c.social_context.population_total")}
+    return c.select("yr", *[v.alias(k) for k, v in flat.items()])
 
 
 def edges(df: DataFrame) -> DataFrame:
@@ -103,12 +110,28 @@ def json_lines(lists: DataFrame, k: int = 100) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
+    """Text files in a folder a year; files appear when the job commits, whole or not at all."""
     lines.write.mode("overwrite").partitionBy("yr").text(path)
 
 
-def write_years(df: DataFrame, path: str) -> None:
-    """One folder a year; a rerun replaces the years it holds and no others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("yr").parquet(path)
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(yr, value) of JSON lines in folders yr=..., all years at once."""
+    return spark.read.text(path).select(F.col("yr").cast("int").alias("yr"), "value")
+
+
+def write_years(df: DataFrame, path: str, reset: bool = False) -> None:
+    """One folder a year; a rerun replaces the years it holds and no others, or all with `reset`."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static" if reset else "dynamic").partitionBy("yr").parquet(path)
+
+
+def write_split(df: DataFrame, path: str) -> None:
+    """Training rows in folders by split (train, val) and year; what a model is validated on is read
+    back by its folder."""
+    df.write.mode("overwrite").partitionBy("split", "yr").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("split") == split).withColumn("yr", F.col("yr").cast("int"))
 
 
 def repeated_keys(lists: DataFrame) -> DataFrame:
