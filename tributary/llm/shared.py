@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="tributary-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (as in tests) an own one."""
+    """The folder all executors share: spark.checkpoint.dir, else, on one machine as in tests, an own one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="tributary-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -42,8 +49,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, df: DataFrame, times: int = 4) -> int:
-    """How many buckets to deal packed records into: follows the number of input partitions. Also
-    sees to it that Arrow batches of whole texts stay small."""
+    """How many buckets to deal packed records into: follows the number of input partitions.
+
+    Also sees to it that Arrow batches of whole texts stay small, for the rest of the session: the
+    setting is read when a plan runs, and only ever lowered.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return max(16, times * df.rdd.getNumPartitions())
