@@ -15,6 +15,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tributary.llm import chat, components, fingerprints, licenses, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, toxicity
@@ -240,6 +241,39 @@ def test_fingerprints(docs, rows):
     assert abs(sum(errors) / len(errors)) < 0.05
 
 
+def _hash(seed, *values):
+    """Spark's xxhash64 of texts or longs, each seeded with the one before."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def _digits(text, bins=128):
+    """One permutation by hand: bins, their minima, probes for the empty ones, four low bits each."""
+    words = [_hash(42, w) for w in WORD.findall(text)]
+    pair = lambda a, b, by: [_hash(42, x, y) for x, y in zip(a, b[by:])]
+    runs = pair(pair(words, words, 1), pair(words, words, 1), 2)  # four words
+    shingles = pair(runs, words, 4) if len(words) >= 5 else [_hash(42, " ".join(map(str, words)))] if words else []
+    least = {}
+    for h in shingles:
+        h %= 1 << 64
+        least[h % bins] = min(least.get(h % bins, 1 << 60), h >> 13)
+    full = [least.get(j, next((v for t in range(1, bins + 1) if (v := least.get((37 * j + 11 + t * (2 * ((53 * j + 29) % bins) + 1)) % bins)) is not None), None)) for j in range(bins)]
+    return "".join(f"{v & 15:x}" for v in full if v is not None)
+
+
+def test_fingerprints_digit_by_digit(docs):
+    got = fingerprints.fingerprint_documents(docs.where("doc_id % 2 = 0 or doc_id > 40"), rows=10).select("doc_id", "edited", "fingerprint", "edited_fingerprint", "near_edited").collect()
+    text = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    assert len(got) > 40
+    for r in got:
+        a, b = _digits(text[r["doc_id"]]), _digits(r["edited"])
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (a, b)
+        if a and b:
+            same = sum(x == y for x, y in zip(a, b)) / 128
+            assert r["near_edited"] == pytest.approx(max(0.0, (same - 1 / 16) / (1 - 1 / 16)))
+
+
 def _sets5(text):
     w = WORD.findall(text)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
@@ -653,6 +687,74 @@ def test_pipeline_stages_on_awkward_rows(spark, rows):
         assert _sorted(tuple(r[:2]) for r in got) == _sorted(r[:2] for r in left)  # rows of 5 and null differ in lang and source
 
 
+@pytest.fixture(scope="module")
+def odd_documents(spark, rows):
+    """With null ids and sources, repeated rows, two texts of one id, a long text and clashing columns."""
+    rng = random.Random(19)
+    prose = lambda n: " ".join(f"{rng.getrandbits(30):x}" for _ in range(n))
+    own = [*rows, rows[8], rows[8], (8, prose(50), "fr", "s1", 1, *rows[0][5:]), (None, prose(30), None, None, None, *rows[0][5:])]
+    return spark.createDataFrame(own, SCHEMA).repartition(3).cache(), own
+
+
+def _labels(spark, path, toxic):
+    spark.createDataFrame([(k, int(k in toxic)) for k in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_toxicity_stage(spark, odd_documents, tmp_path):
+    import corpus_pipeline as p
+
+    docs, own = odd_documents
+    toxic = {k for k in range(10, 40)}
+    docs = docs.withColumn("text", F.when(F.col("doc_id").between(10, 45), F.concat("text", F.lit(". you vlork, you vlork!"))).otherwise(F.col("text")))
+    kept = p.drop_toxic(spark, docs, _labels(spark, tmp_path, toxic))
+    scored = toxicity.score_toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("predicted = 0").select("doc_id")
+    assert kept.columns == list(p.COLUMNS)
+    assert _sorted(r["doc_id"] for r in kept.collect()) == _sorted(r["doc_id"] for r in scored.collect())
+    gone = {r[0] for r in own if r[0] is not None} - {r["doc_id"] for r in kept.collect()}
+    assert toxic - {13, 24} <= gone | {k for k in toxic if not rows_text(own, k)} and not gone & (set(range(10)) | set(range(46, 60)))
+
+
+def rows_text(rows, doc_id):
+    return next((r[1] for r in rows if r[0] == doc_id), None)
+
+
+def test_mixing_and_packing_stages(spark, odd_documents):
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    docs, own = odd_documents
+    mixed = p.mix(spark, docs, "").cache()
+    assert mixed.columns == list(p.COLUMNS)
+    taken: Counter = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        taken[r["doc_id"], r["source"]] += r["taken"]
+    words: Counter = Counter()
+    for r in mixed.collect():
+        words[r["doc_id"], r["source"]] += len(WORD.findall(r["text"]))
+    assert words == +taken
+    whole = Tokenizer.from_file(packing.tokenizer_file())
+    packed = sorted(p.pack(spark, mixed, "").collect(), key=lambda r: r["sequence_id"])
+    found, run = Counter(), b""
+    for r in packed:
+        run += bytes(r["ids"])
+        if r["start"] + r["length"] == r["doc_tokens"]:
+            found[r["doc_id"], run] += 1
+            run = b""
+    want: Counter = Counter()
+    for r in mixed.collect():
+        ids = [*whole.encode(r["text"], add_special_tokens=False).ids, 2]
+        want[r["doc_id"], struct.pack(f"<{len(ids)}I", *ids)] += 1
+    assert found == want
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], SCHEMA).select(*p.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, _labels(spark, tmp_path, {1})).count() == 0
+
+
 def test_hash_of_kept_bytes_is_of_the_text(docs):
     got = suffix_dedup.suffix_array_dedup(docs.where("doc_id = 3 or doc_id = 4")).select("kept", F.sha2("kept", 256).alias("h")).collect()
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["h"] for r in got)
