@@ -1,7 +1,9 @@
 """A corpus pipeline of five of the training-data operators.
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame;
-all but the last return the columns of `documents`. A null doc_id is a value like others.
+all but the last return the columns of `documents`. In every stage a null doc_id, lang, source or
+n_chars is a value like others and a null text counts as empty; columns besides those of `documents`
+are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +32,22 @@ def unique(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar, learned from the labels, predicts to be toxic go."""
+    """Documents that the grammar, learned from the labels, predicts to be toxic go.
+
+    Null and empty texts have nothing that could match and stay; repeated rows are judged each,
+    alike; labels with a null doc_id or a null mark teach nothing.
+    """
     grammar = toxicity.learn(docs, shared.table(spark, sf_dir, "labels"))
     return toxicity.emit(docs, grammar, "text", "lang", "source", "n_chars").where("score < 0.3").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the least doc_id.
-    Of rows equal in doc_id and text one stays; documents without a doc_id have no near copies."""
+
+    Of rows equal in doc_id and text one stays, all other columns its own; different texts of one
+    doc_id are one document and stay or go together; documents without a doc_id have no near copies
+    and stay, and so do texts without a word.
+    """
     docs = unique(docs)
     found = near_dedup.near_duplicates(docs, shingle=5, percent=80)
     kept = found.where("kept").select("doc_id").distinct()
@@ -45,8 +55,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 200 that stand anywhere else go; documents left without a word go too.
-    Rows equal in doc_id and text count as one."""
+    """Bytes in strings of 200 that stand anywhere else go; documents left without a word go too, so
+    null, empty and blank texts do.
+
+    Rows equal in doc_id and text count as one; two texts of one doc_id are two documents. Bytes that
+    no longer form a character go with what was cut; n_chars is counted anew.
+    """
     docs = unique(docs)
     done = suffix_dedup.suffix_array_dedup(docs)
     text = suffix_dedup.kept_text(F.col("kept"))
@@ -55,12 +69,17 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; n_chars is counted anew.
+
+    Documents of which nothing is taken are left out, texts without a word always; repeated rows are
+    taken each for itself; a null source is a source.
+    """
     return mixing.materialise(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two sequences of token ids."""
+    """Power-of-two sequences of token ids; a null or empty text would be one sequence of its end alone,
+    repeated rows are packed each, a null doc_id stays null."""
     return packing.pack_powers_of_two(docs, packing.tokenizer_file())
 
 
