@@ -64,15 +64,15 @@ def run_lengths(first: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(first, n))
 
 
-def exchange(sent: DataFrame, buckets: int, record: np.dtype, answer: Callable, finish: Callable, schema: str) -> DataFrame:
+def exchange(sent: DataFrame, buckets: int, record: np.dtype | None, answer: Callable, finish: Callable, schema: str) -> DataFrame:
     """answer(records, cuts) gives an answer (bytes, or None for nothing) to each sending row, whose
-    records lie between two cuts; finish(kept, answers by bucket) makes a chunk's rows."""
+    records lie between two cuts; without a record type it is answer(what each row sent). finish(kept, answers by bucket) makes a chunk's rows."""
 
     def in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] >= buckets:
             return pd.DataFrame({"chunk": pdf["chunk"], "bucket": -1, "back": None, "kept": pdf["kept"]})
-        parts = [np.frombuffer(x, record) for x in pdf["records"]]
-        back = answer(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
+        parts = list(pdf["records"]) if record is None else [np.frombuffer(x, record) for x in pdf["records"]]
+        back = answer(parts) if record is None else answer(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
         told = [k for k, b in enumerate(back) if b is not None]
         del parts
         give_back()

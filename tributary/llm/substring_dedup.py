@@ -1,13 +1,15 @@
 """Substring dedup by prefix-partitioned suffix trees (operator 6), over words.
 
 1. Sampling. Synchronised word positions (least name of `gram` words among the starts that fit a
-   window) lie at equal offsets in equal windows. Samples that two documents share mark the
-   stretches in which suffixes can be repeated; suffixes elsewhere are in no tree.
-2. Prefix partition. Counts of shared samples by first word set the groups: rare first words share
-   one, frequent ones are split by prefixes of two, three or more words until a group holds about
-   `target` suffixes. A group's suffixes go to one task; equal windows have equal prefixes.
-3. Subtrees. A node at depth `window` is a set of suffixes with equal first `window` words (equal
-   path label); its leaves name their documents, and all but those of the smallest are repeats.
+   window) lie at equal offsets in equal windows, the least gram of a window always among them.
+   Where no other document has it as a sample, the suffix cannot be repeated and is in no tree.
+2. Prefix partition. Every window is placed by its least gram, and with it the suffixes from there on:
+   equal windows have equal least grams at equal offsets. Counts of shared samples cut the grams into
+   groups of about one size; a gram that is too frequent for a group is split by longer prefixes, up
+   to the whole window. A group's suffixes, as the words they begin with, go to one task.
+3. Subtrees. A group's suffixes are sorted word by word; the words that neighbours share (the LCP
+   array) make the internal nodes, and those of depth `window` or more are the repeats. All leaves of
+   such a node but those of its smallest document are removed. Words are compared, not their names.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.exchange import NAME, SENT, bits_back, bits_of, by_name, distinct, exchange, kept_row, numbered, rows, run_starts, sent_rows
-from tributary.llm.names import Named, chunks, mix, packed, synchronised, words_of
+from tributary.llm.names import Named, chunks, packed, slid, synchronised, words_of
 from tributary.llm.shared import BROADCAST_ROWS, documents, matched, spread, stage, text_key
 
 GRAM = 4
@@ -70,7 +73,7 @@ def _samples(buckets: int, window: int, gram: int):
             bucket = by_name(name, buckets)
             sent = np.flatnonzero(sends)
             sent = sent[np.argsort(bucket[sent], kind="stable")]
-            bins = (words.word[at] % np.uint64(BINS)).astype(np.uint16)
+            bins = (name % np.uint64(BINS)).astype(np.uint16)
             kept = kept_row(buckets, chunk, (_ids(batch), words.first, np.packbits(several), np.packbits(sends), _least(bucket), _least(np.diff(at, prepend=0)), bins))
             yield rows([*sent_rows(chunk, name[sent], bucket[sent]), kept])
 
@@ -92,61 +95,38 @@ def _shared(names: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
     return bits_back(flag, cuts)
 
 
-def _stretches(window: int, gram: int):
-    def finish(kept, back) -> pd.DataFrame:
-        (ids, keys), first, several, sends, bucket, steps, bins = kept
-        n = len(steps)
-        tied, sends = np.unpackbits(several, count=n).astype(bool), np.unpackbits(sends, count=n).astype(bool)
-        sent = np.flatnonzero(sends)
-        sent = sent[np.argsort(bucket[sent], kind="stable")]
-        tied[sent] |= bits_of(back, bucket[sent])
-        at = np.cumsum(steps.astype(np.int64))[tied]
-        bins = bins[tied]
-        doc = np.searchsorted(first, at, "right") - 1
-        lo, hi = np.maximum(at - (window - gram), first[doc]), np.minimum(at + window, first[doc + 1])
-        whole = hi - lo >= window
-        lo, hi, doc, bins = lo[whole], hi[whole], doc[whole], bins[whole]
-        cut = run_starts(doc) if len(doc) else []
-        found = []
-        for a, b in zip(cut, [*cut[1:], len(doc)]):
-            d = doc[a]
-            found.append((ids[d], keys[d], packed(np.stack([lo[a:b], hi[a:b]], 1) - first[d], "<u4"), packed(bins[a:b], "<u2")))
-        return pd.DataFrame(found, columns=["doc_id", "key", "near", "bins"]).astype({"doc_id": "Int64"})
-
-    return finish
-
-
-def _inside(first: np.ndarray, ids: list, near: list[np.ndarray], window: int) -> np.ndarray:
-    """Starts of the suffixes inside the stretches; a document with a null id has none."""
-    edge = np.zeros(first[-1] + 2, np.int64)
-    for k, spans in enumerate(near):
-        if ids[k] is not None:
-            np.add.at(edge, spans[:, 0] + first[k], 1)
-            np.add.at(edge, spans[:, 1] + first[k] - window + 1, -1)
-    return np.flatnonzero(np.cumsum(edge)[:-2] > 0)
+def _tied(kept, back) -> pd.DataFrame:
+    """Places of the samples that another document has as well, by document."""
+    (ids, keys), first, several, sends, bucket, steps, bins = kept
+    n = len(steps)
+    tied, sends = np.unpackbits(several, count=n).astype(bool), np.unpackbits(sends, count=n).astype(bool)
+    sent = np.flatnonzero(sends)
+    sent = sent[np.argsort(bucket[sent], kind="stable")]
+    tied[sent] |= bits_of(back, bucket[sent])
+    at, bins = np.cumsum(steps.astype(np.int64))[tied], bins[tied]
+    doc = np.searchsorted(first, at, "right") - 1
+    cut = run_starts(doc) if len(doc) else []
+    found = [(ids[doc[a]], keys[doc[a]], packed(at[a:b] - first[doc[a]], "<u4"), packed(bins[a:b], "<u2")) for a, b in zip(cut, [*cut[1:], len(doc)])]
+    return pd.DataFrame(found, columns=["doc_id", "key", "near", "bins"]).astype({"doc_id": "Int64"})
 
 
 class _Groups:
-    """Variable-length prefixes: a suffix's place in the order of first words, by counted sizes."""
+    """Which group a window's suffix is in: ranges of bins of grams by counted sizes; a bin that is
+    larger than a group is split by the window's whole name."""
 
     def __init__(self, counts: np.ndarray, buckets: int):
-        self.counts = counts
-        self.before = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        self.target = max(1.0, counts.sum() / buckets)
-        self.buckets = buckets + 1
-        parts = np.ceil(counts / self.target)
-        self.depth = 1 + np.ceil(np.log(np.maximum(parts, 1)) / np.log(8)).astype(np.int64)
+        target = max(1.0, counts.sum() / buckets)
+        self.parts = np.maximum(np.ceil(counts / target), 1).astype(np.uint64)
+        self.first = (np.concatenate([[0], np.cumsum(counts)])[:-1] / target).astype(np.int64)
+        self.buckets = int((self.first + self.parts.astype(np.int64)).max()) + 1
 
-    def of(self, words: _Words, at: np.ndarray) -> np.ndarray:
-        b = (words.word[at] % np.uint64(BINS)).astype(np.int64)
-        depth = self.depth[b]
-        within = mix(words.named.of(at, at + np.minimum(depth, len(words.word) - at))) / 2.0**64
-        place = self.before[b] + np.where(depth > 1, within, 0.0) * self.counts[b]
-        return np.minimum((place / self.target).astype(np.int64), self.buckets - 1)
+    def of(self, gram: np.ndarray, label: np.ndarray) -> np.ndarray:
+        b = (gram % np.uint64(BINS)).astype(np.int64)
+        return self.first[b] + (label % self.parts[b]).astype(np.int64)
 
 
 def _near(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(v.as_py(), "<u4").astype(np.int64).reshape(-1, 2) for v in batch.column("near")]
+    return [np.frombuffer(v.as_py(), "<u4").astype(np.int64) for v in batch.column("near")]
 
 
 def _prefix_counts(batches):
@@ -157,45 +137,119 @@ def _prefix_counts(batches):
     yield pa.RecordBatch.from_pydict({"bin": used, "n": total[used]})
 
 
-def _leaves(record: np.dtype, lowest: int, groups: _Groups, window: int):
-    """Sends the leaves of a chunk's least document at each node; those of later ones are repeats
-    already. A group's leaves stand in the order of places."""
+class _Text:
+    """A chunk's words joined by one blank."""
+
+    def __init__(self, words: _Words):
+        size = words.end - words.start
+        self.at = np.concatenate([[0], np.cumsum(size + 1)])
+        own = np.arange(self.at[-1]) - np.repeat(self.at[:-1] - words.start, size + 1)
+        self.x = np.append(words.x, np.uint8(32))[own]
+        self.x[self.at[1:] - 1] = 32
+
+    def lines(self, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The words lo to hi, a line for each, and where each line ends."""
+        start, size = self.at[lo], self.at[hi] - self.at[lo]
+        ends = np.cumsum(size)
+        x = self.x[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
+        x[ends - 1] = 10
+        return x.tobytes(), ends
+
+
+def _leaves(lowest: int, groups: _Groups, window: int, gram: int):
+    """Sends the suffixes of a chunk's least document at each label; those of later ones are repeats
+    already. Suffixes that follow one another and are in one group are one line of words. A group's
+    suffixes stand in the order of places; a line that holds k of them has window + k - 1 words."""
 
     def map_chunks(batches):
         number = numbered()
         for batch, x, ends in chunks(batches):
-            words, near, ids = _Words(x, ends), _near(batch), _ids(batch)
-            at = _inside(words.first, ids[0], near, window)
+            words, ids = _Words(x, ends), _ids(batch)
+            every = words.named.every(gram)
+            tied = np.zeros(len(words.doc), bool)
+            tied[np.concatenate([near + f for near, f, i in zip(_near(batch), words.first, ids[0]) if i is not None] or [[]]).astype(np.int64)] = True
+            at = words.windows(window)[0]
+            order = (every >> np.uint64(32)) << np.uint64(31) | np.arange(len(every), dtype=np.uint64)
+            lead = (slid(order, window - gram + 1, np.minimum) & np.uint64((1 << 31) - 1)).astype(np.int64) if len(at) else at
+            at = at[tied[lead[at]]]
             own = np.array([0 if i is None else i for i in ids[0]], np.int64)[words.doc[at]]
             label = words.named.of(at, at + window)
             names, which, _ = distinct(label)
             least = np.full(len(names), np.iinfo(np.int64).max)
             np.minimum.at(least, which, own)
             later = own > least[which]
-            bucket = groups.of(words, at)
+            bucket = groups.of(every[lead[at]], label)
             sent = np.flatnonzero(~later)
             sent = sent[np.argsort(bucket[sent], kind="stable")]
-            found = np.zeros(len(sent), record)
-            found["name"], found["doc"] = label[sent], own[sent] - lowest
-            chunk = next(number)
-            kept = kept_row(groups.buckets, chunk, (ids, words.first, near, np.packbits(later), _least(bucket)))
-            yield rows([*sent_rows(chunk, found, bucket[sent]), kept])
+            a, g, d = at[sent], bucket[sent], own[sent]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1] + 1) | (g[1:] != g[:-1]) | (words.doc[a[1:]] != words.doc[a[:-1]])
+            line = np.flatnonzero(new)
+            text, stops = _Text(words).lines(a[line], np.append(a[line[1:] - 1], a[-1:]) + window)
+            chunk, doc, out = next(number), d[line] - lowest, []
+            turn = np.concatenate([[0], np.flatnonzero(np.diff(g[line])) + 1, [len(line)]]) if len(line) else np.zeros(1, np.int64)
+            for lo, hi in zip(turn[:-1], turn[1:]):
+                held = int(hi - lo).to_bytes(4, "little") + packed(doc[lo:hi], "<u8") + text[stops[lo - 1] if lo else 0 : stops[hi - 1]]
+                out.append((int(g[line[lo]]), chunk, held, None))
+            kept = kept_row(groups.buckets, chunk, (ids, words.first, _least(np.diff(at, prepend=0)), np.packbits(later), _least(bucket)))
+            yield rows([*out, kept])
 
     return map_chunks
 
 
-def _later(found: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
-    """Leaves of nodes that a smaller document is in as well."""
-    _, which, count = distinct(found["name"])
-    least = np.full(len(count), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, which, found["doc"].astype(np.uint64))
-    return bits_back(found["doc"] > least[which], cuts)
+class Subtree:
+    """The suffixes of a group, sorted by their first `depth` words, and the nodes that deep."""
+
+    def __init__(self, lines: list[bytes], docs: np.ndarray, depth: int):
+        parts = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        self.words, n = parts.flatten(), np.diff(parts.offsets.to_numpy())
+        coded = self.words.dictionary_encode()
+        rank = np.empty(len(coded.dictionary), np.uint64)
+        rank[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank), dtype=np.uint64)
+        code = rank[coded.indices.to_numpy()]
+        self.each = n - depth + 1  # suffixes of each line
+        line = np.repeat(np.arange(len(n)), self.each)
+        first = np.cumsum(n) - n
+        self.start = first[line] + np.arange(len(line)) - (np.cumsum(self.each) - self.each)[line]
+        self.doc = docs[line]
+        pairs = [code[self.start + k] << np.uint64(32) | (code[self.start + k + 1] if k + 1 < depth else np.uint64(0)) for k in range(0, depth, 2)]
+        self.order = np.lexsort((self.doc, *reversed(pairs)))
+        at = self.start[self.order]
+        same, self.lcp = np.ones(max(len(at) - 1, 0), bool), np.zeros(len(at), np.int64)
+        for k in range(depth):  # words that each suffix shares with the one before it
+            same &= code[at[1:] + k] == code[at[:-1] + k]
+            self.lcp[1:] += same
+        self.node = np.cumsum(self.lcp < depth) - 1  # the deep node, or lone leaf, of each in order
+        self.least = self.doc[self.order][np.flatnonzero(self.lcp < depth)]  # within a node documents are in order
+
+    def later(self) -> np.ndarray:
+        """Suffixes whose node a smaller document is in as well, as they came."""
+        out = np.zeros(len(self.order), bool)
+        out[self.order] = self.doc[self.order] > self.least[self.node]
+        return out
+
+
+def _opened(parts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The lines and documents of a group, and how many lines each sender has."""
+    size = np.array([int.from_bytes(x[:4], "little") for x in parts])
+    docs = np.concatenate([np.frombuffer(x, "<u8", n, 4) for x, n in zip(parts, size)])
+    return b"".join(x[4 + 8 * n :] for x, n in zip(parts, size)).split(b"\n")[:-1], docs, size
+
+
+def _later(window: int):
+    def answer(parts: list[bytes]) -> list[bytes | None]:
+        lines, docs, size = _opened(parts)
+        tree = Subtree(lines, docs, window)
+        cuts = np.concatenate([[0], np.cumsum(tree.each)])[np.concatenate([[0], np.cumsum(size)])]
+        return bits_back(tree.later(), cuts)
+
+    return answer
 
 
 def _spans(window: int):
     def finish(kept, back) -> pd.DataFrame:
-        (ids, keys), first, near, later, bucket = kept
-        at = _inside(first, ids, near, window)
+        (ids, keys), first, steps, later, bucket = kept
+        at = np.cumsum(steps.astype(np.int64))
         repeat = np.unpackbits(later, count=len(at)).astype(bool)
         sent = np.flatnonzero(~repeat)
         sent = sent[np.argsort(bucket[sent], kind="stable")]
@@ -245,17 +299,16 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = GRAM) -> Data
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     buckets = spread(docs.sparkSession, docs)
     sent = docs.mapInArrow(_samples(buckets, window, gram), SENT)
-    flags = exchange(sent, buckets, NAME, _shared, _stretches(window, gram), "doc_id long, key long, near binary, bins binary")
+    flags = exchange(sent, buckets, NAME, _shared, _tied, "doc_id long, key long, near binary, bins binary")
     flags = stage(flags.dropDuplicates(["doc_id", "key"]), "stretches")
-    bounds = flags.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    bounds = flags.agg(F.count("*"), F.min("doc_id")).first()
     tied = matched(_among(docs, flags, bounds[0], "left_semi"), flags.select("doc_id", "key", "near"), "inner", "merge").select("doc_id", "key", "text", "near")
-    lowest, highest = bounds[1] or 0, bounds[2] or 0
-    record = np.dtype([("name", "<u8"), ("doc", "<u4" if highest - lowest < 1 << 32 else "<u8")])
+    lowest = bounds[1] or 0
     counts = np.zeros(BINS, np.int64)
     for r in flags.select("bins").mapInArrow(_prefix_counts, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most BINS rows
         counts[r["bin"]] = r["n"]
     groups = _Groups(counts, buckets)
-    spans = exchange(tied.mapInArrow(_leaves(record, lowest, groups, window), SENT), groups.buckets, record, _later, _spans(window), "doc_id long, key long, span_starts array<int>, span_ends array<int>")
+    spans = exchange(tied.mapInArrow(_leaves(lowest, groups, window, gram), SENT), groups.buckets, None, _later(window), _spans(window), "doc_id long, key long, span_starts array<int>, span_ends array<int>")
     spans = stage(spans.dropDuplicates(["doc_id", "key"]), "repeats")  # repeated rows lose the same words
     n = spans.count()
     cut = matched(_among(docs, spans, n, "left_semi"), spans, "inner", "merge").select("doc_id", "key", "text", "span_starts", "span_ends")
