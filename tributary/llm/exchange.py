@@ -14,12 +14,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tributary.llm.names import give_back
 
 SENT = "bucket long, chunk long, records binary, kept binary"
 _ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("records", pa.binary()), ("kept", pa.binary())])
 NAME = np.dtype("<u8")
+#: Bins in which sampled grams are counted.
+BINS = 1 << 16
 
 
 def numbered() -> Iterator[int]:
@@ -108,3 +111,43 @@ def bits_of(back: dict[int, bytes], bucket: np.ndarray) -> np.ndarray:
         lo, hi = np.searchsorted(bucket, [b, b + 1])
         flag[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo)
     return flag
+
+
+def least_bytes(values: np.ndarray) -> np.ndarray:
+    """As bytes if they fit."""
+    return values.astype(np.uint8 if not len(values) or values.max() < 256 else np.uint32)
+
+
+class Groups:
+    """Which group a window's suffix is in, from how many samples each bin of grams has.
+
+    Bins in order fill groups of about one size. A bin larger than a group is parted by its grams,
+    or, if it is so large that one gram must be behind it, by what the windows hold around the gram.
+    """
+
+    def __init__(self, counts: np.ndarray, buckets: int):
+        target = max(1.0, counts.sum() / buckets)
+        self.hot = counts > max(target, 4 * counts.mean())
+        self.parts = np.maximum(np.ceil(counts / target), 1).astype(np.uint64)
+        self.first = (np.concatenate([[0], np.cumsum(counts)])[:-1] / target).astype(np.int64)
+        self.buckets = int((self.first + self.parts.astype(np.int64)).max()) + 1
+
+    def of(self, gram: np.ndarray, around: np.ndarray) -> np.ndarray:
+        b = (gram % np.uint64(BINS)).astype(np.int64)
+        return self.first[b] + (np.where(self.hot[b], around, gram >> np.uint64(16)) % self.parts[b]).astype(np.int64)
+
+
+def _bins_used(batches):
+    total = np.zeros(BINS, np.int64)
+    for batch in batches:
+        total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=BINS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"bin": used, "n": total[used]})
+
+
+def bin_counts(flags: DataFrame) -> np.ndarray:
+    """How many shared samples each bin has, from packed column `bins`: at most BINS rows come back."""
+    counts = np.zeros(BINS, np.int64)
+    for r in flags.select("bins").mapInArrow(_bins_used, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["bin"]] = r["n"]
+    return counts

@@ -21,12 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.exchange import NAME, SENT, bits_back, bits_of, by_name, distinct, exchange, kept_row, numbered, rows, run_starts, sent_rows
+from tributary.llm.exchange import BINS, NAME, SENT, Groups, bin_counts, bits_back, bits_of, by_name, distinct, exchange, kept_row, least_bytes, numbered, rows, run_starts, sent_rows
 from tributary.llm.names import Named, chunks, packed, slid, synchronised, words_of
 from tributary.llm.shared import BROADCAST_ROWS, documents, matched, spread, stage, text_key
 
 GRAM = 4
-BINS = 4096
 
 
 class _Words:
@@ -46,11 +45,6 @@ class _Words:
         return at, names[at]
 
 
-def _least(values: np.ndarray) -> np.ndarray:
-    """As bytes if they fit."""
-    return values.astype(np.uint8 if not len(values) or values.max() < 256 else np.uint32)
-
-
 def _samples(buckets: int, window: int, gram: int):
     """Sends a sample's name once if several documents of the chunk hold it (which settles it
     there), else at each place; a bucket's names stand in the order of places."""
@@ -74,7 +68,7 @@ def _samples(buckets: int, window: int, gram: int):
             sent = np.flatnonzero(sends)
             sent = sent[np.argsort(bucket[sent], kind="stable")]
             bins = (name % np.uint64(BINS)).astype(np.uint16)
-            kept = kept_row(buckets, chunk, (_ids(batch), words.first, np.packbits(several), np.packbits(sends), _least(bucket), _least(np.diff(at, prepend=0)), bins))
+            kept = kept_row(buckets, chunk, (_ids(batch), words.first, np.packbits(several), np.packbits(sends), least_bytes(bucket), least_bytes(np.diff(at, prepend=0)), bins))
             yield rows([*sent_rows(chunk, name[sent], bucket[sent]), kept])
 
     return map_chunks
@@ -110,33 +104,10 @@ def _tied(kept, back) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["doc_id", "key", "near", "bins"]).astype({"doc_id": "Int64"})
 
 
-class _Groups:
-    """Which group a window's suffix is in: ranges of bins of grams by counted sizes; a bin that is
-    larger than a group is split by the window's whole name."""
-
-    def __init__(self, counts: np.ndarray, buckets: int):
-        target = max(1.0, counts.sum() / buckets)
-        self.parts = np.maximum(np.ceil(counts / target), 1).astype(np.uint64)
-        self.first = (np.concatenate([[0], np.cumsum(counts)])[:-1] / target).astype(np.int64)
-        self.buckets = int((self.first + self.parts.astype(np.int64)).max()) + 1
-
-    def of(self, gram: np.ndarray, label: np.ndarray) -> np.ndarray:
-        b = (gram % np.uint64(BINS)).astype(np.int64)
-        return self.first[b] + (label % self.parts[b]).astype(np.int64)
-
-
 def _near(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(v.as_py(), "<u4").astype(np.int64) for v in batch.column("near")]
 
 
-def _prefix_counts(batches):
-    total = np.zeros(BINS, np.int64)
-    for batch in batches:
-        total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=BINS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"bin": used, "n": total[used]})
-
-
 class _Text:
     """A chunk's words joined by one blank."""
 
@@ -156,7 +127,7 @@ class _Text:
         return x.tobytes(), ends
 
 
-def _leaves(lowest: int, groups: _Groups, window: int, gram: int):
+def _leaves(lowest: int, groups: Groups, window: int, gram: int):
     """Sends the suffixes of a chunk's least document at each label; those of later ones are repeats
     already. Suffixes that follow one another and are in one group are one line of words. A group's
     suffixes stand in the order of places; a line that holds k of them has window + k - 1 words."""
@@ -191,7 +162,7 @@ def _leaves(lowest: int, groups: _Groups, window: int, gram: int):
             for lo, hi in zip(turn[:-1], turn[1:]):
                 held = int(hi - lo).to_bytes(4, "little") + packed(doc[lo:hi], "<u8") + text[stops[lo - 1] if lo else 0 : stops[hi - 1]]
                 out.append((int(g[line[lo]]), chunk, held, None))
-            kept = kept_row(groups.buckets, chunk, (ids, words.first, _least(np.diff(at, prepend=0)), np.packbits(later), _least(bucket)))
+            kept = kept_row(groups.buckets, chunk, (ids, words.first, least_bytes(np.diff(at, prepend=0)), np.packbits(later), least_bytes(bucket)))
             yield rows([*out, kept])
 
     return map_chunks
@@ -304,10 +275,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = GRAM) -> Data
     bounds = flags.agg(F.count("*"), F.min("doc_id")).first()
     tied = matched(_among(docs, flags, bounds[0], "left_semi"), flags.select("doc_id", "key", "near"), "inner", "merge").select("doc_id", "key", "text", "near")
     lowest = bounds[1] or 0
-    counts = np.zeros(BINS, np.int64)
-    for r in flags.select("bins").mapInArrow(_prefix_counts, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most BINS rows
-        counts[r["bin"]] = r["n"]
-    groups = _Groups(counts, buckets)
+    groups = Groups(bin_counts(flags), buckets)
     spans = exchange(tied.mapInArrow(_leaves(lowest, groups, window, gram), SENT), groups.buckets, None, _later(window), _spans(window), "doc_id long, key long, span_starts array<int>, span_ends array<int>")
     spans = stage(spans.dropDuplicates(["doc_id", "key"]), "repeats")  # repeated rows lose the same words
     n = spans.count()

@@ -1,20 +1,20 @@
 """Suffix-array dedup (operator 1): removal of bytes that lie in a repeated long string.
 
-Blockwise construction with a difference cover, for suffixes compared to a fixed depth:
-
-1. Cover sample. Synchronised positions (least name of the 64 bytes at each, among the starts
-   that fit a window of `length` bytes) play the difference cover: equal windows hold equal
-   sample suffixes at equal offsets. A cover modulo v does the same with 9 % of all positions
-   at v = 133; this one takes 1.5 %, which is what keeps its ranks cheap to exchange.
-2. Sample ranks. Sample suffixes are sorted one bucket at a time by their first 64 bytes, their
-   first `length` bytes and what stands before them, and ranked by it: ties in all three settle
-   every suffix that starts within a window's reach of the sample, however long the tie is.
-3. Suffixes. Only where sample suffixes are tied in the first 64 bytes and part later do the
-   suffixes within reach have to be sorted themselves, to the full depth, again one bucket at a
-   time; of samples that are alike in all three one stands for all.
-
-A suffix without a tied sample in its window has no equal and is never sorted. A task holds one
-chunk (2 MB of text, or one longer document) or one bucket of records.
+Blockwise construction, one bucket of suffixes at a time, for suffixes compared to a fixed depth:
+
+1. Cover sample. Synchronised positions (least name of the `gram` bytes at each, among the starts
+   that fit a window of `length` bytes) are a difference cover whose places follow the text: equal
+   windows hold equal samples at equal offsets, the least gram of a window always among them.
+   Samples are ranked by name; where no other place has the least gram, the suffix has no equal.
+2. Buckets. Every other window is placed by its least gram. Counts of tied samples cut the grams into
+   buckets of about one size; a gram that is too frequent for a bucket is parted by what stands
+   around it. Suffixes that follow one another in a bucket are sent as one line of bytes.
+3. Suffix array. A bucket's suffixes are sorted by their bytes, eight at a time; a tie is sorted on
+   only while its suffixes have different ranks, which the names of whole windows are, so long ties
+   cost nothing. Neighbours in that order that agree in `length` bytes, compared as bytes, are repeats.
+
+A chunk sends each string once, however often it has it. A task holds one chunk (1 MB of text, or
+one longer document) or one bucket.
 """
 
 from __future__ import annotations
@@ -24,92 +24,49 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.exchange import NAME, SENT, bits_back, bits_of, by_name, distinct, exchange, kept_row, numbered, rows, run_lengths, run_starts, sent_rows
-from tributary.llm.names import Named, chunks, mix, packed, synchronised
+from tributary.llm.exchange import BINS, NAME, SENT, Groups, bin_counts, bits_back, bits_of, by_name, distinct, exchange, kept_row, least_bytes, numbered, rows, run_lengths, run_starts, sent_rows
+from tributary.llm.names import Named, chunks, packed, slid, synchronised
 from tributary.llm.shared import BROADCAST_ROWS, documents, matched, spread, stage, text_key
 
 GRAM = 64
-_FLAGS = "doc_id long, key long, runs binary, near binary"
-#: A sample suffix: names of its first bytes and of all within reach, and the sender's number for
-#: it, with the highest bit set if the chunk holds several such.
-_SAMPLE = np.dtype([("name", "<u8"), ("context", "<u8"), ("id", "<u4")])
-_SEVERAL, _SETTLED, _SORT = 1 << 31, 1 << 29, 1 << 30
+#: Suffixes around a frequent gram that are parted together.
+BLOCK = 16
 
 
-def _samples(buckets: int, length: int, gram: int):
-    reach = length - gram
+def _ids(batch) -> tuple[list, np.ndarray]:
+    return batch.column("doc_id").to_pylist(), batch.column("key").to_numpy()
+
 
+def _samples(buckets: int, length: int, gram: int):
     def map_chunks(batches):
         number = numbered()
         for batch, x, ends in chunks(batches):
-            chunk, starts = next(number), np.concatenate([[0], ends[:-1]])
-            named = Named(x)
-            every = named.every(gram)
-            at = synchronised((every >> np.uint64(32)).astype(np.uint32), reach + 1)
+            every = Named(x).every(gram)
+            at = synchronised((every >> np.uint64(32)).astype(np.uint32), length - gram + 1)
             doc = np.searchsorted(ends, at, "right")
-            inside = at + gram <= ends[doc] if len(at) else np.zeros(0, bool)
-            at, doc = at[inside], doc[inside]
-            found = np.zeros(len(at), _SAMPLE)
-            found["name"] = every[at]
-            lo = np.maximum(at - reach, starts[doc])
-            found["context"] = mix(named.of(lo, np.minimum(at + length, ends[doc])) + (at - lo).astype(np.uint64))
-            order = np.lexsort((found["context"], found["name"]))
-            found = found[order]
-            first = run_starts(found["name"], found["context"])
-            count = run_lengths(first, len(found))
-            same = np.empty(len(at), np.uint32)
-            same[order] = np.repeat(np.arange(len(first), dtype=np.uint32), count)
-            found = found[first]
-            found["id"] = np.arange(len(first)) | np.where(count > 1, _SEVERAL, 0)
-            ids = batch.column("doc_id").to_pylist(), batch.column("key").to_numpy()
-            kept = kept_row(buckets, chunk, (ids, ends, at.astype(np.uint32), same))
-            yield rows([*sent_rows(chunk, found, by_name(found["name"], buckets)), kept])
+            at = at[at + gram <= ends[doc]] if len(at) else at
+            names, which, count = distinct(every[at])
+            chunk, bucket = next(number), by_name(names, buckets)
+            kept = kept_row(buckets, chunk, (_ids(batch), ends, at.astype(np.uint32), which.astype(np.uint32), np.packbits(count > 1), least_bytes(bucket), (names % np.uint64(BINS)).astype(np.uint16)))
+            yield rows([*sent_rows(chunk, names, bucket), kept])
 
     return map_chunks
 
 
-def _rank_samples(found: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
-    """Of sample suffixes that are tied: are they settled, and must their suffixes be sorted?"""
-    part = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    order = np.lexsort((part, found["context"], found["name"]))
-    f = found[order]
-    first = run_starts(f["name"], f["context"])
-    count = run_lengths(first, len(f))
-    node = run_starts(f["name"][first])
-    branches = np.repeat(np.repeat(run_lengths(node, len(first)), run_lengths(node, len(first))), count) > 1
-    settled = np.repeat(count > 1, count) | (f["id"] >= _SEVERAL)
-    lead = np.zeros(len(f), bool)
-    lead[first] = True
-    value = np.zeros(len(f), "<u4")
-    value[order] = settled * np.uint32(_SETTLED) | (branches & lead) * np.uint32(_SORT)
-    tell, value = np.flatnonzero(value), value | found["id"] & np.uint32(_SETTLED - 1)
-    at = np.searchsorted(tell, cuts)
-    return [value[tell[a:b]].tobytes() if b > a else None for a, b in zip(at[:-1], at[1:])]
-
-
-def _flags(length: int, gram: int):
-    reach = length - gram
+def _ties(names: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
+    _, which, count = distinct(names)
+    return bits_back(count[which] > 1, cuts)
 
-    def finish(kept, back) -> pd.DataFrame:
-        (ids, keys), ends, at, same = kept
-        at, starts = at.astype(np.int64), np.concatenate([[0], ends[:-1]])
-        doc = np.searchsorted(ends, at, "right")
-        told = np.frombuffer(b"".join(back.values()), "<u4")
-        state = np.zeros(len(at) + 1, np.uint8)
-        state[told & np.uint32(_SETTLED - 1)] = told // _SETTLED
-        state = state[same]
-        lo, hi = np.maximum(at - reach, starts[doc]) - starts[doc], np.minimum(at + length, ends[doc]) - starts[doc]
-        whole = hi - lo >= length
-        found = []
-        hit = np.flatnonzero((state > 0) & whole)
-        cut = run_starts(doc[hit]) if len(hit) else []
-        for a, b in zip(cut, [*cut[1:], len(hit)]):
-            d, own = doc[hit[a]], hit[a:b]
-            span = np.stack([lo[own], hi[own]], 1)
-            found.append((ids[d], keys[d], packed(span[state[own] & 1 > 0], "<u4"), packed(span[state[own] & 2 > 0], "<u4")))
-        return pd.DataFrame(found, columns=["doc_id", "key", "runs", "near"]).astype({"doc_id": "Int64"})
 
-    return finish
+def _tied(kept, back) -> pd.DataFrame:
+    """Places of the tied samples, by document."""
+    (ids, keys), ends, at, which, several, bucket, bins = kept
+    tied = np.unpackbits(several, count=len(bucket)).astype(bool) | bits_of(back, bucket)
+    at, bins = at[tied[which]].astype(np.int64), bins[which][tied[which]]
+    doc, starts = np.searchsorted(ends, at, "right"), np.concatenate([[0], ends[:-1]])
+    cut = run_starts(doc) if len(doc) else []
+    found = [(ids[doc[a]], keys[doc[a]], packed(at[a:b] - starts[doc[a]], "<u4"), packed(bins[a:b], "<u2")) for a, b in zip(cut, [*cut[1:], len(doc)])]
+    return pd.DataFrame(found, columns=["doc_id", "key", "near", "bins"]).astype({"doc_id": "Int64"})
 
 
 def _covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -117,47 +74,122 @@ def _covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _suffixes(buckets: int, length: int):
-    def spans(column, starts):
-        found = [np.frombuffer(v.as_py(), "<u4").astype(np.int64).reshape(-1, 2) + s for v, s in zip(column, starts)]
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+def _runs(mask: np.ndarray) -> np.ndarray:
+    """Where runs of true begin and end."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).reshape(-1, 2)
 
-    def map_chunks(batches):
-        number = numbered()
-        for batch, x, ends in chunks(batches):
-            chunk, starts, n = next(number), np.concatenate([[0], ends[:-1]]), len(x)
-            runs, near = spans(batch.column("runs"), starts), spans(batch.column("near"), starts)
-            names = distinct(_window_names(x, near, length)[1])[0]
-            ids = batch.column("doc_id").to_pylist(), batch.column("key").to_numpy()
-            kept = kept_row(buckets, chunk, (ids, x.tobytes(), ends, runs.astype(np.uint32), near.astype(np.uint32)))
-            yield rows([*sent_rows(chunk, names, by_name(names, buckets)), kept])
 
-    return map_chunks
+def _placed(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for `size` steps, of all runs one after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
 
 
-def _window_names(x: np.ndarray, near: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and names of all windows inside the ranges `near`."""
-    at = np.flatnonzero(_covered(len(x), near[:, 0], near[:, 1] - length + 1))
-    return at, Named(x).of(at, at + length)
+def _suffixes(groups: Groups, length: int, gram: int):
+    reach, block = length - gram, min(BLOCK, length)
 
+    def map_chunks(batches):
+        number = numbered()
+        for batch, x, ends in chunks(batches):
+            chunk, starts = next(number), np.concatenate([[0], ends[:-1]])
+            near = [np.frombuffer(v.as_py(), "<u4").astype(np.int64) + s for v, s in zip(batch.column("near"), starts)]
+            named = Named(x)
+            every = named.every(gram)
+            tied = np.zeros(len(every), bool)
+            tied[np.concatenate(near) if near else np.zeros(0, np.int64)] = True
+            order = (every >> np.uint64(32)) << np.uint64(31) | np.arange(len(every), dtype=np.uint64)
+            lead = (slid(order, reach + 1, np.minimum) & np.uint64((1 << 31) - 1)).astype(np.int64) if len(every) > reach else np.zeros(0, np.int64)
+            inside = _covered(len(lead), *np.minimum([starts, np.maximum(ends - length + 1, starts)], len(lead)))
+            at = np.flatnonzero(tied[lead] & inside)
+            _, first, which, count = np.unique(named.of(at, at + length), return_index=True, return_inverse=True, return_counts=True)
+            sent = np.sort(first)
+            a, p = at[sent], lead[at[sent]]
+            low = p - (p - a) // block * block - block + 1  # suffixes a of one block share what follows low + block - 1
+            bucket = groups.of(every[p], named.of(low + block - 1, low + length))
+            turn = np.argsort(bucket, kind="stable")
+            a, bucket = a[turn], bucket[turn]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1] + 1) | (bucket[1:] != bucket[:-1])
+            line = np.flatnonzero(new)
+            size = run_lengths(line, len(a))
+            own, b = a[line], bucket[line]
+            text = x[_placed(own, size + length - 1)].tobytes()
+            stops, out = np.concatenate([[0], np.cumsum(size + length - 1)]), []
+            cut = [*run_starts(b), len(b)] if len(b) else [0]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                out.append((int(b[lo]), chunk, int(hi - lo).to_bytes(4, "little") + packed(size[lo:hi], "<u4") + text[stops[lo] : stops[hi]], None))
+            known = np.zeros(len(x) + 1, bool)
+            known[at[count[which] > 1]] = True
+            kept = kept_row(groups.buckets, chunk, (_ids(batch), x.tobytes(), ends, own.astype(np.uint32), size.astype(np.uint32), least_bytes(b), _runs(known).astype(np.uint32)))
+            yield rows([*out, kept])
 
-def _equal_suffixes(names: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
-    _, which, count = distinct(names)
-    return bits_back(count[which] > 1, cuts)
+    return map_chunks
 
 
-def _removals(buckets: int, length: int):
+class SuffixArray:
+    """Some suffixes of a text, each `depth` bytes long at least, in the order of those bytes."""
+
+    def __init__(self, x: np.ndarray, at: np.ndarray, depth: int):
+        w = np.concatenate([x, np.zeros(7, np.uint8)]).astype(np.uint64)
+        for k in (1, 2, 4):  # eight bytes from every place on, as one number
+            w = w[:-k] << np.uint64(8 * k) | w[k:]
+        self.words, self.at = w, at
+        self.steps = [*range(0, depth - 8, 8), depth - 8]
+        rank = Named(x).of(at, at + depth)
+        self.order = np.argsort(w[at], kind="stable")
+        key = w[at[self.order]]
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        for step in self.steps[1:]:
+            first = np.flatnonzero(new)
+            if not len(first):
+                break
+            own = rank[self.order]
+            mixed = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), run_lengths(first, len(at)))
+            todo = np.flatnonzero(mixed)  # ties of suffixes that are not all alike
+            if not len(todo):
+                break
+            group, key = np.cumsum(new)[todo], w[at[self.order[todo]] + step]
+            turn = np.lexsort((key, group))
+            self.order[todo], group, key = self.order[todo][turn], group[turn], key[turn]
+            new[todo[1:]] |= (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        self.new = new
+
+    def repeated(self) -> np.ndarray:
+        """Which suffixes agree with a neighbour in the order in all bytes, in the order of `at`."""
+        tie = np.flatnonzero(~self.new)
+        a, b = self.at[self.order[tie - 1]], self.at[self.order[tie]]
+        same = np.ones(len(tie), bool)
+        for step in self.steps:
+            same &= self.words[a + step] == self.words[b + step]
+        out = np.zeros(len(self.at), bool)
+        out[self.order[tie[same] - 1]] = out[self.order[tie[same]]] = True
+        return out
+
+
+def _equal_suffixes(length: int):
+    def answer(parts: list[bytes]) -> list[bytes | None]:
+        n = [int.from_bytes(x[:4], "little") for x in parts]
+        size = [np.frombuffer(x, "<u4", k, 4).astype(np.int64) for x, k in zip(parts, n)]
+        x = np.frombuffer(b"".join(x[4 + 4 * k :] for x, k in zip(parts, n)), np.uint8)
+        each = np.concatenate(size)
+        stops = np.cumsum(each + length - 1)
+        found = SuffixArray(x, _placed(stops - each - length + 1, each), length).repeated()
+        return bits_back(found, np.cumsum([0, *(s.sum() for s in size)]))
+
+    return answer
+
+
+def _removals(length: int):
     def finish(kept, back) -> pd.DataFrame:
-        (ids, keys), text, ends, runs, near = kept
-        x, runs, found, start = np.frombuffer(text, np.uint8), runs.astype(np.int64), [], 0
-        at, names = _window_names(x, near.astype(np.int64), length)
-        names, which, count = distinct(names)
-        at = at[(bits_of(back, by_name(names, buckets)) | (count > 1))[which]]
-        gone = _covered(len(x), np.concatenate([runs[:, 0], at]), np.concatenate([runs[:, 1], at + length]))
+        (ids, keys), text, ends, own, size, bucket, known = kept
+        x, own, size, known, found, start = np.frombuffer(text, np.uint8), own.astype(np.int64), size.astype(np.int64), known.astype(np.int64), [], 0
+        at = _placed(own, size)[bits_of(back, np.repeat(bucket, size))]
+        gone = _covered(len(x), np.concatenate([known[:, 0], at]), np.concatenate([known[:, 1] + length - 1, at + length]))
         for k, end in enumerate(ends):
             g = gone[start:end]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-            found.append((ids[k], keys[k], edge[::2].tolist(), edge[1::2].tolist(), x[start:end][~g].tobytes()))
+            edge = _runs(g)
+            found.append((ids[k], keys[k], edge[:, 0].tolist(), edge[:, 1].tolist(), x[start:end][~g].tobytes()))
             start = end
         return pd.DataFrame(found, columns=["doc_id", "key", "starts", "ends", "kept"]).astype({"doc_id": "Int64"})
 
@@ -173,22 +205,23 @@ def suffix_array_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM) ->
     the input. Null text counts as empty; texts under `length` bytes keep everything; rows that
     repeat, doc_id and text alike, are copies of each other and lose what they share; a null
     doc_id is a value like others; other columns are ignored, whatever their names; an empty
-    table gives an empty result. `gram` is at most `length`.
+    table gives an empty result. `gram` is at most `length`, and that at least eight.
     """
+    if not 0 < gram <= length or length < 8:
+        raise ValueError("gram must be between 1 and length, and length 8 at least")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     buckets = spread(docs.sparkSession, docs)
     sent = docs.mapInArrow(_samples(buckets, length, gram), SENT)
-    flags = exchange(sent, buckets, _SAMPLE, _rank_samples, _flags(length, gram), _FLAGS)
-    # Repeated rows differ in what they were told (one of several leads): each has all that any has.
-    every = lambda c: F.aggregate(F.collect_set(c), F.lit(b""), lambda a, x: F.concat(a, x)).alias(c)
-    flags = stage(flags.groupBy("doc_id", "key").agg(every("runs"), every("near")), "ties")
+    flags = exchange(sent, buckets, NAME, _ties, _tied, "doc_id long, key long, near binary, bins binary")
+    flags = stage(flags.dropDuplicates(["doc_id", "key"]), "ties")  # repeated rows have the same ties
     flagged = flags.select("doc_id", "key")
     if flagged.count() <= BROADCAST_ROWS:
         flagged = F.broadcast(flagged)  # two longs a row; a larger set is joined by shuffle
+    groups = Groups(bin_counts(flags), 2 * buckets)
     tied = matched(docs, flagged, "left_semi")
     free = matched(docs, flagged, "left_anti")
-    tied = matched(tied, flags, "inner", "merge").select("doc_id", "key", "text", "runs", "near")
-    cut = exchange(tied.mapInArrow(_suffixes(buckets, length), SENT), buckets, NAME, _equal_suffixes, _removals(buckets, length), "doc_id long, key long, starts array<int>, ends array<int>, kept binary")
+    tied = matched(tied, flags, "inner", "merge").select("doc_id", "key", "text", "near")
+    cut = exchange(tied.mapInArrow(_suffixes(groups, length, gram), SENT), groups.buckets, None, _equal_suffixes(length), _removals(length), "doc_id long, key long, starts array<int>, ends array<int>, kept binary")
     none = F.array().cast("array<int>")
     whole = free.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("span_starts"), none.alias("span_ends"), F.col("text").cast("binary").alias("kept"))
     lost = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
