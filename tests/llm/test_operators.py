@@ -18,7 +18,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tributary.llm import chat, components, fingerprints, licenses, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, toxicity
+from tributary.llm import chat, components, exchange, fingerprints, licenses, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -82,6 +82,51 @@ def test_suffix_dedup(docs, rows, length):
     assert _sorted((r["doc_id"], r["n_bytes"], sum(b - a for a, b in zip(r["span_starts"], r["span_ends"])), bytes(r["kept"])) for r in got) == want
 
 
+@pytest.mark.parametrize("depth", [8, 13, 24, 200])
+def test_suffixes_are_in_the_order_of_their_bytes(depth):
+    rng = np.random.default_rng(depth)
+    copy = rng.integers(0, 2, 260)
+    x = np.concatenate([rng.integers(0, 2, 600), copy, rng.integers(0, 256, 50), copy, copy]).astype(np.uint8)
+    at = np.sort(rng.choice(len(x) - depth + 1, 500, replace=False))
+    array = suffix_dedup.SuffixArray(x, at, depth)
+    text = [x[a : a + depth].tobytes() for a in at]
+    assert [text[o] for o in array.order] == sorted(text)
+    count = Counter(text)
+    assert array.repeated().tolist() == [count[t] > 1 for t in text] and array.repeated().any()
+
+
+def test_suffix_array_of_nothing():
+    assert len(suffix_dedup.SuffixArray(np.zeros(0, np.uint8), np.zeros(0, np.int64), 200).repeated()) == 0
+    assert len(substring_dedup.Subtree([], np.zeros(0, np.uint64), 13).later()) == 0
+
+
+@pytest.mark.parametrize("depth", [4, 5])
+def test_subtree_of_words(depth):
+    rng = random.Random(depth)
+    lines = [[rng.choice(["a", "b", "bb", "é"]) for _ in range(rng.randint(depth, 12))] for _ in range(60)]
+    docs = np.array([rng.randrange(9) for _ in lines], np.uint64)
+    tree = substring_dedup.Subtree([" ".join(w).encode() for w in lines], docs, depth)
+    suffixes = [(tuple(x.encode() for x in w[i : i + depth]), int(d)) for w, d in zip(lines, docs) for i in range(len(w) - depth + 1)]
+    ordered = [suffixes[o] for o in tree.order]
+    assert ordered == sorted(suffixes)
+    shared = lambda p, q: next((k for k, (x, y) in enumerate(zip(p, q)) if x != y), depth)
+    assert tree.lcp.tolist() == [0] + [shared(p, q) for (p, _), (q, _) in zip(ordered, ordered[1:])]
+    assert [p for p, _ in ordered] == [sorted({p for p, _ in suffixes})[n] for n in tree.node]
+    assert tree.later().tolist() == [d > min(e for q, e in suffixes if q == p) for p, d in suffixes]
+
+
+def test_groups_part_what_is_too_large():
+    counts = np.zeros(exchange.BINS, np.int64)
+    counts[7], counts[9:400] = 5000, 10
+    groups = exchange.Groups(counts, 20)
+    rng = np.random.default_rng(1)
+    around = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    hot = groups.of(np.full(5000, 7, np.uint64), around)
+    assert np.bincount(hot).max() < 1000 and hot.max() < groups.buckets
+    calm = groups.of(np.full(5000, exchange.BINS + 9, np.uint64), around)
+    assert len(set(calm.tolist())) == 1  # what stands around a rare gram tells nothing
+
+
 def test_substring_dedup(docs, rows):
     words = [WORD.findall(r[1] or "") for r in rows]
     least: dict[tuple, int] = {}
