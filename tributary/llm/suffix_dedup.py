@@ -9,9 +9,9 @@ Blockwise construction, one bucket of suffixes at a time, for suffixes compared
 2. Buckets. Every other window is placed by its least gram. Counts of tied samples cut the grams into
    buckets of about one size; a gram that is too frequent for a bucket is parted by what stands
    around it. Suffixes that follow one another in a bucket are sent as one line of bytes.
-3. Suffix array. A bucket's suffixes are sorted by their bytes, eight at a time; a tie is sorted on
-   only while its suffixes have different ranks, which the names of whole windows are, so long ties
-   cost nothing. Neighbours in that order that agree in `length` bytes, compared as bytes, are repeats.
+3. Suffix array. A bucket's suffixes are sorted by their bytes, eight at a time. Those tied in all
+   `length` bytes have one rank, the name of the whole string, and are sorted once, so that long ties
+   cost nothing. Neighbours in that order that agree, compared as bytes, are repeats.
 
 A chunk sends each string once, however often it has it. A task holds one chunk (1 MB of text, or
 one longer document) or one bucket.
@@ -135,25 +135,27 @@ class SuffixArray:
             w = w[:-k] << np.uint64(8 * k) | w[k:]
         self.words, self.at = w, at
         self.steps = [*range(0, depth - 8, 8), depth - 8]
-        rank = Named(x).of(at, at + depth)
-        self.order = np.argsort(w[at], kind="stable")
-        key = w[at[self.order]]
+        _, own, rank = np.unique(Named(x).of(at, at + depth), return_index=True, return_inverse=True)
+        at = at[own]  # one for each rank; the others stand beside it
+        order = np.argsort(w[at], kind="stable")
+        key = w[at[order]]
         new = np.ones(len(at), bool)
         new[1:] = key[1:] != key[:-1]
         for step in self.steps[1:]:
             first = np.flatnonzero(new)
-            if not len(first):
-                break
-            own = rank[self.order]
-            mixed = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), run_lengths(first, len(at)))
-            todo = np.flatnonzero(mixed)  # ties of suffixes that are not all alike
+            size = run_lengths(first, len(at))
+            todo = np.flatnonzero(np.repeat(size > 1, size))
             if not len(todo):
                 break
-            group, key = np.cumsum(new)[todo], w[at[self.order[todo]] + step]
+            group, key = np.repeat(np.arange(len(first)), size)[todo], w[at[order[todo]] + step]
             turn = np.lexsort((key, group))
-            self.order[todo], group, key = self.order[todo][turn], group[turn], key[turn]
-            new[todo[1:]] |= (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-        self.new = new
+            order[todo], key = order[todo][turn], key[turn]
+            new[todo[1:]] |= key[1:] != key[:-1]  # at the start of a group it is true already
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        self.order = np.argsort(place[rank], kind="stable")
+        self.new = np.ones(len(rank), bool)
+        self.new[1:] = np.diff(rank[self.order]) != 0
 
     def repeated(self) -> np.ndarray:
         """Which suffixes agree with a neighbour in the order in all bytes, in the order of `at`."""
