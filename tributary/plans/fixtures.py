@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,11 @@ STAGED = ("fx_flows", "fx_truth", "fx_city_attr", "fx_sector", "fx_migrant", "fx
 _staged: dict[tuple[str, str, str], str] = {}
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="tributary-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or on one machine a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -66,7 +72,7 @@ def shared_folder(spark: SparkSession) -> str:
         return where.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _staged.setdefault((spark.sparkContext.applicationId, "", ""), tempfile.mkdtemp(prefix="tributary-"))
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 class Fixtures:
