@@ -30,4 +30,4 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_learning_queries_give_rows(spark, name):
-    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+    assert catalog.QUERIES[name](spark, DIR).count() > 0
