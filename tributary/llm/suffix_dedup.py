@@ -101,8 +101,8 @@ def _suffixes(groups: Groups, length: int, gram: int):
             lead = (slid(order, reach + 1, np.minimum) & np.uint64((1 << 31) - 1)).astype(np.int64) if len(every) > reach else np.zeros(0, np.int64)
             inside = _covered(len(lead), *np.minimum([starts, np.maximum(ends - length + 1, starts)], len(lead)))
             at = np.flatnonzero(tied[lead] & inside)
-            _, first, which, count = np.unique(named.of(at, at + length), return_index=True, return_inverse=True, return_counts=True)
-            sent = np.sort(first)
+            same = Alike(named.of(at, at + length))
+            sent = np.sort(same.order[same.first])
             a, p = at[sent], lead[at[sent]]
             low = p - (p - a) // block * block - block + 1  # suffixes a of one block share what follows low + block - 1
             bucket = groups.of(every[p], named.of(low + block - 1, low + length))
@@ -119,13 +119,22 @@ def _suffixes(groups: Groups, length: int, gram: int):
             for lo, hi in zip(cut[:-1], cut[1:]):
                 out.append((int(b[lo]), chunk, int(hi - lo).to_bytes(4, "little") + packed(size[lo:hi], "<u4") + text[stops[lo] : stops[hi]], None))
             known = np.zeros(len(x) + 1, bool)
-            known[at[count[which] > 1]] = True
+            known[at[same.order[np.repeat(same.count > 1, same.count)]]] = True
             kept = kept_row(groups.buckets, chunk, (_ids(batch), x.tobytes(), ends, own.astype(np.uint32), size.astype(np.uint32), least_bytes(b), _runs(known).astype(np.uint32)))
             yield rows([*out, kept])
 
     return map_chunks
 
 
+class Alike:
+    """Equal names one after another: the order, where each name begins in it, how often it occurs."""
+
+    def __init__(self, names: np.ndarray):
+        self.order = np.argsort(names, kind="stable")
+        self.first = run_starts(names[self.order])
+        self.count = run_lengths(self.first, len(names))
+
+
 class SuffixArray:
     """Some suffixes of a text, each `depth` bytes long at least, in the order of those bytes."""
 
@@ -135,27 +144,26 @@ class SuffixArray:
             w = w[:-k] << np.uint64(8 * k) | w[k:]
         self.words, self.at = w, at
         self.steps = [*range(0, depth - 8, 8), depth - 8]
-        _, own, rank = np.unique(Named(x).of(at, at + depth), return_index=True, return_inverse=True)
-        at = at[own]  # one for each rank; the others stand beside it
-        order = np.argsort(w[at], kind="stable")
-        key = w[at[order]]
-        new = np.ones(len(at), bool)
-        new[1:] = key[1:] != key[:-1]
+        same = Alike(Named(x).of(at, at + depth))
+        one = at[same.order[same.first]]  # one for each rank; the others stand beside it
+        order = np.argsort(w[one], kind="stable")
+        todo, key = np.arange(len(one)), w[one[order]]  # places in the order that are tied, by group
+        group = np.zeros(len(one), np.int64)
         for step in self.steps[1:]:
-            first = np.flatnonzero(new)
-            size = run_lengths(first, len(at))
-            todo = np.flatnonzero(np.repeat(size > 1, size))
-            if not len(todo):
+            new = np.ones(len(todo), bool)
+            new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+            tied = ~new
+            tied[:-1] |= ~new[1:]
+            if not tied.any():
                 break
-            group, key = np.repeat(np.arange(len(first)), size)[todo], w[at[order[todo]] + step]
+            todo, group = todo[tied], np.cumsum(new)[tied]
+            key = w[one[order[todo]] + step]
             turn = np.lexsort((key, group))
             order[todo], key = order[todo][turn], key[turn]
-            new[todo[1:]] |= key[1:] != key[:-1]  # at the start of a group it is true already
-        place = np.empty(len(at), np.int64)
-        place[order] = np.arange(len(at))
-        self.order = np.argsort(place[rank], kind="stable")
-        self.new = np.ones(len(rank), bool)
-        self.new[1:] = np.diff(rank[self.order]) != 0
+        size = same.count[order]
+        self.order = same.order[_placed(same.first[order], size)]
+        self.new = np.zeros(len(at), bool)
+        self.new[np.cumsum(size) - size] = True
 
     def repeated(self) -> np.ndarray:
         """Which suffixes agree with a neighbour in the order in all bytes, in the order of `at`."""
