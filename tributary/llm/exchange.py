@@ -83,7 +83,10 @@ def exchange(sent: DataFrame, buckets: int, record: np.dtype | None, answer: Cal
 
     def in_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         back = {b: x for b, x in zip(pdf["bucket"], pdf["back"]) if x is not None}
-        return finish(pickle.loads(next(x for x in pdf["kept"] if x is not None)), back)
+        out = finish(pickle.loads(next(x for x in pdf["kept"] if x is not None)), back)
+        del back
+        give_back()
+        return out
 
     back = sent.groupBy("bucket").applyInPandas(in_bucket, "chunk long, bucket long, back binary, kept binary")
     return back.groupBy("chunk").applyInPandas(in_chunk, schema)

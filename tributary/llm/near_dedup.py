@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm.components import connected_components
 from tributary.llm.exchange import NAME, SENT, bits_back, bits_of, by_name, distinct, exchange, kept_row, numbered, rows, run_lengths, run_starts, sent_rows
-from tributary.llm.names import Named, chunks, mix, words_of
+from tributary.llm.names import Named, chunks, give_back, mix, words_of
 from tributary.llm.shared import BROADCAST_ROWS, documents, spread, stage
 
 DEPTH, VALUES, MISS = 3, 128, 1e-6
@@ -214,6 +214,7 @@ def _candidates(agree: int):
             last = tuple(c[-1] for c in columns)
         if held and (out := links(held)) is not None:
             yield out
+        give_back()
 
     return map_chunks
 
@@ -237,6 +238,8 @@ def _confirmed(size: int, percent: int):
             return hit
 
         links = _linked(similar, len(ids))
+        del text, name, first, word, held
+        give_back()
         return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
     return confirm

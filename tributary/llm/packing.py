@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.llm.names import give_back
 from tributary.llm.shared import documents
 
 #: Ends each document in the packed stream (fixed by the contract).
@@ -189,6 +190,8 @@ def pack_powers_of_two(docs: DataFrame, tokenizer_path: str, max_length: int = 4
                 data = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(doc)).cast(pa.int64()), pa.array(start), pa.array(length), pa.array(n[doc]), pa.array(sequence + np.arange(len(doc))), data], schema=_SCHEMA)
                 sequence += len(doc)
+                del ids, data
+            give_back()
 
     cut = docs.select("doc_id", "text").mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, sequence_id long, ids binary")
     return cut.select("doc_id", "start", "length", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"), "ids")

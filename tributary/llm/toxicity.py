@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.llm.names import give_back
 from tributary.llm.shared import documents, stage, table
 
 #: Function words of English, French, German and Spanish that steer the grammar, and verbs of harm.
@@ -148,6 +149,8 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
                 found = _features(text.as_py() or "")
                 seen.update(found if wanted is None else {f: n for f, n in found.items() if f in wanted})
         yield pa.RecordBatch.from_pydict({"feature": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+        seen.clear()
+        give_back()
 
     return rows.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
@@ -232,6 +235,7 @@ def emit(docs: DataFrame, grammar: Grammar, *keep: str) -> DataFrame:
             found = [grammar.emitted(t.as_py() or "") for t in batch.column(1)]
             columns = [pa.array(c, pa.float64()) for c in zip(*[(*f, grammar.score(f)) for f in found])] or [pa.array([], pa.float64())] * len(measures)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, *range(2, batch.num_columns))), *columns], names=["doc_id", *keep, *measures])
+        give_back()
 
     docs = docs.select("doc_id", F.col("text").alias("read_text"), *keep)
     types = dict(docs.dtypes)
