@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm.chat import op3_chat_formatting
+from tributary.llm.fim import OP13_SQL, op13_fill_in_middle
 from tributary.llm.fingerprints import op2_document_fingerprints
 from tributary.llm.licenses import OP7_SQL, op7_license_scans
 from tributary.llm.mixing import OP4_SQL, op4_mixing_sources
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op7_license_scans": OP7_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
