@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tributary.llm.bytepair import op11_byte_bpe
 from tributary.llm.chat import op3_chat_formatting
 from tributary.llm.fim import OP13_SQL, op13_fill_in_middle
 from tributary.llm.fingerprints import op2_document_fingerprints
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_byte_bpe": op11_byte_bpe,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
