@@ -13,6 +13,7 @@ from tributary.llm.fingerprints import op2_document_fingerprints
 from tributary.llm.licenses import OP7_SQL, op7_license_scans
 from tributary.llm.mixing import OP4_SQL, op4_mixing_sources
 from tributary.llm.near_dedup import OP9_SQL, op9_minhash_near_dedup
+from tributary.llm.negatives import OP12_SQL, op12_hard_negatives
 from tributary.llm.packing import op5_packing
 from tributary.llm.quality import OP10_SQL, op10_quality_rules
 from tributary.llm.substring_dedup import OP6_SQL, op6_substring_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -41,5 +43,6 @@ ORACLES: dict[str, str] = {
     "op7_license_scans": OP7_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
