@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from tributary import catalog
+from tributary import catalog, catalog_learning  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
@@ -28,6 +28,6 @@ def test_query_matches_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_learning_queries_give_rows(spark, name):
-    assert catalog.QUERIES[name](spark, DIR).count() > 0
+
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)

@@ -151,16 +151,5 @@ def test_lines_and_reset(spark, tmp_path):
     assert [r["yr"] for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [2]
 
 
-def test_rounds_and_prefixes():
-    assert learn.best_round([5.0, 4.0, 3.0, 3.5, 3.2, 2.0], 2) == 3
-    assert learn.best_round([5.0, 4.0, 3.0, 3.5, 3.2, 2.0], 3) == 6
-    assert learn.best_round([1.0, 2.0, 3.0], 50) == 1 and learn.best_round([3.0], 5) == 1
+def test_prefixes():
     assert learn.prefix_length(2000) == 500 and learn.prefix_length(200) == 150 and learn.prefix_length(90) == 90
-
-
-def test_saved_models_score_alike(spark, tmp_path):
-    df = spark.createDataFrame([(k % 7 / 7, k % 3 / 3, float(k % 7 > 3), 1.0) for k in range(200)], "a double, b double, label double, weight double")
-    model, best = learn.fit_patient(df, df, ["a", "b"], 4, 2)
-    again = learn.load(learn.save(model, str(tmp_path / "m")))
-    scores = lambda m: [r[0] for r in learn.score_prefix(m, df, best).select("score").collect()]
-    assert 1 <= best <= 4 and scores(model) == scores(again)

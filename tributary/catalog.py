@@ -1095,14 +1095,6 @@ def scored_chunks(fx):
     return scored.groupBy("chunk").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
-@query("yr:i type_id:s pos:i to_city:i score:d", f"""select * from (
-  select *, row_number() over (partition by yr, type_id order by score desc, to_city) as pos from ({_SCORED}) s) r where pos <= 10""")
-def saved_model(fx):
-    """A fitted pipeline is written, read back and used."""
-    model = learn.load(learn.save(learn.fixed_model(), fresh(fx, "model")))
-    return rk.top_k(learn.transform(model, pipelines.with_features(fx.base, pairs(fx), WAGES, VACANCIES)), 10)
-
-
 @query("recall_5:d recall_10:d recall_20:d", f"""select avg(cast(h5 as double) / least(5, gt)) as recall_5, avg(cast(h10 as double) / least(10, gt)) as recall_10,
   avg(cast(h20 as double) / least(20, gt)) as recall_20 from (
   select t.yr, t.type_id, count(*) as gt, sum(case when pos <= 5 then 1 else 0 end) as h5, sum(case when pos <= 10 then 1 else 0 end)
@@ -1155,48 +1147,3 @@ from r a join r b on b.yr = a.yr and b.type_id = a.type_id and a.rel > b.rel whe
 def preference_pairs(fx):
     found = learn.preference_pairs(pipelines.with_features(fx.base, pairs(fx), WAGES, VACANCIES), ["tier_diff"])
     return found.groupBy("yr").agg(F.count("*").alias("pairs"), F.avg("weight").alias("weight"), F.sum("tier_diff").alias("spread"))
-
-
-# Learning: rows only.
-
-_LEARN = ["tier_diff", "gdp_per_capita_ratio", "population_total_ratio", "geo_distance", "migrant_stock_from_to", "hist_log_flow", "hist_share"]
-
-
-def _learning_rows(fx: Fixtures) -> DataFrame:
-    known = hist.with_history(fx.truth.withColumn("label", lab.binary(F.col("rnk"))))
-    base = fx.base.withColumns({"label": (F.col("rnk").between(1, 10)).cast("int"), "weight": lab.weight_recall(F.col("rnk"))})
-    return pipelines.transform(base, pairs(fx), known, WAGES, VACANCIES, "eval")
-
-
-@query("yr:i type_id:s to_city:i pos:i score:d")
-def recall_model(fx):
-    rows = _learning_rows(fx)
-    model = learn.fit_recall(rows.where("yr < 2000").withColumn("held", F.col("yr") == 1999), _LEARN, 5, "held")
-    return rk.top_k(learn.score(model, rows.where("yr >= 2000")), 10)
-
-
-@query("yr:i type_id:s to_city:i pos:i score:d")
-def recall_model_prefix(fx):
-    rows = _learning_rows(fx)
-    model, best = learn.fit_patient(rows.where("yr < 1999"), rows.where("yr = 1999"), _LEARN, 6, 2)
-    return rk.top_k(learn.score_prefix(model, rows.where("yr >= 2000"), best), 10)
-
-
-@query("feature:s importance:d")
-def feature_importance(fx):
-    return learn.importance(learn.fit_recall(_learning_rows(fx).where("yr < 2000"), _LEARN, 3), _LEARN)
-
-
-@query("yr:i type_id:s to_city:i rank_pos:i")
-def ranking_model(fx):
-    rows = _learning_rows(fx)
-    model = learn.fit_ranking(rows.where("yr < 2000"), _LEARN, 10)
-    recalled = rk.ranked(rows.where("yr >= 2000").withColumn("score", F.col("hist_log_flow")), "score", "recall_pos").where("recall_pos <= 15")
-    return rk.ranked(learn.score(model, recalled.drop("score")), "score", "rank_pos").where("rank_pos <= 10")
-
-
-@query("recall_5:d recall_10:d recall_20:d")
-def model_validation(fx):
-    rows = _learning_rows(fx)
-    model = learn.fit_recall(rows.where("yr < 2000"), _LEARN, 3)
-    return learn.validation_recall(learn.score(model, rows.where("yr >= 2000")), fx.truth.where("yr >= 2000"))

@@ -1,10 +1,11 @@
-"""Learning on candidate rows with MLlib: recall by boosted trees, ranking by weighted pairs."""
+"""Learning on candidate rows with MLlib: recall by boosted trees, a linear order by weighted pairs. plans/boosting.py
+has the trainer that stops, resumes and ranks by lambdas."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +14,13 @@ from tributary.functions.labels import graded, listed_gain
 from tributary.operators.metrics import judged
 from tributary.operators.ranking import QUERY, ranked
 
-_SCORES = ("features", "indexed", "rawPrediction", "probability", "prediction")
+_SCORES = ("features", "rawPrediction", "probability", "prediction")
 
 
-def fit_recall(train: DataFrame, features: list[str], rounds: int = 20, validation: str | None = None, seed: int = 42, checkpoint: int = 10) -> PipelineModel:
-    """Boosted trees on `label` and `weight`; with a boolean `validation` column training stops early."""
-    steps = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), VectorIndexer(inputCol="features", outputCol="indexed", maxCategories=5, handleInvalid="keep")]
-    trees = GBTClassifier(featuresCol="indexed", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=4, seed=seed, checkpointInterval=checkpoint)
-    if validation:
-        trees = trees.copy({trees.validationIndicatorCol: validation, trees.validationTol: 1e-4})
-    return Pipeline(stages=[*steps, trees]).fit(train)
+def fit_recall(train: DataFrame, features: list[str], rounds: int = 20, seed: int = 42, checkpoint: int = 10) -> PipelineModel:
+    """Boosted trees on `label` and `weight`."""
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=4, seed=seed, checkpointInterval=checkpoint)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), trees]).fit(train)
 
 
 def score(model: PipelineModel, df: DataFrame, into: str = "score") -> DataFrame:
@@ -30,36 +28,6 @@ def score(model: PipelineModel, df: DataFrame, into: str = "score") -> DataFrame
     return out.withColumn(into, vector_to_array("probability")[1]).drop(*_SCORES)
 
 
-def score_prefix(model: PipelineModel, df: DataFrame, trees: int, into: str = "score") -> DataFrame:
-    """The margin of the first `trees` trees only."""
-    boosted = model.stages[-1]
-    prepared = PipelineModel(model.stages[:-1]).transform(df)
-    total = F.lit(0.0)
-    for k, (tree, weight) in enumerate(list(zip(boosted.trees, boosted.treeWeights))[:trees]):
-        prepared = tree.setFeaturesCol("indexed").setPredictionCol(f"_tree{k}").transform(prepared)
-        total = total + F.col(f"_tree{k}") * weight
-    return prepared.withColumn(into, total).drop(*_SCORES, *[c for c in prepared.columns if c.startswith("_tree")])
-
-
-def best_round(losses: list[float], patience: int) -> int:
-    """Rounds to keep: up to the least loss so far when `patience` rounds have not bettered it."""
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
-
-
-def fit_patient(train: DataFrame, validation: DataFrame, features: list[str], rounds: int, patience: int, seed: int = 42) -> tuple[PipelineModel, int]:
-    """Boosted trees and how many of them to use. A tree does not depend on later ones, so the rounds
-    that stopping would have spared are trained here and left out by score_prefix()."""
-    model = fit_recall(train, features, rounds, seed=seed)
-    prepared = PipelineModel(model.stages[:-1]).transform(validation)
-    return model, best_round(model.stages[-1].evaluateEachIteration(prepared), patience)
-
-
 def prefix_length(trees: int, share: float = 0.25, least: int = 150) -> int:
     """How many of the first trees to score with: a share of them, `least` at least."""
     return min(trees, max(int(trees * share), least))
@@ -79,13 +47,6 @@ def top_features(values: DataFrame, n: int = 20) -> DataFrame:
     return values.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def importance(model: PipelineModel, features: list[str], n: int = 20) -> DataFrame:
-    from pyspark.sql import SparkSession
-
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    return top_features(SparkSession.active().createDataFrame(list(zip(features, values)), "feature string, importance double"), n)
-
-
 def preference_pairs(df: DataFrame, features: list[str], best: int = 20) -> DataFrame:
     """Within a query, each relevant candidate against each less relevant one: feature differences
     weighted by the gain that swapping them would move. At most `best` relevant ones a query."""
@@ -108,22 +69,3 @@ def fit_ranking(df: DataFrame, features: list[str], rounds: int = 50) -> Pipelin
 
 def validation_recall(scored: DataFrame, truth: DataFrame, k_list: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     return judged(ranked(scored), truth, k_list, "least").agg(*[F.avg(f"recall_{k}").alias(f"recall_{k}") for k in k_list])
-
-
-def fixed_model() -> PipelineModel:
-    """The fixed formula as a fitted pipeline."""
-    sql = "select *, round(population_total_ratio + 0.5D * gdp_per_capita_ratio + migrant_stock_from_to - geo_distance / 1000D, 9) as score from __THIS__"
-    return PipelineModel([SQLTransformer(statement=sql)])
-
-
-def transform(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df)
-
-
-def save(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
-    return path
-
-
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
