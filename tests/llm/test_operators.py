@@ -658,9 +658,8 @@ def test_chat(spark, monkeypatch):
         assert len(turns) > 20 and sum(found.get((r["conv_id"], r["line_no"])) == r["role"] for r in turns) >= 0.95 * len(turns), style
     assert all(r["rendered"] == f"<|{r['role']}|>\n{r['text']}\n<|end|>\n" for r in whole)
     # Cutting conversations into segments gives the same path.
-    starts = lambda out: {(r["conv_id"], r["at_line"], r["role"]) for r in out if not r["continues"]}
     monkeypatch.setattr(chat, "SEGMENT", 2)
-    assert starts(chat.parse_transcripts(lines, model).collect()) == starts(whole)
+    assert sorted(chat.parse_transcripts(lines, model).where("conv_id is not null").collect(), key=repr) == sorted((r for r in whole if r["conv_id"] is not None), key=repr)
 
 
 def test_empty_tables(spark, empty):

@@ -8,7 +8,8 @@ turns. Of what is parsed only the lines and their order are known: no turns, no
 Long conversations are cut into segments of lines. Each segment gives the max-plus product of its
 lines (a square of the number of states), the segments' products of a conversation give the states
 at their seams, and each segment is then decoded between its two seams: exactly Viterbi's path, with
-no conversation in one task as a whole.
+no conversation in one task as a whole. A turn that a seam cuts is put together again before it is
+rendered; of the pieces only those at seams are moved for that.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ SEGMENT = 512
 #: A speaker marker of any name: a few words, marks around them that close, then a blank or the line's end.
 _MARKER = re.compile(r"\s*[<\[(*#>|-]{0,4}\s*([A-Za-z][A-Za-z ]{0,18}?)\s*(?::[*\])|]{0,3}|[>\])|]{1,3}:?)(?:\s+|$)")
 _LENGTHS = (0, 40, 120, 300, 700)
-#: Share of all markers that an unknown name is taken to be.
-UNKNOWN = 0.05
+#: Share of all markers that an unknown name is taken to be; what is added to each count of a marker; and
+#: how many lines of any role are added to a role's own counts of length and closing mark.
+UNKNOWN, ADDED, POOLED = 0.05, 0.02, 20
 
 
 def split_marker(line: str) -> tuple[str | None, str]:
@@ -63,7 +65,9 @@ class Model:
 
 
 def learn(lines: DataFrame, least: int = 5) -> Model:
-    """From counts of labelled lines (conv_id, turn, turn_line, line, role), one added to each.
+    """From counts of labelled lines (conv_id, turn, turn_line, line, role). Counts of lengths and closing
+    marks are filled up with POOLED lines of all roles, so that a role of which little is known is not
+    told by them against its marker.
 
     A marker's name is told apart if it stands on a thousandth of the lines, `least` at least, so
     their number is bounded; all other names are one, which is taken to begin turns as often as
@@ -81,7 +85,7 @@ def learn(lines: DataFrame, least: int = 5) -> Model:
     total = seen.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("all"))
     found = seen.where("marker is not null").groupBy("marker").agg(F.sum("count").alias("count")).crossJoin(total).where(often)  # a row: the total
     names = {r["marker"]: k for k, r in enumerate(found.orderBy("marker").collect(), 2)}  # at most a thousand
-    emit = tuple(np.ones((len(STATES), n)) for n in (len(names) + 2, len(_LENGTHS) + 1, 2))
+    emit = tuple(np.full((len(STATES), n), least) for n, least in ((len(names) + 2, ADDED), (len(_LENGTHS) + 1, 0.0), (2, 0.0)))
     known = F.when(F.col("marker").isNull(), "").when(F.col("marker").isin(*names), F.col("marker")).otherwise("\n")
     for r in seen.groupBy("role", "begins", known.alias("marker"), "size", "closed").agg(F.sum("count").alias("count")).collect():
         at = {"": 0, "\n": 1}.get(r["marker"]) if r["marker"] in ("", "\n") else names[r["marker"]]
@@ -89,7 +93,11 @@ def learn(lines: DataFrame, least: int = 5) -> Model:
             emit[k][STATES.index((r["role"], r["begins"])), v] += r["count"]
     for begins in (True, False):
         own = [k for k, s in enumerate(STATES) if s[1] == begins]
-        emit[0][own, 1] += UNKNOWN * emit[0][own, 2:].sum() / len(own)
+        share = UNKNOWN * emit[0][own, 2:].sum() / emit[0][own].sum()
+        emit[0][own, 1] = share / (1 - share) * (emit[0][own].sum(1) - emit[0][own, 1])  # alike for all roles
+        for table in emit[1:]:
+            every = table[own].sum(0) + 1
+            table[own] += POOLED * every / every.sum()
     turns = lines.where(F.col("role").isin(*ROLES)).groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"))
     inner = {r["role"]: (r["turns"], r["lines"]) for r in turns.groupBy("role").agg(F.count("*").alias("turns"), F.sum("n").alias("lines")).collect()}
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
@@ -140,9 +148,10 @@ def parse_transcripts(lines: DataFrame, model: Model) -> DataFrame:
     """Recover roles and render turns.
 
     lines: conv_id (long), line_no (long, from 0 on in each conversation) and line. Gives per
-    recovered turn conv_id, at_line (where it begins), role, continues (it goes on from the segment
-    before), n_lines, text (markers stripped) and rendered, the canonical form `<|role|>`, text,
-    `<|end|>`, a line each. A null line is empty; a null line_no counts as 0; a null conv_id is a
+    recovered turn conv_id, at_line (where it begins), role, n_lines, marker (what its first line
+    began with, empty if nothing), text (all its lines, without the marker) and rendered, the
+    canonical form `<|role|>`, text, `<|end|>`, a line each. Marker and text are all of the turn,
+    whatever the segments; a turn is one row, however long. A null line is empty; a null line_no counts as 0; a null conv_id is a
     conversation; lines that repeat stay, in any order among them; other columns are ignored; an
     empty table gives none. A task holds some segments of SEGMENT lines.
     """
@@ -176,24 +185,36 @@ def parse_transcripts(lines: DataFrame, model: Model) -> DataFrame:
             out += [(conv, s, before, last) for s, before, last in zip(g["segment"], [-1, *path[:-1]], path)]
         return pd.DataFrame(out, columns=["conv_id", "segment", "before", "last"]).astype({"conv_id": "Int64"})
 
-    def turns(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pieces(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (conv, _), g in segments(pdf):
+        for (conv, segment), g in segments(pdf):
             text = g["line"].tolist()
             path = decode(model, model.emissions(text), int(g["before"].iloc[0]), int(g["last"].iloc[0]))
             begins = [k for k, s in enumerate(path) if STATES[s][1] or not k]
             for a, b in zip(begins, [*begins[1:], len(path)]):
-                role = STATES[path[a]][0]
-                body = "\n".join([split_marker(text[a])[1], *text[a + 1 : b]])
-                out.append((conv, g["line_no"].iloc[a], role, not STATES[path[a]][1], b - a, body, f"<|{role}|>\n{body}\n<|end|>\n"))
-        return pd.DataFrame(out, columns=["conv_id", "at_line", "role", "continues", "n_lines", "text", "rendered"]).astype({"conv_id": "Int64"})
+                role, new = STATES[path[a]]
+                rest = split_marker(text[a])[1] if new else text[a]
+                marker = text[a][: len(text[a]) - len(rest)]
+                out.append((conv, segment, g["line_no"].iloc[a], role, new, not new or b == len(path), b - a, marker, "\n".join([rest, *text[a + 1 : b]])))
+        return pd.DataFrame(out, columns=["conv_id", "segment", "at_line", "role", "begins", "at_seam", "n_lines", "marker", "text"]).astype({"conv_id": "Int64"})
 
     scores = lines.groupBy("bucket").applyInPandas(measure, "conv_id long, segment long, score array<double>")
     n = spread(lines.sparkSession, lines, 16)
     ends = scores.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(n))).applyInPandas(seams, "conv_id long, segment long, before int, last int")
     ends = ends.withColumnsRenamed({"conv_id": "id", "segment": "part"})
     known = lines.join(ends, F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("segment") == F.col("part"))).drop("id", "part")
-    return known.groupBy("bucket").applyInPandas(turns, "conv_id long, at_line long, role string, continues boolean, n_lines long, text string, rendered string")
+    cut = stage(known.groupBy("bucket").applyInPandas(pieces, "conv_id long, segment long, at_line long, role string, begins boolean, at_seam boolean, n_lines long, marker string, text string"), "pieces")
+    before = Window.partitionBy("conv_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    opened = cut.groupBy("conv_id", "segment").agg(F.max(F.when(F.col("begins"), F.col("at_line"))).alias("opened"))
+    opened = opened.select(F.col("conv_id").alias("id"), F.col("segment").alias("part"), F.last("opened", ignorenulls=True).over(before).alias("opened"))  # a row a segment
+    seam = cut.where("at_seam").join(opened, F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("segment") == F.col("part")))
+    start = F.when(F.col("begins"), F.col("at_line")).otherwise(F.coalesce("opened", "at_line"))
+    parts = F.array_sort(F.collect_list(F.struct("segment", "at_line", "role", "marker", "text")))  # one turn's text
+    whole = seam.groupBy("conv_id", start.alias("start")).agg(F.sum("n_lines").alias("n_lines"), parts.alias("parts"))
+    first = F.col("parts")[0]
+    whole = whole.select("conv_id", F.col("start").alias("at_line"), first["role"].alias("role"), "n_lines", first["marker"].alias("marker"), F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
+    out = cut.where("not at_seam").select("conv_id", "at_line", "role", "n_lines", "marker", "text").unionByName(whole)
+    return out.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n")))
 
 
 #: Markers that transcripts put before a turn, by role; the k-th of each is one style, the
