@@ -558,16 +558,16 @@ def test_toxicity(spark):
 
 def _naive_clause(grammar, words):
     """The grammar's kinds told from the words before each match."""
-    found, c = dict.fromkeys(toxicity.KINDS, 0.0), [("insult" if grammar.weight(w) else toxicity.CLASSES.get(w, "other")) for w in words]
-    state = 0  # of the threat machine
+    found, c = dict.fromkeys(toxicity.KINDS, 0.0), [("insult" if grammar.weight(w) else toxicity.CLASSES["en"].get(w, "other")) for w in words]
+    meant, armed = 0, 0  # words in which a harm is meant, words in which a target is hit
     for k, own in enumerate(c):
-        threat = (state == 1 and own == "harm") or (state == 2 and own == "target")
+        threat = own == "target" and armed > 0
         if own == "harm":
-            state = 2
-        elif own == "intent" or (state == 2 and own == "target"):
-            state = 1
-        elif state == 2:
-            state = 0
+            meant, armed = 0, toxicity.REACH if meant else max(armed, 1)
+        elif own == "intent" or threat:
+            meant, armed = toxicity.REACH if own == "intent" else 0, 0
+        else:
+            meant, armed = max(meant - 1, 0), max(armed - 1, 0)
         if own != "insult" and not threat:
             continue
         before = k
@@ -597,7 +597,11 @@ def test_grammar_states():
     assert kinds("he wrote clod") == only(reported=2.0, heaviest_clause=2.0, clauses=1)
     assert kinds("such a clod, such clod") == only(plain=2.0, strong=2.0, heaviest_clause=4.0, clauses=1)
     assert kinds("not one two three four clod") == only(plain=2.0, heaviest_clause=2.0, clauses=1)
-    assert kinds("they will kill") == only(threat=1.0, heaviest_clause=1.0, clauses=1)
+    assert kinds("we will surely kill all of them") == only(threat=1.0, heaviest_clause=1.0, clauses=1)
+    for harmless in ("a murder mystery", "he bought a whisk to beat the eggs", "I read that rain will destroy the crops", "sin city, du pain, et tuer le temps"):
+        assert kinds(harmless) == only(), harmless
+    assert kinds("ich werde dich nie schlagen, dich nicht")["negated"] == 1.0 and kinds("je vais te voir et le tuer, toi et moi")["threat"] == 1.0
+    assert kinds("voy a matar al gato de la casa")["clauses"] == 0 and kinds("voy a matar a ellos y a la casa")["threat"] == 1.0
     assert kinds("to kill you") == only(threat=1.0, heaviest_clause=1.0, clauses=1) and kinds("to kill time") == only()
     assert kinds("clod " * 9) == only(plain=toxicity.CLAUSE, heaviest_clause=toxicity.CLAUSE, clauses=1)
 

@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 8).
 
 Small transducers read a clause word by word: insult (an entry of the lexicon, stronger after an
-intensifier), threat (a harm with an intent before it or a target after it), target (a person
-addressed or named), negation (its scope is a few words) and reported speech (to the clause's end).
+intensifier), threat (a harm and its target next to each other, or within a few words if an intent
+stands a few words before), target (a person addressed or named), negation (its scope is a few words) and reported speech (to the clause's end).
 Their composition reads each word once and says which of them speak at it; an insult then counts
 under the context reached: plain, strong, aimed, negated or reported. Clauses are what is scored: a
 clause's weight by kind is bounded, so a word said ten times in one clause is one matched clause. A
@@ -25,18 +25,59 @@ from pyspark.sql import functions as F
 from tributary.llm.names import give_back
 from tributary.llm.shared import documents, stage, table
 
-#: Function words of English, French, German and Spanish that steer the grammar, and verbs of harm.
+#: Words that steer the grammar and verbs of harm, and common words by which a text's language is told.
 WORDS = {
-    "target": "you your yours yourself he she him her they them their tu toi te vous votre ils elles lui du dich dir dein deine ihr euch sie ihn usted ustedes vosotros ti ellos ellas él ella",
-    "negation": "not never no nor neither without isn aren wasn don doesn didn ain pas jamais ni sans aucun nicht kein keine keinen nie niemals ohne nunca jamás tampoco sin ningún",
-    "report": "said says say saying called calls quoted quote wrote claimed told dit disait disent appelé écrit sagte sagt nannte schrieb meinte dijo dice decía llamó escribió",
-    "intensifier": "so such very really total totally complete utter absolute fucking damn très vraiment tellement sehr so total völlig wirklich muy tan realmente totalmente",
-    "intent": "will shall gonna going must should i ll vais allons va werde werden wirst muss voy vamos va a debe",
-    "harm": "kill hurt murder beat destroy stab shoot tuer frapper détruire poignarder töten schlagen umbringen zerstören matar golpear destruir",
+    "en": {
+        "target": "you your yours yourself he she him her them their",
+        "negation": "not never no nor neither without isn aren wasn don doesn didn ain",
+        "report": "said says say saying called calls quoted quote wrote claimed told",
+        "intensifier": "so such very really total totally complete utter absolute fucking damn",
+        "intent": "will shall gonna going must should ll",
+        "harm": "kill hurt murder beat destroy stab shoot strangle choke punch burn bash",
+        "common": "the of and to in is that it for was on with as at by this are be from or an have i we they",
+    },
+    "fr": {
+        "target": "tu toi te vous votre ils elles lui",
+        "negation": "pas jamais ni sans aucun",
+        "report": "dit disait disent appelé écrit",
+        "intensifier": "très vraiment tellement",
+        "intent": "vais allons va",
+        "harm": "tuer frapper détruire poignarder étrangler brûler cogner",
+        "common": "le la les des et est dans que qui une un du de il elle en au pour ce sur avec je nous à",
+    },
+    "de": {
+        "target": "du dich dir dein deine ihr euch sie ihn",
+        "negation": "nicht kein keine keinen nie niemals ohne",
+        "report": "sagte sagt nannte schrieb meinte",
+        "intensifier": "sehr so total völlig wirklich",
+        "intent": "werde werden wirst muss",
+        "harm": "töten schlagen umbringen zerstören erstechen erwürgen verbrennen",
+        "common": "der die das und ist in den von zu mit des auf für im dem nicht ein eine als auch es an ich wir er",
+    },
+    "es": {
+        "target": "usted ustedes vosotros ti ellos ellas él ella te le tu",
+        "negation": "no nunca jamás tampoco sin ningún",
+        "report": "dijo dice decía llamó escribió",
+        "intensifier": "muy tan realmente totalmente",
+        "intent": "voy vamos va a debe",
+        "harm": "matar golpear destruir apuñalar estrangular quemar",
+        "common": "el la los las de y en que es un una por con para del se al lo su yo nosotros como más",
+    },
 }
-CLASSES = {w: c for c, words in reversed(WORDS.items()) for w in words.split()}
+STEERING = ("target", "negation", "report", "intensifier", "intent", "harm")
+CLASSES = {lang: {w: c for c in reversed(STEERING) for w in own[c].split()} for lang, own in WORDS.items()}
+_TELLING = {lang: frozenset(w for words in own.values() for w in words.split()) for lang, own in WORDS.items()}
+
+
+def language(words: list[str]) -> str:
+    """The language of whose own words a text has most, the first of WORDS if none or as many."""
+    return max(WORDS, key=lambda lang: sum(w in _TELLING[lang] for w in words))
+
+
 #: Words after a negation that it still governs.
 SCOPE = 3
+#: Words after an intent in which a harm is meant by it, and after such a harm in which a target is.
+REACH = 3
 #: Occurrences in one text that count when the lexicon is learned.
 TELLS = 5
 #: Most weight of a kind in one clause.
@@ -49,7 +90,11 @@ _CLAUSE, _TOKEN = re.compile(r"[.!?;\n]+"), re.compile(r"[^\W_]+")
 #: and a state without it stays and says nothing.
 Transducer = dict[int, dict[str, tuple[int, str]]]
 INSULT: Transducer = {0: {"insult": (0, "insult"), "intensifier": (1, "")}, 1: {"insult": (0, "strong"), "intensifier": (1, ""), "other": (0, "")}}
-THREAT: Transducer = {0: {"intent": (1, ""), "harm": (2, "")}, 1: {"harm": (2, "threat")}, 2: {"target": (1, "threat"), "harm": (2, ""), "intent": (1, ""), "other": (0, "")}}
+THREAT: Transducer = {
+    0: {"intent": (REACH, ""), "harm": (REACH + 1, "")},
+    **{k: {"intent": (REACH, ""), "harm": (2 * REACH, ""), "other": (k - 1, "")} for k in range(1, REACH + 1)},
+    **{REACH + k: {"intent": (REACH, ""), "harm": (REACH + k, ""), "target": (0, "threat"), "other": (REACH + k - 1 if k > 1 else 0, "")} for k in range(1, REACH + 1)},
+}
 TARGET: Transducer = {0: {"target": (1, "")}, 1: {"other": (1, "aimed")}}
 NEGATION: Transducer = {0: {"negation": (SCOPE, "")}, **{k: {"negation": (SCOPE, "negated"), "other": (k - 1, "negated")} for k in range(1, SCOPE + 1)}}
 REPORTED: Transducer = {0: {"report": (1, "")}, 1: {"other": (1, "reported")}}
@@ -59,7 +104,7 @@ MACHINES = (INSULT, THREAT, TARGET, NEGATION, REPORTED)
 def compose(*machines: Transducer) -> dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], frozenset[str]]]:
     """The product over the word classes, for the states that can be reached: the next state and all
     that the machines say."""
-    classes = ("insult", "other", *WORDS)
+    classes = ("insult", "other", *STEERING)
     moves, todo = {}, [(0,) * len(machines)]
     while todo:
         at = todo.pop()
@@ -96,17 +141,18 @@ class Grammar:
         self.words = {w: v for w, v in self.insults.items() if not w.endswith("*")}
         self.stems = {w[:-1]: v for w, v in self.insults.items() if w.endswith("*")}
         self.lengths = sorted({len(s) for s in self.stems})
-        self.literals = [*self.words, *self.stems, *WORDS["harm"].split()]
+        self.literals = [*self.words, *self.stems, *(w for own in WORDS.values() for w in own["harm"].split())]
 
     def weight(self, word: str) -> float:
         return max([self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in self.lengths)])
 
-    def clause(self, words: list[str]) -> list[float]:
+    def clause(self, words: list[str], lang: str = "en") -> list[float]:
         """Weight by kind of one clause; a threat weighs 1."""
+        classes = CLASSES[lang]
         found, at = [0.0] * len(KINDS), 0
         for word in words:
             weight = self.weight(word)
-            at, kind = self.moves[at, "insult" if weight else CLASSES.get(word, "other")]
+            at, kind = self.moves[at, "insult" if weight else classes.get(word, "other")]
             if kind >= 0:
                 found[kind] += weight or 1.0
         return found
@@ -116,8 +162,10 @@ class Grammar:
         total, low = [0.0] * len(FEATURES), text.lower()
         if not any(w in low for w in self.literals):
             return total
-        for clause in _CLAUSE.split(low):
-            found = self.clause(_TOKEN.findall(clause))
+        clauses = [_TOKEN.findall(clause) for clause in _CLAUSE.split(low)]
+        lang = language([w for words in clauses for w in words])
+        for words in clauses:
+            found = self.clause(words, lang)
             for k, v in enumerate(found):
                 total[k] += min(v, CLAUSE)
             total[-2] = max(total[-2], min(sum(found), CLAUSE))
