@@ -93,7 +93,7 @@ INSULT: Transducer = {0: {"insult": (0, "insult"), "intensifier": (1, "")}, 1: {
 THREAT: Transducer = {
     0: {"intent": (REACH, ""), "harm": (REACH + 1, "")},
     **{k: {"intent": (REACH, ""), "harm": (2 * REACH, ""), "other": (k - 1, "")} for k in range(1, REACH + 1)},
-    **{REACH + k: {"intent": (REACH, ""), "harm": (REACH + k, ""), "target": (0, "threat"), "other": (REACH + k - 1 if k > 1 else 0, "")} for k in range(1, REACH + 1)},
+    **{REACH + k: {"intent": (REACH + k - 1, ""), "harm": (REACH + k, ""), "target": (0, "threat"), "other": (REACH + k - 1 if k > 1 else 0, "")} for k in range(1, REACH + 1)},
 }
 TARGET: Transducer = {0: {"target": (1, "")}, 1: {"other": (1, "aimed")}}
 NEGATION: Transducer = {0: {"negation": (SCOPE, "")}, **{k: {"negation": (SCOPE, "negated"), "other": (k - 1, "negated")} for k in range(1, SCOPE + 1)}}
