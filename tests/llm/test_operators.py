@@ -224,20 +224,53 @@ def test_isolated_pairs_at_the_threshold_are_found(spark):
 
 
 def test_pairs_of_large_regions_are_compared(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "REGION", 7)
+    monkeypatch.setattr(near_dedup, "REGION", 7)  # of either region
     rng = np.random.default_rng(6)
     signature = rng.integers(0, 1 << 16, (200, near_dedup.VALUES)).astype(np.uint16)
     signature[:, 3::8] = 5  # a template: one region that only its first value tells
     for k in range(0, 200, 2):
         signature[k + 1] = np.where(rng.random(near_dedup.VALUES) < 0.85, signature[k], signature[k + 1])
     rows = [(1, k, s.tobytes()) for k, s in enumerate(signature)] + [(2, k, signature[k].tobytes()) for k in (0, 150)]
-    dealt = near_dedup._in_blocks(spark.createDataFrame(rows, "region long, id long, signature binary"))
+    large = spark.createDataFrame([(1, 29)], "region long, blocks long")
+    dealt = near_dedup._in_blocks(spark.createDataFrame(rows, "region long, id long, signature binary"), large)
     assert dealt.groupBy("region", "x", "y").count().where("count > 30").count() == 0
     got = dealt.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "block").mapInArrow(near_dedup._candidates(87), "a long, b long").collect()
     want = {(i, j) for i in range(200) for j in range(i) if (signature[i] == signature[j]).sum() >= 87}
     assert len(want) > 90 and {(max(r), min(r)) for r in got} == want
 
 
+@pytest.mark.parametrize("region", [2, 12, 10**6])
+def test_depth_adapts_to_the_region(spark, monkeypatch, region):
+    """Texts of one template: regions of the first level are large, those that agree are found deeper or, at
+    the last level, in blocks; whatever the bound, all links at or above the threshold are there."""
+    monkeypatch.setattr(near_dedup, "REGION", region)
+    rng, rows = random.Random(12), []
+    template = [f"t{k}" for k in range(75)]
+    for k in range(120):
+        own = [f"{rng.getrandbits(40):x}" for _ in range(25)]
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template + own[:-5] + [f"{rng.getrandbits(40):x}" for _ in range(5)]))]
+    levels, agree = near_dedup.forest(85)
+    assert [d for _, d in levels] == [3, 6, 12] and levels[0][0] == 15
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 1, 85)
+    assert got.where("component_id <> doc_id - doc_id % 2").count() == 0
+
+
+def test_deeper_levels_part_a_template(spark):
+    """The share of pairs at the template's likeness that still meet falls with depth, that of true pairs doesn't."""
+    rng = np.random.default_rng(3)
+    levels, _ = near_dedup.forest(85)
+
+    def meeting(likeness):
+        a = rng.integers(0, 1 << 16, (400, near_dedup.VALUES)).astype(np.uint16)
+        b = np.where(rng.random(a.shape) < likeness, a, rng.integers(0, 1 << 16, a.shape)).astype(np.uint16)
+        names = [(near_dedup._prefix_names(x, t, d).reshape(-1, t)) for t, d in levels for x in (a, b)]
+        return [(names[2 * k] == names[2 * k + 1]).any(1).mean() for k in range(len(levels))]
+
+    assert min(meeting(0.87)) >= 0.995
+    apart = meeting(0.6)
+    assert apart[0] > apart[1] > apart[2] and apart[2] < 0.25
+
+
 def test_large_bundles_are_followed_in_blocks(docs, rows, monkeypatch):
     want = _sorted(tuple(r) for r in near_dedup.near_duplicates(docs).collect())
     monkeypatch.setattr(near_dedup, "BLOCK", 100)
@@ -564,8 +597,10 @@ def _naive_clause(grammar, words):
         threat = own == "target" and armed > 0
         if own == "harm":
             meant, armed = 0, toxicity.REACH if meant else max(armed, 1)
-        elif own == "intent" or threat:
-            meant, armed = toxicity.REACH if own == "intent" else 0, 0
+        elif threat:
+            meant, armed = 0, 0
+        elif own == "intent":
+            meant, armed = (0, armed - 1) if armed > 1 else (toxicity.REACH, 0)
         else:
             meant, armed = max(meant - 1, 0), max(armed - 1, 0)
         if own != "insult" and not threat:

@@ -2,15 +2,18 @@
 
 1. Sets and signatures: each text's distinct shingles give two fingerprints of the set and VALUES
    minima. Texts with equal sets are one from here on (their least doc_id stands for them).
-2. Forest. Orders of the signature, each starting elsewhere in it. Texts that share the first
-   values there are a region of that order, and all pairs of a region are compared: texts whose
-   signatures agree in enough values are candidates. A region of over REGION texts is dealt in
-   blocks, and every pair of blocks is one group of rows, so a region of any size is spread over
-   tasks and no pair is left out; the work for n texts in a region is n^2 / 2 comparisons. `forest`
-   takes the number of orders, their depth and the values that must agree from `percent`: a pair at
-   that similarity shares no region with probability MISS at most (20 orders of depth 3 for 80
-   percent, 15 for 85), and agrees in too few values (79 and 87 of 128 are enough) with
-   probability MISS at most, however large the regions are.
+2. Forest. Orders of the signature: in each, texts are sorted by their values from one place of it on,
+   so that texts with a common prefix stand together. A region is a run of neighbours whose prefixes
+   are equal to the depth of the level; its texts are compared with each other, and those whose
+   signatures agree in enough values are candidates. Depth adapts to the region: one of over REGION
+   texts is not compared but goes a level deeper, where longer prefixes part what a template has in
+   common, in as many more orders as that depth needs. Only what is still together in such a region
+   at the last of DEPTHS is compared in blocks, every pair of blocks being one group of rows.
+   `forest` takes the orders of each level and the values that must agree from `percent`: at every
+   level a pair at that similarity shares no region with probability MISS at most, so after L levels
+   with L * MISS at most, and agrees in too few values (79 of 128 are enough for 80 percent, 87 for
+   85) with probability MISS at most. A text meets at most REGION others in each of a level's orders
+   unless they agree with it to the last depth.
 3. Confirmation. Candidates join into bundles; each bundle's whole texts go to one task, which
    follows the links from text to text on full sets, so connectivity is exact whatever the number
    of links. Bundles of over BLOCK shingles are dealt in blocks, and every pair of blocks is one
@@ -32,7 +35,8 @@ from tributary.llm.exchange import NAME, SENT, bits_back, bits_of, by_name, dist
 from tributary.llm.names import Named, chunks, give_back, mix, words_of
 from tributary.llm.shared import BROADCAST_ROWS, documents, spread, stage
 
-DEPTH, VALUES, MISS = 3, 128, 1e-6
+#: Depths of the levels, values of a signature, and how rarely a pair at the threshold is missed in a level.
+DEPTHS, VALUES, MISS = (3, 6, 12), 128, 1e-6
 REGION, BLOCK = 4096, 1 << 20
 #: Signatures handled at a time.
 PART = 1024
@@ -88,16 +92,16 @@ def _measured(size: int):
     return map_chunks
 
 
-def forest(percent: int) -> tuple[int, int, int]:
-    """Orders, their depth (DEPTH, or less if so many orders would overlap) and the number of equal
-    values that makes a candidate, such that either lets a pair at `percent` through but for MISS."""
+def forest(percent: int) -> tuple[list[tuple[int, int]], int]:
+    """(orders, depth) of each level and the number of equal values that makes a candidate, such that
+    either lets a pair at `percent` through but for MISS. A level whose orders would be too many for
+    the signature (more than VALUES) is left out; the first has its depth made less instead."""
     p = min(max(percent, 1), 99) / 100
-    for depth in range(DEPTH, 0, -1):
-        trees = math.ceil(math.log(MISS) / math.log1p(-(p**depth)))
-        if trees * depth <= VALUES:
-            break
+    orders = lambda depth: math.ceil(math.log(MISS) / math.log1p(-(p**depth)))
+    first = next((d for d in range(DEPTHS[0], 1, -1) if orders(d) * d <= VALUES), 1)
+    levels = [(min(orders(first), VALUES), first)] + [(orders(d), d) for d in DEPTHS[1:] if orders(d) <= VALUES]
     below = np.cumsum([math.comb(VALUES, k) * p**k * (1 - p) ** (VALUES - k) for k in range(VALUES + 1)])
-    return min(trees, VALUES), depth, int((below <= MISS).sum())
+    return levels, int((below <= MISS).sum())
 
 
 def _prefixes(buckets: int, trees: int, depth: int):
@@ -115,8 +119,16 @@ def _prefixes(buckets: int, trees: int, depth: int):
     return map_chunks
 
 
+def _turns(trees: int, depth: int) -> np.ndarray:
+    """Which values each order begins with: parts of the signature while they last, else values drawn
+    anew for each order, by a fixed seed."""
+    if trees * depth <= VALUES:
+        return np.arange(trees)[:, None] * (VALUES // trees) + np.arange(depth)[None, :]
+    return np.argsort(np.random.default_rng(depth).random((trees, VALUES)), axis=1)[:, :depth]
+
+
 def _prefix_names(signature: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    turn = np.arange(trees)[:, None] * (VALUES // trees) + np.arange(depth)[None, :]
+    turn = _turns(trees, depth)
     key = signature[:, turn].astype(np.uint64)
     name = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), key.shape[:2])
     for d in range(depth):
@@ -155,12 +167,9 @@ def _linked(similar, n: int) -> list[tuple[int, int]]:
     return links
 
 
-def _in_blocks(flagged: DataFrame) -> DataFrame:
+def _in_blocks(flagged: DataFrame, large: DataFrame) -> DataFrame:
     """Rows (region, x, y, block, id, signature): each text once for every pair of blocks it is in."""
-    size = stage(flagged.groupBy("region").count().where(F.col("count") > REGION).select("region", F.ceil(F.col("count") / REGION).alias("blocks")), "regions")
-    if size.count() <= BROADCAST_ROWS:
-        size = F.broadcast(size)  # two longs for each large region; more are joined by shuffle
-    dealt = flagged.join(size, "region", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = flagged.join(large, "region", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return dealt.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "signature")
 
@@ -245,6 +254,25 @@ def _confirmed(size: int, percent: int):
     return confirm
 
 
+def _forest_links(texts: DataFrame, buckets: int, levels: list[tuple[int, int]], agree: int) -> DataFrame:
+    """Candidate links (a, b) of texts (doc_id, signature), level by level."""
+    found = None
+    for k, (trees, depth) in enumerate(levels):
+        flagged = exchange(texts.mapInArrow(_prefixes(buckets, trees, depth), SENT), buckets, NAME, _shared, _in_orders(buckets, trees, depth), "region long, id long, signature binary")
+        flagged = stage(flagged, "orders")
+        large = flagged.groupBy("region").count().where(F.col("count") > REGION).select("region", F.ceil(F.col("count") / REGION).alias("blocks"))
+        large = stage(large, "regions")
+        n_large, last = large.count(), k + 1 == len(levels)
+        sent = F.broadcast(large) if n_large <= BROADCAST_ROWS else large  # two longs for each large region; more are joined by shuffle
+        compared = _in_blocks(flagged if last else flagged.join(sent, "region", "left_anti"), sent if last else sent.limit(0))
+        compared = compared.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "block")
+        links = compared.mapInArrow(_candidates(agree), "a long, b long")
+        found = links if found is None else found.unionByName(links)
+        if last or not n_large:
+            return found
+        texts = stage(flagged.join(sent, "region", "left_semi").select(F.col("id").alias("doc_id"), "signature").dropDuplicates(["doc_id"]), "deeper")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
     """Link documents with 100 |A and B| >= percent |A or B| of their shingle sets, and say what
     each document can reach.
@@ -258,16 +286,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     columns are ignored; an empty table gives none. Links are confirmed on full sets.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets, (trees, depth, agree) = spread(docs.sparkSession, docs), forest(percent)
+    buckets, (levels, agree) = spread(docs.sparkSession, docs), forest(percent)
     sets = stage(docs.mapInArrow(_measured(shingle), "doc_id long, n_shingles long, set_a long, set_b long, signature binary"), "sets")
     known = sets.where("n_shingles > 0 and doc_id is not null")
     same = stage(known.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep")), "same")
     members = known.select("doc_id", "n_shingles", "set_a", "set_b").join(same, ["n_shingles", "set_a", "set_b"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     reps = known.join(same.withColumnRenamed("rep", "doc_id"), ["doc_id", "n_shingles", "set_a", "set_b"]).select("doc_id", "signature", "n_shingles").dropDuplicates(["doc_id"])
-    flagged = exchange(reps.select("doc_id", "signature").mapInArrow(_prefixes(buckets, trees, depth), SENT), buckets, NAME, _shared, _in_orders(buckets, trees, depth), "region long, id long, signature binary")
-    flagged = stage(flagged, "orders")
-    sorted_ = _in_blocks(flagged).repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "block")
-    bundles = connected_components(sorted_.mapInArrow(_candidates(agree), "a long, b long"))
+    bundles = connected_components(_forest_links(reps.select("doc_id", "signature"), buckets, levels, agree))
     sized = bundles.join(known.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).withColumnRenamed("doc_id", "id"), "id")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     task = stage(sized.join(blocks, "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block")), "bundles")
