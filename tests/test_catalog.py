@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from tributary import catalog, catalog_learning  # noqa: F401
+from tributary import catalog, catalog_learning, catalog_storage  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 

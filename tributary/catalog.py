@@ -303,11 +303,6 @@ def export_key_check(fx):
     return src.repeated_keys(ranks(fx).where("pos <= 2 and score > 0"))
 
 
-@query("yr:i", "select distinct yr from fx_base where yr not in (select yr from fx_base where to_city = 1000 and yr < 1998)")
-def years_to_do(fx):
-    return src.years_left(fx.base, fx.base.where("to_city = 1000 and yr < 1998"))
-
-
 def fresh(fx: Fixtures, name: str) -> str:
     """A folder of its own that all executors share."""
     return f"{shared_folder(fx.spark)}/{name}-{uuid.uuid4().hex}"
@@ -541,7 +536,7 @@ def known_candidates(fx):
 @query(_KEYS, "select yr, type_id, from_city, to_city from fx_base b where exists (select 1 from fx_edges e where e.source_id = b.from_city and e.target_id = b.to_city)")
 def reachable_candidates(fx):
     roads = fx.edges.select(F.col("source_id").alias("from_city"), F.col("target_id").alias("to_city"))
-    return cand.keep_reachable(fx.base, fx.base.select("yr").distinct().join(roads))
+    return cand.keep_reachable(fx.base, roads)
 
 
 @query("yr:i city_id:i", "select distinct yr, from_city as city_id from fx_flows")

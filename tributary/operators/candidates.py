@@ -28,8 +28,9 @@ def keep_known(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.join(known_cities(pairs).withColumnRenamed("city_id", "to_city"), "to_city", "left_semi")
 
 
-def keep_reachable(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    return df.join(pairs, ["yr", "from_city", "to_city"], "left_semi")
+def keep_reachable(df: DataFrame, roads: DataFrame) -> DataFrame:
+    """Candidates to which a road leads from the origin, whatever the year."""
+    return df.join(roads, ["from_city", "to_city"], "left_semi")
 
 
 def origins(df: DataFrame) -> DataFrame:

@@ -84,9 +84,28 @@ def join_pairs(base: DataFrame, pairs: DataFrame, fill: bool = True) -> DataFram
 
 
 def nearest_year(requests: DataFrame, cities: DataFrame) -> DataFrame:
-    """Attributes of the year next to each requested one (yr), the earlier of two as near; requested
-    years and known ones, a row each, are crossed."""
-    years = cities.select(F.col("yr").alias("own_yr")).distinct()
-    best = Window.partitionBy("yr").orderBy(F.abs(F.col("own_yr") - F.col("yr")), "own_yr")
-    near = requests.select("yr").distinct().crossJoin(years).withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+    """Attributes of the year next to each requested one (yr), the earlier of two as near.
+
+    An as-of merge: requested and known years, a row each, stand in one order, in which each looks
+    back and ahead for the next known one.
+    """
+    known = cities.select("yr", F.col("yr").alias("own_yr"), F.lit(False).alias("asked")).distinct()
+    both = known.unionByName(requests.select("yr", F.lit(None).cast("int").alias("own_yr"), F.lit(True).alias("asked")).distinct())
+    order = Window.partitionBy(F.lit(0)).orderBy("yr")  # years only
+    before = F.last("own_yr", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("own_yr", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    both = both.withColumns({"before": before, "after": after})
+    nearer = F.when(F.col("yr") - F.col("before") <= F.col("after") - F.col("yr"), F.col("before")).otherwise(F.coalesce("after", "before"))
+    near = both.select("yr", "asked", nearer.alias("own_yr")).where("asked and own_yr is not null").drop("asked")
     return near.join(cities.withColumnRenamed("yr", "own_yr"), "own_yr")
+
+
+#: What base rows and pair features are bucketed by.
+PAIR = ("yr", "from_city", "to_city")
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """A table dealt by the pair into buckets, each sorted by it: two such tables of as many buckets join
+    bucket by bucket, so a lookup moves no row, however large they are."""
+    df.repartition(buckets, *PAIR).write.mode("overwrite").bucketBy(buckets, *PAIR).sortBy(*PAIR).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)

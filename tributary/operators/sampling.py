@@ -75,12 +75,21 @@ def sample_common(left: DataFrame, right: DataFrame, n: int, seed: int = 42) ->
     return both.orderBy(turn(seed, *QUERY), *QUERY).limit(n)
 
 
+def _least(negatives: DataFrame, most: int, seed: int, *group: str) -> DataFrame:
+    """The `most` rows of each query (and group) that come first by hash, as _k. The literal bound lets each
+    task give up all but that many of a group before anything is moved."""
+    k = F.row_number().over(Window.partitionBy(*QUERY, *group).orderBy(turn(seed, *QUERY, "to_city"), "to_city"))
+    return negatives.withColumn("_k", k).where(F.col("_k") <= most)
+
+
 def stratified_negatives(df: DataFrame, hard: list[int], n_hard: int = 30, n_other: int = 30, seed: int = 42) -> DataFrame:
-    """All positives, and some negatives to hard cities and to others."""
+    """All positives, and some negatives to hard cities and to others; df is read twice, and of its
+    negatives only those that may stay are moved."""
     stratum = F.when(F.col("rnk") > 0, 0).when(F.col("to_city").isin(hard), 1).otherwise(2)
-    k = F.row_number().over(Window.partitionBy(*QUERY, "stratum").orderBy(turn(seed, *QUERY, "to_city"), "to_city"))
-    most = F.when(F.col("stratum") == 1, n_hard).otherwise(n_other)
-    return df.withColumn("stratum", stratum).withColumn("_k", k).where((F.col("stratum") == 0) | (F.col("_k") <= most)).drop("_k")
+    df = df.withColumn("stratum", stratum)
+    least = _least(df.where("stratum > 0"), max(n_hard, n_other), seed, "stratum")
+    least = least.where(F.col("_k") <= F.when(F.col("stratum") == 1, n_hard).otherwise(n_other)).drop("_k")
+    return df.where("stratum = 0").unionByName(least)
 
 
 def is_hard(hard: list[int]) -> Column:
@@ -100,8 +109,8 @@ def exact_negatives(df: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
     """n negatives of each query (all if n is None or negative) beside its positives."""
     if n is None or n < 0:
         return df
-    k = F.row_number().over(Window.partitionBy(*QUERY, F.col("rnk") > 0).orderBy(turn(seed, *QUERY, "to_city"), "to_city"))
-    return df.withColumn("_k", k).where((F.col("rnk") > 0) | (F.col("_k") <= n)).drop("_k")
+    positive = F.coalesce(F.col("rnk") > 0, F.lit(False))
+    return df.where(positive).unionByName(_least(df.where(~positive), n, seed).drop("_k"))
 
 
 def drop_history(df: DataFrame, columns: list[str], p: float, seed: int = 42) -> DataFrame:
