@@ -98,3 +98,33 @@ def test_lines_of_files(spark, tmp_path):
 def test_all_negatives(spark, n):
     rows = spark.createDataFrame([(1, "q", k, k % 2) for k in range(10)], "yr int, type_id string, to_city int, rnk int")
     assert sampling.exact_negatives(rows, n).count() == 10
+
+
+def test_a_table_written_anew_is_another_one(spark, tmp_path):
+    import shutil
+
+    import duckdb
+
+    from tributary.plans.fixtures import TABLES, Fixtures
+
+    for t in TABLES:
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    first = Fixtures(spark, str(tmp_path)).flows.agg(F.sum("n")).first()[0]
+    assert Fixtures(spark, str(tmp_path)).flows.agg(F.sum("n")).first()[0] == first
+    duckdb.sql(f"copy (select * from '/root/testdata/sf0.001/lineitem.parquet' where l_orderkey % 2 = 0) to '{tmp_path}/lineitem.parquet'")
+    assert 0 < Fixtures(spark, str(tmp_path)).flows.agg(F.sum("n")).first()[0] < first
+
+
+def test_columns_that_are_lacking(spark):
+    from tributary.functions import features
+
+    df = spark.createDataFrame([(1, None), (2, 5.0)], "a int, b double")
+    assert sorted(map(tuple, features.lacking(df, "a", "b", "c").collect())) == [("a", 1, 0), ("b", 1, 1), ("c", 0, 2)]
+    with pytest.raises(ValueError, match="c, d"):
+        features.require(df, "a", "c", "d")
+    assert features.feature_columns(df.withColumn("yr", F.lit(1))) == ["a", "b"]
+
+
+def test_queries_without_a_positive_go(spark):
+    df = spark.createDataFrame([(1, "q", 1, 0), (1, "q", 2, 1), (1, "r", 1, 0), (2, "q", 1, 0)], "yr int, type_id string, to_city int, label int")
+    assert sorted(map(tuple, sampling.with_positive(df).collect())) == [(1, "q", 1, 0), (1, "q", 2, 1)]

@@ -298,9 +298,9 @@ def export_reencoded(fx):
 
 @query("yr:i total:i unique_keys:i repeated:i", """select yr, sum(n) as total, count(*) as unique_keys, sum(case when n > 1 then 1 else 0 end) as repeated
   from (select yr, type_id, count(*) as n from (select yr, type_id, pos
-  from x_ranked where pos <= 2 and score > 0) d group by 1, 2) k group by yr""")
+  from x_ranked) d group by 1, 2) k group by yr""")
 def export_key_check(fx):
-    return src.repeated_keys(ranks(fx).where("pos <= 2 and score > 0"))
+    return src.repeated_keys(ranks(fx))
 
 
 def fresh(fx: Fixtures, name: str) -> str:
@@ -394,10 +394,9 @@ def long_to_wide(fx):
     return src.long_to_wide(fx.truth)
 
 
-@query("yr:i type_id:s to_city:i city_name:s", """select yr, type_id, to_city, case when tier < 3 then city_name else 'Unknown' end as city_name
-  from fx_truth join fx_city on to_city = city_id """)
+@query("yr:i type_id:s to_city:i city_name:s", "select yr, type_id, to_city, city_name from fx_truth join fx_city on to_city = city_id")
 def city_names(fx):
-    return ct.with_names(fx.truth, fx.city.where("tier < 3"))
+    return ct.with_names(fx.truth, fx.city)
 
 
 @query("city_name:s city_id:i", "select city_name, city_id from fx_city")
@@ -450,9 +449,9 @@ def cross_features(fx):
 
 
 @query("yr:i from_city:i to_city:i tier_diff:d geo_distance:d", """select b.yr, b.from_city, b.to_city, p.tier_diff, p.geo_distance from (select distinct yr, from_city, to_city
-  from fx_base) b left join x_pairs p on p.yr = b.yr and p.from_city = b.from_city and p.to_city = b.to_city and p.is_same_province = 1""")
+  from fx_base) b left join x_pairs p on p.yr = b.yr and p.from_city = b.from_city and p.to_city = b.to_city""")
 def base_join_pairs(fx):
-    return pr.join_pairs(fx.base.select("yr", "from_city", "to_city").distinct(), pairs(fx).where("is_same_province = 1"), fill=False)
+    return pr.join_pairs(fx.base.select("yr", "from_city", "to_city").distinct(), pairs(fx), fill=False)
 
 
 @query("yr:i city_id:i tier:i population_total:i gdp_per_capita:d", """select yr, city_id, tier, population_total, cast(gdp_per_capita as float) as gdp_per_capita
@@ -461,17 +460,22 @@ def downcast_values(fx):
     return feat.downcast(fx.city_attr)
 
 
-@query("column_name:s", "select unnest(['" + "', '".join(CODES + PAIR_COLUMNS + CROSS) + "']) as column_name")
+_ALL = CODES + PAIR_COLUMNS + CROSS
+
+
+@query("column_name:s n:i low:d high:d", f"""with f as materialized ({_feature_sql("select * from fx_base", "b.yr")})
+  {" union all ".join(f"select '{c}' as column_name, count({c}) as n, min({c}) as low, max({c}) as high from f" for c in _ALL)}""")
 def feature_list(fx):
+    """The columns that a model is given, chosen from the wide rows, with how many values each has and between what."""
     df = pipelines.with_features(fx.base, pairs(fx), WAGES, VACANCIES)
-    return df.select(F.explode(F.array(*map(F.lit, feat.feature_columns(df)))).alias("column_name")).distinct()
+    return feat.profile(df, feat.feature_columns(df))
 
 
-@query("column_name:s", "select unnest(['" + "', '".join(["n", *PAIR_COLUMNS]) + "']) as column_name")
+@query("column_name:s there:i lacking:i", f"""{" union all ".join(f"select '{c}' as column_name, 1 as there, count(*) - count({c}) as lacking from fx_scores" for c in ("yr", "type_id", "from_city", "to_city", "rnk", "score"))}
+  union all select 'n', 0, count(*) from fx_scores union all select 'distance', 0, count(*) from fx_scores""")
 def missing_columns(fx):
-    """What the candidate rows lack of what a transform in training would need."""
-    lacking = feat.missing(fx.base, "yr", "type_id", "from_city", "to_city", "rnk", "n", *PAIR_COLUMNS)
-    return fx.base.limit(1).select(F.explode(F.array(*map(F.lit, lacking))).alias("column_name"))
+    """Of the columns that a transform needs: which are there, and in how many rows a value is lacking."""
+    return feat.lacking(fx.scores, "yr", "type_id", "from_city", "to_city", "rnk", "score", "n", "distance")
 
 
 @query(f"{_KEYS} n:i rnk:i label:i tier_diff:i", """select b.yr, b.type_id, b.from_city, b.to_city, 0 as n, 999 as rnk, 0 as label, coalesce(p.tier_diff, 0) as tier_diff
@@ -545,10 +549,9 @@ def origin_pool(fx):
 
 
 @query(f"{_KEYS} label:i", """select yr, type_id, from_city, to_city, label from (
-  select *, max(label) over (partition by yr, type_id) as m from (select *, case when rnk = 8 then 1 else 0 end as label from fx_base) x) y where m > 0""")
+  select *, max(label) over (partition by yr, type_id) as m from x_label) y where m > 0""")
 def queries_with_positive(fx):
-    """Here a positive is an eighth destination, which not every query has."""
-    return smp.with_positive(fx.base.withColumn("label", (F.col("rnk") == 8).cast("int")))
+    return smp.with_positive(fx.base.withColumn("label", lab.binary(F.col("rnk"))))
 
 
 @query("yr:i type_id:s to_city:i", "select b.yr, b.type_id, b.to_city from fx_base b join x_queries q on q.yr = b.yr and q.type_id = b.type_id where k <= floor(n * 0.3)")
@@ -578,10 +581,10 @@ def sample_candidates(fx):
     return smp.sample_candidates(pairs(fx), 0.4, least=5)
 
 
-@query("yr:i type_id:s", f"""select yr, type_id from (select yr, type_id from fx_truth where rnk = 20 intersect select yr, type_id
-  from fx_scores where score > 3) c order by {_QMD5}, yr, type_id limit 50""")
+@query("yr:i type_id:s", f"""select yr, type_id from (select yr, type_id from fx_truth intersect select yr, type_id
+  from fx_scores) c order by {_QMD5}, yr, type_id limit 50""")
 def sample_common_queries(fx):
-    return smp.sample_common(fx.truth.where("rnk = 20"), fx.scores.where("score > 3"), 50)
+    return smp.sample_common(fx.truth, fx.scores, 50)
 
 
 @query("yr:i split:s batch:i n:i", """select yr, case when yr <= 1999 then 'train' when yr = 2000 then 'val' else 'test' end as split, cast(floor((yr - 1995) / 3)
@@ -668,10 +671,10 @@ def grade_candidates(fx):
 
 @query("yr:i matched:i skipped:i", """select p.yr, sum(case when t.type_id is not null then 1 else 0 end) as matched, sum(case when t.type_id is null then 1 else 0 end)
   as skipped from (select distinct yr, type_id from x_ranked) p left join (select distinct yr, type_id
-  from fx_truth where rnk = 20) t on t.yr = p.yr and t.type_id = p.type_id
+  from fx_truth) t on t.yr = p.yr and t.type_id = p.type_id
   group by p.yr""")
 def predictions_with_truth(fx):
-    there = fx.truth.where("rnk = 20").select("yr", "type_id", F.lit(1).alias("hit")).distinct()
+    there = fx.truth.select("yr", "type_id", F.lit(1).alias("hit")).distinct()
     joined = fx.scores.select("yr", "type_id").distinct().join(there, ["yr", "type_id"], "left")
     return joined.groupBy("yr").agg(F.count("hit").alias("matched"), (F.count("*") - F.count("hit")).alias("skipped"))
 
@@ -708,9 +711,9 @@ def named_results(fx):
 _HITS = "select yr, type_id, count(*) as gt, sum(case when pos <= 10 then 1 else 0 end) as h from x_judged group by 1, 2"
 
 
-@query("yr:i type_id:s cities:s", "select yr, type_id, string_agg(cast(to_city as string), ',' order by to_city) as cities from fx_truth where rnk <= 5 group by 1, 2")
+@query("yr:i type_id:s cities:s", "select yr, type_id, string_agg(cast(to_city as string), ',' order by to_city) as cities from fx_truth group by 1, 2")
 def truth_sets(fx):
-    return _joined(fx.truth.where("rnk <= 5").groupBy("yr", "type_id").agg(F.sort_array(F.collect_set("to_city")).alias("cities")))
+    return _joined(fx.truth.groupBy("yr", "type_id").agg(F.sort_array(F.collect_set("to_city")).alias("cities")))
 
 
 @query("yr:i from_city:i cities:s", "select yr, from_city, string_agg(cast(to_city as string), ',' order by to_city) as cities from x_pairs group by 1, 2")
@@ -879,9 +882,9 @@ def either_end(fx):
     return cand.known_cities(fx.flows)
 
 
-@query("yr:i type_id:s", "select yr, type_id from fx_truth where rnk = 15 intersect select yr, type_id from fx_scores where score > 5")
+@query("yr:i type_id:s", "select yr, type_id from fx_truth intersect select yr, type_id from fx_scores")
 def common_queries(fx):
-    return fx.truth.where("rnk = 15").select("yr", "type_id").intersect(fx.scores.where("score > 5").select("yr", "type_id"))
+    return fx.truth.select("yr", "type_id").intersect(fx.scores.select("yr", "type_id"))
 
 
 @query("yr:i type_id:s n:i", """select yr, type_id, sum(case when pos <= 10 then 1 else 0 end) as n from (select t.*, r.pos

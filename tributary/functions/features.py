@@ -74,6 +74,18 @@ def feature_columns(df: DataFrame, drop: tuple[str, ...] = ("yr", "type_id", "ty
     return [c for c in df.columns if c not in drop]
 
 
+def profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n, low, high) of numbers: values that are there, least and greatest; one pass."""
+    own = [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), F.min(F.col(c).cast("double")).alias("low"), F.max(F.col(c).cast("double")).alias("high")) for c in columns]
+    return df.agg(F.array(*own).alias("own")).select(F.inline("own"))
+
+
+def lacking(df: DataFrame, *columns: str) -> DataFrame:
+    """(column_name, there, lacking) of required columns: whether the frame has it, rows without a value."""
+    own = [F.struct(F.lit(c).alias("column_name"), F.lit(int(c in df.columns)).alias("there"), (F.count("*") - (F.count(c) if c in df.columns else F.lit(0))).alias("lacking")) for c in columns]
+    return df.agg(F.array(*own).alias("own")).select(F.inline("own"))
+
+
 def missing(df: DataFrame, *columns: str) -> list[str]:
     return [c for c in columns if c not in df.columns]
 

@@ -57,7 +57,7 @@ WITH = "with " + ",\n".join(f"{name} as ({sql})" for name, sql in FIXTURES.items
 
 #: Fixtures that several queries start from: written once for a session and folder, then read.
 STAGED = ("fx_flows", "fx_truth", "fx_city_attr", "fx_sector", "fx_migrant", "fx_scores")
-_staged: dict[tuple[str, str, str], str] = {}
+_staged: dict[tuple, str] = {}
 
 
 @cache
@@ -75,22 +75,45 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder(spark.sparkContext.applicationId)
 
 
+def _file(spark: SparkSession, path: str):
+    """A path and the file system that has it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the application ends, on whatever store it is."""
+    at, store = _file(spark, path)
+    store.deleteOnExit(at)
+
+
 class Fixtures:
     """The fixtures over one folder of tables, each made when it is first asked for.
 
-    Those in STAGED are kept for the session; the tables of a folder are taken not to change in it.
+    Those in STAGED are kept for the session, as long as the tables are what they were; what is kept
+    is removed when the session's Python ends.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
+    def _written(self) -> tuple[int, ...]:
+        """When each table was last written: a table written anew in its place is another one."""
+        if "written" not in self._made:
+            times = []
+            for t in TABLES:
+                at, store = _file(self.spark, f"{self.sf_dir}/{t}.parquet")
+                times.append(store.getFileStatus(at).getModificationTime())
+            self._made["written"] = tuple(times)
+        return self._made["written"]
+
     def _view(self, name: str) -> DataFrame:
         if name in self._made:
             return self._made[name]
         if name in TABLES:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         else:
-            key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+            key = (self.spark.sparkContext.applicationId, self.sf_dir, self._written(), name)
             if key not in _staged:
                 for part in dict.fromkeys(re.findall(r"\bfx_\w+|\b(?:" + "|".join(TABLES) + r")\b", FIXTURES[name])):
                     self._view(part)
@@ -99,6 +122,7 @@ class Fixtures:
                     path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
                     df.write.parquet(path)
                     _staged[key] = path
+                    _forget_at_exit(self.spark, path)
             if key in _staged:
                 df = self.spark.read.parquet(_staged[key])
         df.createOrReplaceTempView(name)
