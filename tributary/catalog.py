@@ -25,7 +25,7 @@ from tributary.operators import ranking as rk
 from tributary.operators import sampling as smp
 from tributary.operators.numbering import numbered
 from tributary.plans import learn, pipelines
-from tributary.plans.fixtures import WITH, Fixtures, shared_folder
+from tributary.plans.fixtures import WITH, Fixtures, forget_at_exit, shared_folder
 from tributary.sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,8 +304,8 @@ def export_key_check(fx):
 
 
 def fresh(fx: Fixtures, name: str) -> str:
-    """A folder of its own that all executors share."""
-    return f"{shared_folder(fx.spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own that all executors share, for as long as the application runs."""
+    return forget_at_exit(fx.spark, f"{shared_folder(fx.spark)}/{name}-{uuid.uuid4().hex}")
 
 
 @query("yr:i value:s", """select yr, concat('{"', type_id, '":[', string_agg(cast(to_city as string), ',' order by pos), ']}') as value

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tributary.functions.labels import graded_short, listed_gain
 from tributary.operators.metrics import judged
 from tributary.operators.ranking import QUERY, ranked
-from tributary.plans.fixtures import shared_folder
+from tributary.plans.fixtures import forget_at_exit, shared_folder
 from tributary.sources.ledger import committed, record
 
 #: Gradients are whole multiples of 1 / UNIT.
@@ -268,10 +268,11 @@ def fit(
     reads. `measure` is taken on the held rows after each round; with `patience`, training stops when
     so many rounds have not bettered it, and no later tree is grown. Every `every` rounds the nodes,
     the scores of all rows and the measures so far are written to `folder` and committed; a call with
-    the same folder goes on after the latest round that was committed whole.
+    the same folder goes on after the latest round that was committed whole. Without a folder what is
+    written goes when the application ends.
     """
     spark = rows.sparkSession
-    place = folder or f"{shared_folder(spark)}/boosting-{uuid.uuid4().hex}"
+    place = folder or forget_at_exit(spark, f"{shared_folder(spark)}/boosting-{uuid.uuid4().hex}")
     done = max((int(r["what"]) for r in committed(spark, place).collect()), default=0)
     if done:
         model = load(spark, f"{place}/model-{done}")

@@ -81,10 +81,12 @@ def _file(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
+def forget_at_exit(spark: SparkSession, path: str) -> str:
     """The folder goes when the application ends, on whatever store it is."""
     at, store = _file(spark, path)
+    store.mkdirs(at)  # only what is there can be marked
     store.deleteOnExit(at)
+    return path
 
 
 class Fixtures:
@@ -120,9 +122,8 @@ class Fixtures:
                 df = self.spark.sql(FIXTURES[name])
                 if name in STAGED:
                     path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-                    df.write.parquet(path)
+                    df.write.mode("append").parquet(forget_at_exit(self.spark, path))
                     _staged[key] = path
-                    _forget_at_exit(self.spark, path)
             if key in _staged:
                 df = self.spark.read.parquet(_staged[key])
         df.createOrReplaceTempView(name)
