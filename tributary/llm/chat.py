@@ -94,7 +94,7 @@ def learn(lines: DataFrame, least: int = 5) -> Model:
     for begins in (True, False):
         own = [k for k, s in enumerate(STATES) if s[1] == begins]
         share = UNKNOWN * emit[0][own, 2:].sum() / emit[0][own].sum()
-        emit[0][own, 1] = share / (1 - share) * (emit[0][own].sum(1) - emit[0][own, 1])  # alike for all roles
+        emit[0][own, 1] = ADDED + share / (1 - share) * (emit[0][own].sum(1) - emit[0][own, 1])  # alike for all roles
         for table in emit[1:]:
             every = table[own].sum(0) + 1
             table[own] += POOLED * every / every.sum()
