@@ -31,7 +31,7 @@ from tributary.llm.shared import documents
 
 #: Bounds of a worker's memory: states of the transducer, pieces whose ids are remembered (and their
 #: longest), moves of the decoder. Beyond each the memory starts anew; results don't depend on them.
-STATES, PAIRS, PIECES, LONGEST, MOVES = 250_000, 200_000, 200_000, 64, 200_000
+STATES, PAIRS, PIECES, LONGEST, MOVES = 250_000, 60_000, 150_000, 64, 60_000
 #: Most tokens beyond a place that are looked at for one that a way could go on with.
 LOOKED = 8
 #: Bytes read between two looks at what is certain.
