@@ -32,8 +32,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 WAGES, VACANCIES = [f"wage_{k}_ratio" for k in range(4)], [f"vacancy_{k}_ratio" for k in range(4)]
-RATIOS = ["population_total", "gdp_per_capita", "housing_price_avg", *[f"{v}_{k}" for v in ("wage", "vacancy") for k in range(4)]]
-DIFFS = ["gdp_per_capita", "housing_price_avg"]
+#: What a city has beside tier, population, income and housing, and what each of its four sectors has.
+MORE = ["area_sqkm", "cpi_index", "unemployment_rate", "rent_avg", "daily_cost_index", "medical_score", "education_score", "transport_convenience", "avg_commute_mins", *[f"age_{a}" for a in src.AGES], "sex_ratio"]
+OF_SECTOR = [f"{v}_{k}" for v in ("share", "wage", "vacancy") for k in range(4)]
+RATIOS = ["population_total", "gdp_per_capita", "housing_price_avg", *OF_SECTOR, *MORE]
+DIFFS = ["gdp_per_capita", "housing_price_avg", "rent_avg", *[f"{v}_{k}" for v in ("wage", "vacancy") for k in range(4)]]
 HARD = [1000, 1206, 1307]
 PAIR_COLUMNS = [f"{c}_ratio" for c in RATIOS] + [f"{c}_diff" for c in DIFFS] + ["to_tier", "to_population_log", "to_gdp_per_capita", "from_tier", "from_population_log", "tier_diff", "migrant_stock_from_to", "geo_distance", "dialect_distance", "is_same_province"]
 CODES = list(tid.DIMENSIONS)
@@ -78,10 +81,10 @@ def _codes(part: str, lenient: bool = True) -> str:
 _PART = "split_part(type_id, '_', {})"
 _MD5 = "md5(concat_ws(':', '42', cast(yr as string), type_id, cast(to_city as string)))"
 _QMD5 = "md5(concat_ws(':', '42', cast(yr as string), type_id))"
-_VIEWS = f"""x_attr as (select a.yr, a.city_id, a.tier, a.population_total, a.gdp_per_capita, a.housing_price_avg,
-  {', '.join(f'coalesce(max(case when ind = {k} then wage end), 0) as wage_{k}, coalesce(max(case when ind = {k} then vacancy end), 0) as vacancy_{k}' for k in range(4))}
-  from fx_city_attr a left join fx_sector s on s.yr = a.yr and s.city_id = a.city_id
-  group by a.yr, a.city_id, a.tier, a.population_total, a.gdp_per_capita, a.housing_price_avg),
+_VIEWS = f"""x_attr as (select a.yr, a.city_id, a.tier, a.population_total, a.gdp_per_capita, a.housing_price_avg, {', '.join(f'coalesce(m.{c}, 0) as {c}' for c in MORE)},
+  {', '.join(f'coalesce({c}, 0) as {c}' for c in OF_SECTOR)}
+  from fx_city_attr a left join fx_city_more m on m.yr = a.yr and m.city_id = a.city_id
+  left join (select yr, city_id, {', '.join(f"max(case when ind = {c[-1]} then {c[:-2]} end) as {c}" for c in OF_SECTOR)} from fx_sector group by 1, 2) s on s.yr = a.yr and s.city_id = a.city_id),
 x_pairs as (select f.yr, f.city_id as from_city, t.city_id as to_city, {', '.join(map(_ratio, RATIOS))},
   {', '.join(f'least(greatest(t.{c} - f.{c}, -1e8), 1e8) as {c}_diff' for c in DIFFS)},
   t.tier as to_tier, ln(1 + t.population_total) as to_population_log, t.gdp_per_capita as to_gdp_per_capita, f.tier
@@ -131,8 +134,8 @@ _KEYS = "yr:i type_id:s from_city:i to_city:i"
 
 
 def attributes(fx: Fixtures) -> DataFrame:
-    by = fx.sector.groupBy("yr", "city_id").agg(*[F.max(F.when(F.col("ind") == k, F.col(c))).alias(f"{n}_{k}") for n, c in (("wage", "wage"), ("vacancy", "vacancy")) for k in range(4)])
-    return fx.city_attr.join(by, ["yr", "city_id"], "left").fillna(0.0, [f"{n}_{k}" for n in ("wage", "vacancy") for k in range(4)])
+    by = fx.sector.groupBy("yr", "city_id").agg(*[F.max(F.when(F.col("ind") == int(c[-1]), F.col(c[:-2]))).alias(c) for c in OF_SECTOR])
+    return fx.city_attr.join(fx.city_more, ["yr", "city_id"], "left").join(by, ["yr", "city_id"], "left").fillna(0.0, MORE + OF_SECTOR)
 
 
 def migrants(fx: Fixtures) -> DataFrame:
@@ -148,10 +151,21 @@ def ranks(fx: Fixtures) -> DataFrame:
 
 
 def city_json(fx: Fixtures) -> DataFrame:
-    """Nested yearly city lines, with holes where a sector or the sex ratio is missing."""
+    """Nested yearly city lines with every attribute, and holes: a sector of even cities, an age of every fifth,
+    the sex ratio of two in three."""
     s = fx.sector.groupBy("yr", "city_id").agg(F.map_from_entries(F.collect_list(F.struct(F.get(F.array(*map(F.lit, src.SECTORS)), F.col("ind")).alias("k"), F.struct("share", F.col("wage").alias("avg_wage"), F.col("vacancy").alias("vacancy_rate"))))).alias("sectors"))
-    a = fx.city_attr.join(s, ["yr", "city_id"], "left").withColumn("sectors", F.map_filter("sectors", lambda k, v: ~((k == "agriculture") & (F.col("city_id") % 2 == 0))))
-    value = F.struct(F.col("city_id").cast("string").alias("city_id"), F.struct("tier").alias("basic_info"), F.struct("gdp_per_capita", F.col("sectors").alias("industry_sectors")).alias("economy"), F.struct("housing_price_avg").alias("living_cost"), F.struct("population_total").alias("social_context"), F.struct(F.create_map(F.lit("0_17"), F.col("tier") * 0.1).alias("age_structure"), F.when(F.col("city_id") % 3 == 0, 101.5).alias("sex_ratio")).alias("demographics"))
+    a = fx.city_attr.join(fx.city_more, ["yr", "city_id"]).join(s, ["yr", "city_id"], "left").join(migrants(fx).withColumnRenamed("to_city", "city_id"), ["yr", "city_id"], "left")
+    sectors = F.map_filter("sectors", lambda k, v: ~((k == "agriculture") & (F.col("city_id") % 2 == 0)))
+    ages = F.map_filter(F.create_map(*[x for g in src.AGES for x in (F.lit(g), F.col(f"age_{g}"))]), lambda k, v: ~((k == "65_plus") & (F.col("city_id") % 5 == 0)))
+    value = F.struct(
+        F.col("city_id").cast("string").alias("city_id"),
+        F.struct("tier", "area_sqkm").alias("basic_info"),
+        F.struct("gdp_per_capita", "cpi_index", "unemployment_rate", sectors.alias("industry_sectors")).alias("economy"),
+        F.struct(ages.alias("age_structure"), F.when(F.col("city_id") % 3 == 0, F.col("sex_ratio")).alias("sex_ratio")).alias("demographics"),
+        F.struct("housing_price_avg", "rent_avg", "daily_cost_index").alias("living_cost"),
+        F.struct("medical_score", "education_score", "transport_convenience", "avg_commute_mins").alias("public_services"),
+        F.struct("population_total", F.col("stock").alias("migrant_stock_distribution")).alias("social_context"),
+    )
     return a.select("yr", F.to_json(value).alias("value"))
 
 
@@ -197,11 +211,11 @@ def base_scan(fx):
     return src.scan_columns(fx.base, 1996, "type_id", "to_city", "rnk")
 
 
-_NESTED = """select a.yr, a.city_id, a.tier, a.gdp_per_capita, a.housing_price_avg, a.population_total, case when a.city_id % 2 = 0 then 0 else
-  coalesce(x.wage_0, 0) end as agriculture_avg_wage,
-coalesce(x.wage_3, 0) as modern_services_avg_wage, a.tier * 0.1 as age_0_17, 0 as age_18_34, case when a.city_id % 3 = 0 then 101.5 else 100 end
-  as sex_ratio from fx_city_attr a join x_attr x on x.yr = a.yr and x.city_id = a.city_id"""
-_NESTED_TYPES = "yr:i city_id:i tier:i gdp_per_capita:d housing_price_avg:d population_total:d agriculture_avg_wage:d modern_services_avg_wage:d age_0_17:d age_18_34:d sex_ratio:d"
+_FLAT = ["area_sqkm", "gdp_per_capita", "cpi_index", "unemployment_rate", "housing_price_avg", "rent_avg", "daily_cost_index", "medical_score", "education_score", "transport_convenience", "avg_commute_mins", "population_total"]
+_SECTORAL = {f"{s}_{v}": f"{o}_{k}" for k, s in enumerate(src.SECTORS) for v, o in (("share", "share"), ("avg_wage", "wage"), ("vacancy_rate", "vacancy"))}
+_NESTED = f"""select yr, city_id, tier, {', '.join(_FLAT)}, {', '.join(f"case when city_id % 2 = 0 then 0 else {o} end as {c}" if o.endswith('_0') else f'{o} as {c}' for c, o in _SECTORAL.items())},
+  {', '.join(f'age_{a}' for a in src.AGES[:-1])}, case when city_id % 5 = 0 then 0 else age_65_plus end as age_65_plus, case when city_id % 3 = 0 then sex_ratio else 100 end as sex_ratio from x_attr"""
+_NESTED_TYPES = "yr:i city_id:i tier:i " + " ".join(f"{c}:d" for c in [*_FLAT, *_SECTORAL, *[f"age_{a}" for a in src.AGES], "sex_ratio"])
 
 
 @query(_NESTED_TYPES, _NESTED)
@@ -214,10 +228,11 @@ def nested_city_year(fx):
     return src.city_attributes(city_json(fx)).where("yr = 1999")
 
 
-@query("yr:i city_id:i tier:i gdp_per_capita:d housing_price_avg:d population_total:d agriculture_wage:d modern_services_wage:d manufacturing_share:d",
-    """select a.yr, a.city_id, a.tier, a.gdp_per_capita, a.housing_price_avg, a.population_total, case when a.city_id % 2 = 0 then 0 else coalesce(x.wage_0, 0) end as agriculture_wage,
-  coalesce(x.wage_3, 0) as modern_services_wage, coalesce(s.share, 0) as manufacturing_share
-  from fx_city_attr a join x_attr x on x.yr = a.yr and x.city_id = a.city_id left join fx_sector s on s.yr = a.yr and s.city_id = a.city_id and s.ind = 1""")
+_SECTORAL_OLD = {c.replace("avg_wage", "wage"): o for c, o in _SECTORAL.items() if not o.startswith("vacancy")}
+
+
+@query("yr:i city_id:i tier:i " + " ".join(f"{c}:d" for c in [*_FLAT, *_SECTORAL_OLD]), f"""select yr, city_id, tier, {', '.join(_FLAT)},
+  {', '.join(f"case when city_id % 2 = 0 then 0 else {o} end as {c}" if o.endswith('_0') else f'{o} as {c}' for c, o in _SECTORAL_OLD.items())} from x_attr""")
 def nested_city_earlier(fx):
     """The earlier flavour, all years of a folder in one call; a year without a file is not there."""
     path = fresh(fx, "cities")

@@ -41,6 +41,23 @@ from (select cast(year(o_orderdate) as int) as yr, city_id, p_size % 4 as ind, c
              round(avg(l_extendedprice) + 1e-8, 6) as wage, round(avg(l_discount) + 1e-8, 6) as vacancy
       from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey
       join supplier on l_suppkey = s_suppkey join fx_city on nk = s_nationkey group by 1, 2, 3) g""",
+    "fx_city_more": """select m.yr, m.city_id, area_sqkm, cpi_index, unemployment_rate, rent_avg, daily_cost_index, medical_score, education_score, transport_convenience, avg_commute_mins,
+       age_0_17, age_18_34, age_35_54, age_55_64, age_65_plus, sex_ratio
+from (select cast(year(o_orderdate) as int) as yr, city_id, round(avg(l_extendedprice / l_quantity) / 10 + 1e-8, 6) as cpi_index,
+             round(avg(cast(case when l_returnflag = 'R' then 1 else 0 end as double)) + 1e-8, 6) as unemployment_rate,
+             round(avg(l_extendedprice * (1 - l_discount)) / 10 + 1e-8, 6) as rent_avg, round(avg(l_extendedprice * (1 + l_tax)) / 100 + 1e-8, 6) as daily_cost_index,
+             round(avg(l_quantity) + 1e-8, 6) as medical_score, round(100 * avg(l_tax) + 1e-8, 6) as education_score,
+             round(avg(cast(case when l_linestatus = 'F' then 1 else 0 end as double)) + 1e-8, 6) as transport_convenience,
+             round(avg(cast(day(l_shipdate) as double)) + 1e-8, 6) as avg_commute_mins
+      from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join fx_city on nk = c_nationkey group by 1, 2) m
+join (select cast(year(o_orderdate) as int) as yr, city_id, round(avg(cast(case when o_orderpriority = '1-URGENT' then 1 else 0 end as double)) + 1e-8, 6) as age_0_17,
+             round(avg(cast(case when o_orderpriority = '2-HIGH' then 1 else 0 end as double)) + 1e-8, 6) as age_18_34,
+             round(avg(cast(case when o_orderpriority = '3-MEDIUM' then 1 else 0 end as double)) + 1e-8, 6) as age_35_54,
+             round(avg(cast(case when o_orderpriority = '4-NOT SPECIFIED' then 1 else 0 end as double)) + 1e-8, 6) as age_55_64,
+             round(avg(cast(case when o_orderpriority = '5-LOW' then 1 else 0 end as double)) + 1e-8, 6) as age_65_plus,
+             round(90 + 20 * avg(cast(o_custkey % 2 as double)) + 1e-8, 6) as sex_ratio
+      from orders join customer on o_custkey = c_custkey join fx_city on nk = c_nationkey group by 1, 2) p on p.yr = m.yr and p.city_id = m.city_id
+join (select city_id, cast(count(*) as double) as area_sqkm from customer join fx_city on nk = c_nationkey group by 1) a on a.city_id = m.city_id""",
     "fx_edges": """select f.city_id as source_id, t.city_id as target_id,
        cast(abs(f.nk - t.nk) * 10.5 as double) as w_geo, cast(abs(f.tier - t.tier) * 1.25 as double) as w_dialect
 from fx_city f join fx_city t on f.city_id <> t.city_id where (f.nk + t.nk) % 7 <> 0""",
@@ -56,7 +73,7 @@ WITH = "with " + ",\n".join(f"{name} as ({sql})" for name, sql in FIXTURES.items
 
 
 #: Fixtures that several queries start from: written once for a session and folder, then read.
-STAGED = ("fx_flows", "fx_truth", "fx_city_attr", "fx_sector", "fx_migrant", "fx_scores")
+STAGED = ("fx_flows", "fx_truth", "fx_city_attr", "fx_city_more", "fx_sector", "fx_migrant", "fx_scores")
 _staged: dict[tuple, str] = {}
 
 

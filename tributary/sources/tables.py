@@ -20,7 +20,7 @@ CITY_SCHEMA = (
     "public_services struct<medical_score:double,education_score:double,transport_convenience:double,avg_commute_mins:double>, "
     "social_context struct<population_total:double,migrant_stock_distribution:map<string,double>>"
 )
-AGES = ("0_17", "18_34", "35_54", "55_plus")
+AGES = ("0_17", "18_34", "35_54", "55_64", "65_plus")
 
 
 def scan_facts(facts: DataFrame, year: int) -> DataFrame:
