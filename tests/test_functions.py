@@ -153,3 +153,22 @@ def test_lines_and_reset(spark, tmp_path):
 
 def test_prefixes():
     assert learn.prefix_length(2000) == 500 and learn.prefix_length(200) == 150 and learn.prefix_length(90) == 90
+
+
+def test_pair_features_of_holes(spark):
+    """Numbers that are missing or not finite count as 0; a divisor next to 0 is bounded."""
+    from tributary.operators import pairs
+
+    own = "yr int, city_id int, tier int, population_total double, gdp_per_capita double, rent double"
+    cities = spark.createDataFrame([(2000, 1100, 1, 9.0, 2.0, None), (2000, 1101, 3, None, float("nan"), 4.0), (2001, 1100, 1, 1.0, 1.0, 1.0)], own)
+    edges = spark.createDataFrame([(1100, 1101, 5.0, None)], "source_id int, target_id int, w_geo double, w_dialect double")
+    migrants = spark.createDataFrame([(2000, 1101, {"1100": 0.25})], "yr int, to_city int, stock map<string,double>")
+    got = {(r["from_city"], r["to_city"]): r for r in pairs.pair_features(cities, edges, migrants, ["gdp_per_capita", "rent"], ["rent"]).collect()}
+    assert set(got) == {(1100, 1101), (1101, 1100)}
+    there, back = got[1100, 1101], got[1101, 1100]
+    assert (there["gdp_per_capita_ratio"], there["rent_ratio"], there["rent_diff"], there["tier_diff"]) == (0.01, 100.0, 4.0, 2)
+    assert (back["gdp_per_capita_ratio"], back["rent_ratio"], back["rent_diff"]) == (100.0, 0.01, -4.0)
+    assert (there["migrant_stock_from_to"], there["geo_distance"], there["dialect_distance"], there["is_same_province"]) == (0.25, 5.0, 0.0, 1)
+    assert (back["migrant_stock_from_to"], back["geo_distance"], there["to_population_log"]) == (0.0, 0.0, 0.0)
+    assert there["from_population_log"] == pytest.approx(2.302585, abs=1e-6)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"

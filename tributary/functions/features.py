@@ -20,10 +20,14 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+def ratio(to: Column, frm: Column, low: float = LEAST, high: float = MOST) -> Column:
+    """to / from, both finite, within bounds; a divisor next to 0 counts as TINY."""
+    return clip(to / F.when(F.abs(frm) < TINY, TINY).otherwise(frm), low, high)
+
+
 def safe_ratio(to: Column, frm: Column, low: float = LEAST, high: float = MOST) -> Column:
-    """to / from within bounds; a divisor next to 0 counts as TINY."""
-    divisor = F.when(F.abs(finite(frm)) < TINY, TINY).otherwise(finite(frm))
-    return clip(finite(to) / divisor, low, high)
+    """ratio() of any numbers."""
+    return ratio(finite(to), finite(frm), low, high)
 
 
 def smoothed_ratio(to: Column, frm: Column, low: float = 0.1, high: float = 10.0) -> Column:
@@ -31,8 +35,12 @@ def smoothed_ratio(to: Column, frm: Column, low: float = 0.1, high: float = 10.0
     return clip(F.when(finite(frm) > 1e-5, finite(to) / (finite(frm) + 1e-5)).otherwise(1.0), low, high)
 
 
+def diff(to: Column, frm: Column) -> Column:
+    return clip(to - frm, -LARGEST_DIFF, LARGEST_DIFF)
+
+
 def safe_diff(to: Column, frm: Column) -> Column:
-    return clip(finite(to) - finite(frm), -LARGEST_DIFF, LARGEST_DIFF)
+    return diff(finite(to), finite(frm))
 
 
 def by_industry(columns: list[str], industry: str = "industry") -> Column:

@@ -6,12 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.cities import province, province_key
-from tributary.functions.features import finite, safe_diff, safe_ratio, smoothed_ratio
+from tributary.functions.features import diff, finite, ratio, smoothed_ratio
 
 #: Parts of a year's origins.
 SALTS = 16
 
 
+#: The longest method, in bytes, that the JVM compiles; generated code beyond it would be interpreted.
+COMPILED = 8000
+
+
+def compiled_in_parts(df: DataFrame) -> DataFrame:
+    """Rows as wide as a pair's make one long method of a whole stage, which the JVM never compiles: with this
+    setting Spark generates such a stage operator by operator instead. A limit that was set is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.codegen.hugeMethodLimit"
+    if conf.get(key) == "65535":
+        conf.set(key, str(COMPILED))
+    return df
+
+
 def _ends(cities: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = lambda p: cities.select("yr", *[F.col(c).alias(f"{p}_{c}") for c in cities.columns if c != "yr"])
     return side("from").withColumnRenamed("from_city_id", "from_city"), side("to").withColumnRenamed("to_city_id", "to_city")
@@ -49,20 +62,21 @@ def with_migrants(pairs: DataFrame, migrants: DataFrame) -> DataFrame:
 
 
 def pair_features(cities: DataFrame, edges: DataFrame, migrants: DataFrame, ratios: list[str], diffs: list[str]) -> DataFrame:
-    """The feature table of all years in one plan: ratios, differences, levels and network columns."""
-    pairs = city_pairs(cities)
-    out = {f"{c}_ratio": safe_ratio(F.col(f"to_{c}"), F.col(f"from_{c}")) for c in ratios}
-    out |= {f"{c}_diff": safe_diff(F.col(f"to_{c}"), F.col(f"from_{c}")) for c in diffs}
-    out |= {
-        "to_population_log": F.log1p("to_population_total"),
-        "from_population_log": F.log1p("from_population_total"),
-        "tier_diff": F.col("to_tier") - F.col("from_tier"),
-        "is_same_province": (province(F.col("from_city")) == province(F.col("to_city"))).cast("int"),
-    }
-    pairs = with_migrants(with_edges(pairs.withColumns(out), edges), migrants)
-    kept = ["yr", "from_city", "to_city", *[f"{c}_ratio" for c in ratios], *[f"{c}_diff" for c in diffs], "to_tier", "to_population_log", "to_gdp_per_capita", "from_tier", "from_population_log", "tier_diff", "migrant_stock_from_to", "geo_distance", "dialect_distance", "is_same_province"]
-    floats = {c for c, t in pairs.select(*kept).dtypes if t == "double"}
-    return pairs.select(*[finite(F.col(c)).alias(c) if c in floats else F.col(c) for c in kept])
+    """The feature table of all years in one plan: ratios, differences, levels and network columns.
+
+    What concerns one city (numbers made finite, logarithms) is done before cities are paired, a row a
+    city, and a pair's features are one projection after the joins (compiled_in_parts()).
+    """
+    numbers = list(dict.fromkeys([*ratios, *diffs, "population_total", "gdp_per_capita"]))
+    own = cities.select("yr", "city_id", "tier", *[finite(F.col(c)).alias(c) for c in numbers])
+    own = own.withColumn("population_log", finite(F.log1p("population_total")))
+    pairs = with_migrants(with_edges(city_pairs(own), edges), migrants)
+    out = [ratio(F.col(f"to_{c}"), F.col(f"from_{c}")).alias(f"{c}_ratio") for c in ratios]
+    out += [diff(F.col(f"to_{c}"), F.col(f"from_{c}")).alias(f"{c}_diff") for c in diffs]
+    out += ["to_tier", "to_population_log", "to_gdp_per_capita", "from_tier", "from_population_log", (F.col("to_tier") - F.col("from_tier")).alias("tier_diff")]
+    out += [finite(F.col(c)).alias(c) for c in ("migrant_stock_from_to", "geo_distance", "dialect_distance")]
+    out += [(province(F.col("from_city")) == province(F.col("to_city"))).cast("int").alias("is_same_province")]
+    return compiled_in_parts(pairs.select("yr", "from_city", "to_city", *out))
 
 
 def pair_features_earlier(pairs: DataFrame, cities: DataFrame, edges: DataFrame, ratios: list[str]) -> DataFrame:
