@@ -64,3 +64,23 @@ def test_lines_are_dealt_once_for_all_fixtures(spark, odd, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert reads == {"fx_lines": 1, "fx_flows": 0, "fx_sector": 0, "fx_city_more": 0}
     assert deals == {"fx_lines": 1, "fx_flows": 0, "fx_sector": 1, "fx_city_more": 0}
+
+
+def test_city_attributes_over_orders_are_their_sql_on_odd_tables(spark, odd, monkeypatch):
+    test_fixtures_over_lines_are_their_sql_on_odd_tables(spark, odd, monkeypatch, "fx_city_attr", fixtures.SUPPLIERS_SENT)
+
+
+def test_orders_are_dealt_once_for_attributes_and_lines_narrow(spark, odd, monkeypatch):
+    """Both fixtures of cities count from one join of orders and customers; a line's few-valued columns are dealt as one number."""
+    monkeypatch.setattr(fixtures, "_staged", {})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fx = Fixtures(spark, odd[0])
+        reads = {n: sum(f.endswith("/orders.parquet") for f in fx._derived(n).inputFiles()) for n in ("fx_city_attr", "fx_city_more")}
+        plan = fx._derived("fx_lines")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert reads == {"fx_city_attr": 0, "fx_city_more": 0}
+    dealt = plan[next(i for i, line in enumerate(plan) if "Exchange hashpartitioning(l_orderkey" in line) + 1]
+    assert "AS marks#" in dealt and "AS returned#" not in dealt and "AS ship_day#" not in dealt
